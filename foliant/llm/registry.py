@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontamination, language_id, packing, pii, quality_rules, token_counts
+from foliant.llm import decontamination, language_id, lm_scoring, packing, pii, quality_rules, token_counts
 from foliant.llm.common import table
 from foliant.llm.oracles import ORACLES  # noqa: F401
 
@@ -23,6 +23,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), language_id.held_out("doc_id", 7))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
     "op4_packing": op4_packing,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
     "op10_quality_rules": op10_quality_rules,
