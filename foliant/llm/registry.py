@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, pii, quality_rules, token_counts
+from foliant.llm import decontamination, jaccard_join, language_id, line_dedup, lm_scoring, packing, pii, quality_rules, token_counts
 from foliant.llm.common import table
 from foliant.llm.oracles import ORACLES  # noqa: F401
 
@@ -19,6 +19,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
+    "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_pii": op7_pii,
