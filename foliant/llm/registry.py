@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontamination, jaccard_join, language_id, line_dedup, lm_scoring, packing, pii, quality_rules, token_counts
+from foliant.llm import decontamination, jaccard_join, language_id, line_dedup, lm_scoring, packing, pii, quality_rules, suffix_dedup, token_counts
 from foliant.llm.common import table
 from foliant.llm.oracles import ORACLES  # noqa: F401
 
@@ -27,6 +27,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), language_id.held_out("doc_id", 7))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
