@@ -96,5 +96,5 @@ def contamination(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that hold no window of the benchmark, with all their columns."""
-    bad = contamination(docs, items, id_col=id_col).where("contaminated").select(F.col("doc_id").alias(id_col))
-    return docs.join(bad.distinct(), id_col, "left_anti")
+    bad = checkpoint(contamination(docs, items, id_col=id_col).where("contaminated").select(F.col("doc_id").alias(id_col)).distinct())
+    return docs.join(small(bad, bad.count()), id_col, "left_anti")

@@ -230,6 +230,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that name their component (the least id), with all their columns; of repeated rows one stays."""
-    keep = link(docs, id_col, text_col, size, percent).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
+    """The documents that name their component (the least id), with all their columns; of rows with the same id one stays, and those with a null id all do."""
+    rows = checkpoint(link(docs, id_col, text_col, size, percent))
+    gone = rows.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    n = rows.agg(F.count("doc_id").alias("rows"), F.count_distinct("doc_id").alias("ids"), F.count(F.when(F.col("doc_id") != F.col("component_id"), 1)).alias("gone")).first()
+    kept = docs.join(F.broadcast(gone) if n["gone"] <= BROADCAST_ROWS else gone, id_col, "left_anti")
+    if n["rows"] > n["ids"]:
+        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    return kept

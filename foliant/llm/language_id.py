@@ -211,3 +211,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     out = held_out(id_col, 4)
     model = learn(docs.where(~out), F.col(text_col), F.col(lang_col))
     return predict(docs, model, [F.col(id_col).alias("doc_id"), out.alias("held_out")], F.col(text_col))
+
+
+def accepted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, that get a language with a posterior of at least `least`."""
+    model = learn(docs, F.col(text_col), F.col(lang_col))
+    p = predict(docs, model, [F.struct(*docs.columns).alias("row")], F.col(text_col))
+    return p.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

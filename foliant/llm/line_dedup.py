@@ -271,3 +271,13 @@ def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **l
     d = dedup(docs.select(id_col, text_col), id_col, text_col, **limits)
     text = F.coalesce(F.col(text_col), F.lit(""))
     return d.select(F.col(id_col).alias("doc_id"), "n_lines", "n_removed", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("kept_sha256"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **limits: int) -> DataFrame:
+    """The documents with their texts less removed lines (and lengths to match); those left without a word are dropped."""
+    d = dedup(docs, id_col, text_col, **limits)
+    d = d.where((F.col("n_removed") == 0) | F.col(text_col).rlike(r"\S"))
+    if length_col in docs.columns:
+        kind = dict(docs.dtypes)[length_col]
+        d = d.withColumn(length_col, F.when(F.col("n_removed") > 0, F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
+    return d.select(*docs.columns)
