@@ -216,13 +216,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = checkpoint(verify(pairs, sets, percent))
         links = found if links is None else links.unionByName(found)
-        roots = checkpoint(components(links))
+        roots = checkpoint(components(links).withColumnRenamed("node", "key"))
         if last:
             break
     if roots is None:
         named = classes.withColumn("root", F.col("key"))
     else:
-        named = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        named = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     names = named.join(least, "root").select("key", "component_id")
     out = rows.select("doc_id", "key", "n").join(names, "key", "left")
