@@ -91,7 +91,7 @@ def rarity(texts: DataFrame, size: int) -> np.ndarray:
         return pa.table({"part": group.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
     level = texts.select("raw").mapInArrow(count, "part int, counts binary").withColumn("task", F.spark_partition_id())
-    tasks = texts.rdd.getNumPartitions()
+    tasks = max(1, texts.rdd.getNumPartitions())
     while True:
         tasks = -(-tasks // FAN_IN)
         level = level.withColumn("task", F.col("task") % tasks).groupBy("part", "task").applyInArrow(add, "part int, counts binary")

@@ -245,39 +245,40 @@ def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """All columns of docs, with the text less its removed lines, and n_lines, n_removed (long)."""
+    """row (struct of all columns of docs, the text less its removed lines), n_lines, n_removed (long)."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gone = checkpoint(removed_places(own, tau, min_chars)).select(F.col("doc_id").alias(id_col), F.col("gone").alias("__gone"))
-    joined = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, id_col, "left").select(*docs.columns, "__gone")
-    names = [c for c in docs.columns if c != text_col]
+    gone = checkpoint(removed_places(own, tau, min_chars))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.struct(*docs.columns).alias("row"))
+    joined = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left").select("row", F.col("row")[text_col].alias("text"), "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n, m = [], [], []
-            for text, gone in zip(batch.column(text_col).to_pylist(), batch.column("__gone").to_pylist()):
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
                 lines = text.split("\n") if text is not None else []
-                drop = set(gone or ()) if lines else set()
-                drop = {k for k in drop if k < len(lines)}
+                drop = {k for k in gone or () if k < len(lines)}
                 texts.append("\n".join([x for k, x in enumerate(lines) if k not in drop]) if text is not None else None)
                 n.append(len(lines)), m.append(len(drop))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], [*names, text_col, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["row", "text", "n_lines", "n_removed"])
 
-    kinds = ", ".join([f"`{c}` {k}" for c, k in docs.dtypes if c != text_col] + [f"`{text_col}` string", "n_lines long", "n_removed long"])
-    return joined.mapInArrow(cut, kinds).select(*docs.columns, "n_lines", "n_removed")
+    kind = dict(joined.dtypes)["row"]
+    cut_rows = joined.mapInArrow(cut, f"row {kind}, text string, n_lines long, n_removed long")
+    return cut_rows.select(F.col("row").withField(text_col, F.col("text")).alias("row"), "n_lines", "n_removed")
 
 
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """doc_id, n_lines, n_removed, n_chars (left), kept_sha256 of the text that stays (null: of the empty text)."""
     d = dedup(docs.select(id_col, text_col), id_col, text_col, **limits)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return d.select(F.col(id_col).alias("doc_id"), "n_lines", "n_removed", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("kept_sha256"))
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    return d.select(F.col("row")[id_col].alias("doc_id"), "n_lines", "n_removed", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("kept_sha256"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **limits: int) -> DataFrame:
     """The documents with their texts less removed lines (and lengths to match); those left without a word are dropped."""
     d = dedup(docs, id_col, text_col, **limits)
-    d = d.where((F.col("n_removed") == 0) | F.col(text_col).rlike(r"\S"))
+    d = d.where((F.col("n_removed") == 0) | F.col("row")[text_col].rlike(r"\S"))
+    row = F.col("row")
     if length_col in docs.columns:
         kind = dict(docs.dtypes)[length_col]
-        d = d.withColumn(length_col, F.when(F.col("n_removed") > 0, F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
-    return d.select(*docs.columns)
+        row = row.withField(length_col, F.when(F.col("n_removed") > 0, F.length(row[text_col]).cast(kind)).otherwise(row[length_col]))
+    return d.select(row.alias("row")).select("row.*")

@@ -1,7 +1,8 @@
 """Suffix-array dedup: bytes covered by a 50-byte string that also starts in a document with a smaller id.
 
-Not every suffix is sorted. Each 50-byte window is represented by its anchor: the place in it whose 16 bytes have the
-least hash (leftmost of equals), so equal windows have equal anchors at equal offsets, and one suffix in about 18 does.
+Not every suffix is sorted. Each 50-byte window is represented by its anchor: the place in it whose 24 bytes have the
+least hash (leftmost of equals), so equal windows have equal anchors at equal offsets, and one suffix in about 14 does.
+Shorter grams would need fewer suffixes, but recur by chance, the more so the larger the corpus.
 A first pass tells which anchors occur in several documents, through a filter of fixed size; where it is full it lets
 more through, and results stay the same. The second pass sends the suffixes at those anchors, with the bytes that their
 windows take in before and after, to ranges by their leading bytes; the splitters come from a sample. Each bucket sorts
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import buckets_for, checkpoint, mix, text_bytes
 
-MATCH, GRAM = 50, 16
+MATCH, GRAM = 50, 24
 WINDOWS = MATCH - GRAM + 1  # places of a gram in a match
 SPAN = MATCH + WINDOWS - 1  # bytes that an anchor's windows can take in
 #: Bytes of text worked on at once; of text for each bucket; bits of the whole filter; sampled leading keys in all.
-BLOCK_BYTES, BUCKET_BYTES, MOST_BITS, SAMPLE = 4 << 20, 8 << 20, 1 << 27, 1 << 16
+BLOCK_BYTES, BUCKET_BYTES, MOST_BITS, SAMPLE = 2 << 20, 8 << 20, 1 << 27, 1 << 16
 PROBES = 3
 #: Bytes of removed spans up to which they are broadcast; beyond, a shuffled join does the same.
 BROADCAST_BYTES = 8 << 20
@@ -44,7 +45,9 @@ class Runs:
         self.data = np.frombuffer(b"".join(raws) + bytes(SPAN + 16), np.uint8)
         n = int(self.sizes.sum())
         words = np.ndarray((n + SPAN,), "<u8", self.data, 0, (1,)).astype(np.uint64)
-        x = words[: n + WINDOWS] * np.uint64(0x9E3779B97F4A7C15) + words[8 : n + WINDOWS + 8] * np.uint64(0xC2B2AE3D27D4EB4F)
+        x = words[: n + WINDOWS] * np.uint64(0x9E3779B97F4A7C15)
+        x += words[8 : n + WINDOWS + 8] * np.uint64(0xC2B2AE3D27D4EB4F)
+        x += words[16 : n + WINDOWS + 16] * np.uint64(0xFF51AFD7ED558CCD)
         x ^= x >> np.uint64(29)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         least = (x & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(x), dtype=np.uint64)

@@ -68,7 +68,7 @@ def frequent_pretokens(texts: DataFrame, size: int = TABLE) -> list[bytes]:
         tasks = math.ceil(tasks / FAN_IN)
         level = level.withColumn("part", F.spark_partition_id() % F.lit(tasks)).groupBy("part").applyInArrow(merge, "summary binary")
     total: Counter = Counter()
-    for row in level.toLocalIterator():
+    for row in level.collect():  # at most FAN_IN summaries of fixed size
         total.update(unpack(bytes(row["summary"])))
     return [k for k, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:size]]
 
