@@ -7,9 +7,12 @@ rarity order gives few candidates.
 
 No list of a shingle's groups is turned into all its pairs. Each list is first compared with pivots, one for each list
 and round, chosen anew each round: rows as many as the list has. Links found put groups into components, and only lists
-that still hold several components go on; the last of them are paired across components only, by a join that Spark can
-split where a key is hot. Links within a component are not needed to know the component, so none is missed.
-Pairs are verified on the sets themselves, fetched for the documents that have candidates.
+that still hold several components go on, less their pivots, which have met every other entry; the last of them are
+paired across components only, by a join that Spark can split where a key is hot. Links within a component are not
+needed to know the component, so none is missed. Each set has a bitmap, about a bit for each shingle, each bit the parity
+of the shingles that fall on it: two sets differ in as many shingles at least as their bitmaps in bits, which rules out
+nearly all false pairs, first on bitmaps folded to a fixed size, then on the whole ones. The others are verified on the
+sets themselves, fetched only for the documents that have such pairs.
 
 Null, empty and wordless texts have an empty set and link with nothing; texts with fewer words than a shingle have one
 shingle, the whole; rows with a null id follow equal texts and link with nothing else; the least non-null id names a component;
@@ -31,9 +34,11 @@ from foliant.llm.components import components
 SHINGLE, PERCENT = 3, 90
 #: Cells of the rarity sketch (fixed), and rows it is dealt out in.
 CELLS, PARTS = 1 << 20, 64
+#: 64-bit words of a folded parity bitmap.
+BITMAP = 4
 #: Tasks whose sketches one task adds up.
 FAN_IN = 64
-#: Pivot rounds at most; candidate pairs for each list entry up to which the rest is paired at once.
+#: Pivot rounds at most; pairs for each list entry of the first round up to which what is left is paired at once.
 ROUNDS, PAIRS_PER_ENTRY = 6, 4
 BROADCAST_ROWS = 200_000
 
@@ -104,37 +109,50 @@ def rarity(texts: DataFrame, size: int) -> np.ndarray:
     return out.ravel()
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """For a power of two of bits, not fewer than the shingles, whether an odd number of shingles falls on each; in 64-bit words."""
+    bits = 64 * BITMAP << max(0, (len(s) - 1).bit_length() - (64 * BITMAP - 1).bit_length())
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def fold(words: np.ndarray, n: int) -> np.ndarray:
+    """The bitmap of n words (powers of two): parities add up."""
+    return np.bitwise_xor.reduce(words.reshape(-1, n), axis=0)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
 def documents_and_entries(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """A row for each document (key, group, n; entries: its group's prefix, given once for each task and group)."""
+    """A row for each document (key, grp, n, bits, folded and wide; prefix: its group's, given once for each task and group)."""
     order = texts.sparkSession.sparkContext.broadcast(rarity(texts, size))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, sets, told = order.value, Sets(size), set()
         for batch in batches:
-            keys, groups, sizes, prefixes = [], [], [], []
+            keys, groups, sizes, bits, wide, prefixes = [], [], [], [], [], []
             for raw in batch.column("raw").to_pylist():
                 s = sets(raw)
                 n = len(s)
                 sizes.append(n)
                 if not n:
-                    keys.append(None), groups.append(None), prefixes.append(None)
+                    keys.append(None), groups.append(None), bits.append(None), wide.append(None), prefixes.append(None)
                     continue
                 p = prefix_length(n, percent)
                 rank = cells[cells_of(s)].astype(np.uint64)
                 first = s[np.lexsort((s, rank))[:p]]
                 g = set_key(np.append(first, np.uint64(n)))
-                keys.append(set_key(s)), groups.append(g)
+                own = bitmap(s)
+                keys.append(set_key(s)), groups.append(g), bits.append(fold(own, BITMAP).tolist()), wide.append(own.tobytes())
                 prefixes.append(None if g in told else first.view(np.int64).tolist())
                 if len(told) > 200_000:
                     told.clear()
                 told.add(g)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.int64()), "grp": pa.array(groups, pa.int64()), "n": pa.array(sizes, pa.int64()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.int64()), "grp": pa.array(groups, pa.int64()), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64())), "wide": pa.array(wide, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
 
-    return texts.mapInArrow(work, f"doc_id {dict(texts.dtypes)['doc_id']}, key long, grp long, n long, prefix array<long>")
+    return texts.mapInArrow(work, f"doc_id {dict(texts.dtypes)['doc_id']}, key long, grp long, n long, bits array<long>, wide binary, prefix array<long>")
 
 
 def fetch_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -150,33 +168,55 @@ def fetch_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return texts.join(wanted, "doc_id").select("key", "raw").mapInArrow(work, "key long, shingles binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets reach the similarity. Each of a's sets meets the b's in one row at a time."""
+def verify(texts: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of keys whose sets reach the similarity."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                s, t = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+    def near(x: bytes, y: bytes, n: int, m: int) -> bool:
+        s, t = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")  # unsigned: bits of a negative number are not its value's
+        k = min(len(s), len(t))
+        differing = int(np.bitwise_count(fold(s, k) ^ fold(t, k)).sum())
+        return (100 + percent) * (n + m - differing) >= 2 * percent * (n + m)
+
+    def linked(x: bytes, y: bytes, n: int, m: int) -> bool:
+        both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+        return 100 * both >= percent * (n + m - both)
 
-    joined = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+    def passing(pairs: DataFrame, rows: DataFrame, test) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                mask = pa.array([test(*x) for x in zip(*[batch.column(c).to_pylist() for c in ("x", "y", "n", "m")])], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+
+        joined = pairs.join(rows.select(F.col("key").alias("a"), F.col("value").alias("x"), "n"), "a").join(rows.select(F.col("key").alias("b"), F.col("value").alias("y"), F.col("n").alias("m")), "b")
+        return joined.select("a", "b", "x", "y", "n", "m").mapInArrow(work, "a long, b long")
+
+    def of(pairs: DataFrame, cols: list) -> DataFrame:
+        keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        return classes.select("key", *cols).join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "key")
+
+    pairs = checkpoint(passing(pairs, of(pairs, ["n", F.col("wide").alias("value")]), near))
+    wanted = checkpoint(of(pairs, ["doc_id"]))
+    sets = fetch_sets(texts, F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, size)
+    return passing(pairs, checkpoint(sets.dropDuplicates(["key"])).select("key", F.col("shingles").alias("value"), (F.octet_length("shingles") / 8).cast("long").alias("n")), linked)
 
 
 def sized(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def may_link(a: str, b: str, bits_a: str, bits_b: str, percent: int) -> Column:
+    """Whether sizes and bitmaps leave room for the similarity: the sets share (a + b - differing bits) / 2 at most."""
+    differing = sum((F.bit_count(F.col(bits_a)[k].bitwiseXOR(F.col(bits_b)[k])) for k in range(BITMAP)), F.lit(0))
+    total = F.col(a) + F.col(b)
+    return sized(F.col(a), F.col(b), percent) & ((100 + percent) * (total - differing) >= 2 * percent * total)
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id reachable by links, itself included."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
     rows = checkpoint(documents_and_entries(texts, size, percent))
     # classes of equal sets; a class is named by its key
-    classes = checkpoint(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("n").alias("n")))
+    classes = checkpoint(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
     entries = rows.where("prefix is not null").select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
     # lists of several groups; and for groups of several classes, the list of their first shingle
     lists = entries.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token")
@@ -184,39 +224,43 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     own = rows.where("prefix is not null").select("grp", F.col("prefix")[0].alias("token")).join(several, "grp", "left_semi").select("token")
     entries = entries.join(lists.unionByName(own).distinct(), "token").select("token", "grp", "pos").distinct()
     # group pairs are expanded to their members, as classes
-    entries = checkpoint(entries.join(classes.select("grp", "key", "n"), "grp").select("token", "key", "n", "pos"))
-    wanted = checkpoint(entries.select("key").distinct().join(classes, "key").select("key", "doc_id"))
-    sets = checkpoint(fetch_sets(texts, F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, size))
-    roots = None
-    links, tried = None, None
+    entries = checkpoint(entries.join(classes.select("grp", "key", "n", "bits"), "grp").select("token", "key", "n", "bits", "pos"))
+    roots, links, tried, n_entries = None, None, None, 0
     for turn in range(ROUNDS + 1):
-        spread = entries if roots is None else entries.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
         if roots is None:
-            spread = spread.withColumn("root", F.col("key"))
+            spread = entries.withColumn("root", F.col("key"))
+        else:
+            spread = entries.join(F.broadcast(roots) if n_roots <= BROADCAST_ROWS else roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
         # lists that still hold several components
-        still = spread.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), F.min(F.struct(F.xxhash64("key", F.lit(turn)), F.col("key").alias("key"), F.col("root").alias("root"), F.col("n").alias("n"))).alias("pivot")).where("low <> high")
+        draw = F.xxhash64("key", F.lit(turn))
+        still = spread.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), F.min_by("key", draw).alias("pivot"), F.min_by("root", draw).alias("pivot_root")).where("low <> high")
         still = checkpoint(still)
         size_of = still.agg(F.sum("m").alias("m"), F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs")).first()
         if not size_of["m"]:
             break
-        last = turn == ROUNDS or size_of["pairs"] <= PAIRS_PER_ENTRY * size_of["m"]
-        spread = spread.join(still.select("token", "pivot"), "token")
+        n_entries = n_entries or size_of["m"]
+        last = turn == ROUNDS or size_of["pairs"] <= PAIRS_PER_ENTRY * n_entries
         if last:
-            other = spread.select("token", F.col("key").alias("key2"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
-            pairs = spread.drop("pivot").join(other.drop("pivot"), "token").where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & sized(F.col("n"), F.col("n2"), percent))
+            own = spread.join(still.select("token"), "token", "left_semi")
+            other = own.select("token", F.col("key").alias("key2"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("pos").alias("pos2"))
+            pairs = own.join(other, "token").where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & may_link("n", "n2", "bits", "bits2", percent))
             # sharing this token at these places, the sets can share no more than what stands before and after
             most = F.least("pos", "pos2") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
             pairs = pairs.where(most * (100 + percent) >= percent * (F.col("n") + F.col("n2"))).select(F.col("key").alias("a"), F.col("key2").alias("b"))
         else:
-            pairs = spread.where((F.col("key") != F.col("pivot.key")) & (F.col("root") != F.col("pivot.root")) & sized(F.col("n"), F.col("pivot.n"), percent)).select(F.least("key", "pivot.key").alias("a"), F.greatest("key", "pivot.key").alias("b"))
+            pivots = still.select("token", F.col("pivot"), "pivot_root").join(classes.select(F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("bits").alias("pivot_bits")), "pivot")
+            spread = spread.join(pivots, "token").where(F.col("key") != F.col("pivot"))
+            pairs = spread.where((F.col("root") != F.col("pivot_root")) & may_link("n", "pivot_n", "bits", "pivot_bits", percent)).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
+            entries = checkpoint(entries.join(still.select("token", "pivot"), "token").where(F.col("key") != F.col("pivot")).drop("pivot"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = checkpoint(pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = checkpoint(verify(pairs, sets, percent))
+        found = checkpoint(verify(texts, classes, pairs, size, percent))
         links = found if links is None else links.unionByName(found)
         roots = checkpoint(components(links).withColumnRenamed("node", "key"))
+        n_roots = roots.count()
         if last:
             break
     if roots is None:

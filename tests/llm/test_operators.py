@@ -279,6 +279,16 @@ def test_segmentations_are_summed():
     assert counts[2] == pytest.approx((0.2**3 + 0.2**2) / z) and counts[3] == pytest.approx(0.2**2 / z)
 
 
+def test_bitmaps_never_differ_more_than_sets():
+    for _ in range(300):
+        words = [R.choice(VOCAB) for _ in range(R.randrange(1, 900))]
+        s, t = (jaccard_join.Sets(3)(" ".join(w).encode()) for w in (words, words[: R.randrange(1, 900)] + [R.choice(VOCAB)]))
+        x, y = (jaccard_join.bitmap(z).view("<u8") for z in (s, t))
+        k = min(len(x), len(y))
+        whole, folded = (int(np.bitwise_count(jaccard_join.fold(x, n) ^ jaccard_join.fold(y, n)).sum()) for n in (k, jaccard_join.BITMAP))
+        assert folded <= whole <= len(np.setxor1d(s, t))
+
+
 @pytest.mark.parametrize("per_entry", [4, 0])
 @pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
 def test_jaccard_join(docs, empty, monkeypatch, per_entry, size, percent):
