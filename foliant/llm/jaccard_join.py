@@ -187,7 +187,8 @@ def verify(texts: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, pe
                 mask = pa.array([test(*x) for x in zip(*[batch.column(c).to_pylist() for c in ("x", "y", "n", "m")])], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-        joined = pairs.join(rows.select(F.col("key").alias("a"), F.col("value").alias("x"), "n"), "a").join(rows.select(F.col("key").alias("b"), F.col("value").alias("y"), F.col("n").alias("m")), "b")
+        few = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
+        joined = few.join(rows.select(F.col("key").alias("a"), F.col("value").alias("x"), "n"), "a").join(rows.select(F.col("key").alias("b"), F.col("value").alias("y"), F.col("n").alias("m")), "b")
         return joined.select("a", "b", "x", "y", "n", "m").mapInArrow(work, "a long, b long")
 
     def of(pairs: DataFrame, cols: list) -> DataFrame:
