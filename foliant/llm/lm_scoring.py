@@ -2,16 +2,18 @@
 
 Words and word pairs of the training texts are counted in full. Counts are quantised on a log scale, and each n-gram is
 put into the filter once for each level up to its own; a lookup probes level after level until one is missing. The
-filter is cut into blocks, one for each bucket of hashes, so that buckets build their own blocks in parallel; its whole
-size has a fixed bound, so it may be broadcast. Pairs seen once are not part of the model; where the others outgrow the
-bound, the least count of a pair is raised until they fit.
+filter is cut into blocks, one for each bucket of hashes, built in parallel; a block's bits follow its own insertions, so
+that the filter never overfills, whatever the size of the texts. Pairs seen once are not part of the model, all others
+are. Each chunk of documents sends its distinct words and pairs to their buckets once, with their counts in the training
+texts; a bucket sums them, builds its block, looks up what each chunk sent and answers it. No task and no driver holds the
+whole filter.
 
     P(w | v) = L * c(v, w) / c(v) + (1 - L) * P(w),    P(w) = (c(w) + 1) / (N + V + 1)
 
 with c read from the filter, and L the leave-one-out share of training tokens whose pair occurs elsewhere too; after a
-word that the filter lacks, P(w) alone counts. The add-one base score uses exact counts: those of the most frequent words come from a
-broadcast table of fixed size, those of all others from a co-grouped lookup by bucket. What is shuffled grows with the
-texts: n-gram counts and rare words, as packed arrays, never texts.
+word that the filter lacks, P(w) alone counts. The add-one base score uses exact counts, which come with the same answers.
+What is shuffled grows with the texts: distinct n-grams of each chunk and their counts, and the chunk's tokens as
+compressed places among its words, never texts.
 Null texts count as empty (one end token), repeated rows count and are scored each, other columns are left out. With no
 training text N and V are 0 and every probability is 1.
 """
@@ -28,17 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import WordHashes, buckets_for, checkpoint, mix, text_bytes
+from foliant.llm.common import WordHashes, buckets_for, mix, text_bytes
 
 LEAST_PAIR = 2
 #: Counts c are of level 1 + floor(log c / log STEP).
 STEP, LEVELS = 1.5, 64
-#: Bits for each insertion, probes of each lookup, and the most bits of the whole filter (32 MB).
-BITS, PROBES, MOST_BITS = 10, 5, 1 << 28
-#: Words of the exact broadcast table; bytes of text for each bucket; of each chunk of documents.
-FREQUENT, BUCKET_BYTES, CHUNK_BYTES = 1 << 18, 4 << 20, 6 << 20
-#: Pairs that a task gathers before it hands them on.
-FLUSH = 3_000_000
+#: Bits for each insertion, probes of each lookup.
+BITS, PROBES = 10, 5
+#: Bytes of text for each bucket; of each chunk of documents.
+BUCKET_BYTES, CHUNK_BYTES = 4 << 20, 6 << 20
 END, BEGIN = b"\n", b"\n\n"  # no word holds a line feed
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 LOW48 = np.uint64((1 << 48) - 1)
@@ -72,13 +72,15 @@ class Filter:
         self.blocks, self.bits, self.n = blocks, bits, len(blocks) * 8 // bits
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(h), np.int64)
         if not self.n:
-            return found
+            return np.zeros(len(h), np.int64)
         bucket = bucket_of(h, self.n)
-        keys = (h & LOW48) | (bucket << np.uint64(48))
-        base = bucket * np.uint64(self.bits)
-        at = np.arange(len(h))
+        return self.found((h & LOW48) | (bucket << np.uint64(48)), bucket * np.uint64(self.bits))
+
+    def found(self, keys: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Levels of keys (low 48 bits of the hash, then the bucket) in the blocks that start at the bits base."""
+        found = np.zeros(len(keys), np.int64)
+        at = np.arange(len(keys))
         for level in range(1, LEVELS + 1):
             for probe in range(PROBES):
                 p = base + positions(keys, level, probe, self.bits)
@@ -90,9 +92,6 @@ class Filter:
             found[at] = level
         return found
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        return level_values()[self.levels(h)]
-
 
 def block(bucket: int, words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, bits: int) -> np.ndarray:
     low = np.concatenate([words & LOW48, pairs]) | (np.uint64(bucket) << np.uint64(48))
@@ -176,171 +175,114 @@ def by_bucket(h: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]
         yield int(b[part[0]]), part
 
 
-COUNTED = "bucket int, words binary, word_counts binary, pairs binary, pair_counts binary"
-
+def packed(numbers: np.ndarray) -> bytes:
+    """Byte planes, compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True) if len(numbers) else b""
 
-def count_ngrams(texts: DataFrame, n_buckets: int) -> DataFrame:
-    """A row for each bucket: sorted word hashes and counts, and pairs (48 bits) seen at least LEAST_PAIR times; plus tokens, and the pair levels' histogram."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = Reader()
-        words, pairs, held = [], [], 0
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 4 * n, "zstd", asbytes=True) if n else b"", np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = []
-            for kind, found in (("words", words), ("pairs", pairs)):
-                if not found:
-                    continue
-                h, n = summed(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
-                for b, part in by_bucket(h, n_buckets):
-                    own, c = h[part], n[part].astype("<u4")
-                    rows.append((b, own.astype("<u8").tobytes(), c.tobytes(), None, None) if kind == "words" else (b, None, None, pack48(own), c.tobytes() if c.max() > 1 else b""))
-            words.clear()
-            pairs.clear()
-            for at in range(0, len(rows), 512):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 512]), [pa.int32(), *[pa.binary()] * 4])], ["bucket", "words", "word_counts", "pairs", "pair_counts"])
 
-        for part in chunks(batches):
-            h, sizes = read(part.column("raw").to_pylist())
-            for found, x in ((words, h), (pairs, pair_hash(read.before(h, sizes), h))):
-                u, n = np.unique(x, return_counts=True)
-                found.append((u, n))
-            held += len(pairs[-1][0])
-            if held > FLUSH:
-                yield from flush()
-                held = 0
-        yield from flush()
-
-    def total(group: pa.Table) -> pa.Table:
-        def gather(col: str, counts: str, unpack) -> tuple[np.ndarray, np.ndarray]:
-            h, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for x, c in zip(group.column(col).to_pylist(), group.column(counts).to_pylist()):
-                if x is not None:
-                    h.append(unpack(x))
-                    n.append(np.frombuffer(c, "<u4").astype(np.int64) if c else np.ones(len(h[-1]), np.int64))
-            return summed(np.concatenate(h), np.concatenate(n))
-
-        words, nw = gather("words", "word_counts", lambda x: np.frombuffer(x, "<u8"))
-        pairs, np_ = gather("pairs", "pair_counts", unpack48)
-        keep = np_ >= LEAST_PAIR
-        pairs, np_ = pairs[keep], np_[keep]
-        hist = lambda n: np.bincount(level_of(n.astype(float)) if len(n) else np.zeros(0, np.int64), minlength=LEVELS + 1).tolist()
-        return pa.table(
-            {
-                "bucket": pa.array([group.column("bucket")[0].as_py()], pa.int32()), "words": pa.array([words.astype("<u8").tobytes()], pa.binary()), "word_counts": pa.array([nw.astype("<u4").tobytes()], pa.binary()),
-                "pairs": pa.array([pack48(pairs)], pa.binary()), "pair_counts": pa.array([np_.astype("<u4").tobytes()], pa.binary()), "n_tokens": pa.array([int(nw.sum())], pa.int64()), "n_words": pa.array([len(words)], pa.int64()), "kept": pa.array([int((np_ - 1).sum())], pa.int64()),
-                "word_levels": pa.array([hist(nw)], pa.list_(pa.int64())), "pair_levels": pa.array([hist(np_)], pa.list_(pa.int64())),
-            }
-        )
-
-    return texts.select("raw").mapInArrow(count, COUNTED).groupBy("bucket").applyInArrow(total, COUNTED + ", n_tokens long, n_words long, kept long, word_levels array<long>, pair_levels array<long>")
-
-
-def fit(counted: DataFrame, n_buckets: int) -> dict:
-    """Totals, the exact table of frequent words, and the filter."""
-    sums = counted.select(F.sum("n_tokens").alias("n"), F.sum("n_words").alias("v"), F.sum("kept").alias("kept"), *[F.sum(F.col(c)[k]).alias(f"{c[0]}{k}") for c in ("word_levels", "pair_levels") for k in range(LEVELS + 1)]).first()
-    n, v = sums["n"] or 0, sums["v"] or 0
-    words, pairs = (np.array([sums[f"{c}{k}"] or 0 for k in range(LEVELS + 1)]) for c in "wp")
-    # the least level whose words fit the exact table
-    above = lambda hist: np.cumsum(hist[::-1])[::-1]
-    top = next(k for k in range(LEVELS + 2) if k > LEVELS or above(words)[k] <= FREQUENT)
-    insertions = lambda low: int((words * np.arange(LEVELS + 1)).sum() + (pairs * np.arange(LEVELS + 1))[low:].sum())
-    low = next(k for k in range(LEVELS + 2) if k > LEVELS or insertions(k) * BITS <= MOST_BITS)
-    bits = max(64, min(insertions(low) * BITS, MOST_BITS) // n_buckets // 8 * 8)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                h, c = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["word_counts"], "<u4")
-                p, pc = unpack48(r["pairs"]), np.frombuffer(r["pair_counts"], "<u4")
-                if len(p):
-                    keep = level_of(pc.astype(float)) >= low
-                    p, pc = p[keep], pc[keep]
-                frequent = level_of(c.astype(float)) >= top if len(c) else np.zeros(0, bool)
-                out.append((r["bucket"], block(r["bucket"], h, c, p, pc, bits).tobytes(), h[frequent].tobytes(), c[frequent].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int32(), *[pa.binary()] * 3])], ["bucket", "block", "words", "counts"])
-
-    blocks = np.zeros(n_buckets * bits // 8, np.uint8)
-    h, c = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
-    for r in counted.select("bucket", "words", "word_counts", "pairs", "pair_counts").mapInArrow(build, "bucket int, block binary, words binary, counts binary").toLocalIterator():
-        blocks[r["bucket"] * bits // 8 : (r["bucket"] + 1) * bits // 8] = np.frombuffer(r["block"], np.uint8)
-        h.append(np.frombuffer(r["words"], "<u8"))
-        c.append(np.frombuffer(r["counts"], "<u4"))
-    h, c = np.concatenate(h), np.concatenate(c)
-    order = np.argsort(h)
-    return {"n": n, "v": v, "share": min(0.95, (sums["kept"] or 0) / max(1, n)), "bits": bits, "blocks": blocks, "words": h[order], "counts": c[order]}
+SENT = "bucket int, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary, held binary"
+ANSWERED = "bucket int, chunk long, words binary, word_levels binary, pairs binary, n_tokens long, n_words long, kept long, held binary"
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from the rows that are not held out."""
     texts = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
     n_buckets = buckets_for(text_bytes(docs, text_col), BUCKET_BYTES)
-    counted = checkpoint(count_ngrams(texts.where("not held_out"), n_buckets))
-    model = fit(counted, n_buckets)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    n_train, log_all = model["n"], math.log10(model["n"] + model["v"] + 1)
     kind = dict(texts.dtypes)["doc_id"]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        own, read, number = Filter(m["blocks"], m["bits"]), Reader(), 0
+        read, number = Reader(), 0
         task = TaskContext.get().partitionId()
         for part in chunks(batches):
             h, sizes = read(part.column("raw").to_pylist())
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            # exact counts of frequent words; the rest is asked for
-            at = np.minimum(np.searchsorted(m["words"], h), max(0, len(m["words"]) - 1))
-            exact = m["words"][at] == h if len(m["words"]) else np.zeros(len(h), bool)
-            base = np.bincount(doc[exact], np.log10(m["counts"][at[exact]] + 1.0) - log_all, len(sizes)) if exact.any() else np.zeros(len(sizes))
-            known = np.bincount(doc[exact], minlength=len(sizes))
-            v = read.before(h, sizes)
-            c_w = own.counts(h)
-            c_v = np.empty_like(c_w)
-            c_v[1:] = c_w[:-1]
-            first = v == read.begin
-            c_v[first] = own.counts(np.full(1, read.end))[0] if len(h) else 0  # as many texts begin as end
-            pair = np.minimum(own.counts(pair_hash(v, h)) / np.maximum(c_v, 1), 1)
-            share = np.where(c_v > 0, m["share"], 0)
-            p = share * pair + (1 - share) * (c_w + 1) / (m["n"] + m["v"] + 1)
-            lm = np.bincount(doc, np.log10(np.minimum(p, 1.0)), len(sizes))
+            training = np.repeat(np.array([x is False for x in part.column("held_out").to_pylist()], bool), sizes)
+            words, at, n = np.unique(h, return_inverse=True, return_counts=True)
+            pairs, pair_at = np.unique(pair_hash(read.before(h, sizes), h), return_inverse=True)
+            word_counts, pair_counts = np.bincount(at[training], minlength=len(words)), np.bincount(pair_at[training], minlength=len(pairs))
+            # frequent words get small places, which compress
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
             chunk = (task << 32) + number
             number += 1
-            held = pa.table({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": sizes, "n_known": known, "base": base, "score": lm})
+            held = pa.table({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": sizes})
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held.schema) as w:
+            with pa.ipc.new_stream(sink, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(held)
-            rows = [(chunk % n_buckets, chunk, None, None, sink.getvalue().to_pybytes())]
-            rare_h, rare_doc = h[~exact], doc[~exact].astype("<u4")
-            for b, part_ in by_bucket(rare_h, n_buckets):
-                rows.append((b, chunk, rare_doc[part_].tobytes(), rare_h[part_].tobytes(), None))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), pa.int64(), *[pa.binary()] * 3])], ["bucket", "chunk", "doc", "word", "held"])
-
-    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
-        h = np.frombuffer(table.column("words")[0].as_py(), "<u8") if len(table) else np.zeros(0, np.uint64)
-        c = np.frombuffer(table.column("word_counts")[0].as_py(), "<u4") if len(table) else np.zeros(0, np.uint32)
-        out = []
-        for chunk, doc, word, held in zip(*[asked.column(x).to_pylist() for x in ("chunk", "doc", "word", "held")]):
+            rows = [(chunk % n_buckets, chunk, words[order].astype("<u8").tobytes(), None, packed(rank[at]), None, sink.getvalue().to_pybytes())]
+            none = np.zeros(0, np.int64)
+            word_parts, pair_parts = dict(by_bucket(words, n_buckets)), dict(by_bucket(pairs, n_buckets))
+            for b in range(n_buckets):  # even if nothing is asked: each bucket's sums are wanted
+                w, p = word_parts.get(b, none), pair_parts.get(b, none)
+                rows.append((b, chunk, words[w].astype("<u8").tobytes(), packed(word_counts[w]), pack48(pairs[p]), packed(pair_counts[p]), None))
+            for start in range(0, len(rows), 512):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[start : start + 512]), [pa.int32(), pa.int64(), *[pa.binary()] * 5])], ["bucket", "chunk", "words", "word_counts", "pairs", "pair_counts", "held"])
+
+    def answer(group: pa.Table) -> pa.Table:
+        """For each chunk, in the order it sent them: exact counts and levels of words, levels of pairs; and the bucket's sums. What a chunk holds goes through."""
+        out, sent = [], []
+        for bucket, chunk, words, word_counts, pairs, pair_counts, held in zip(*[x.to_pylist() for x in group.columns]):
             if held is not None:
-                out.append((chunk, None, None, held))
+                out.append((None, chunk, words, None, pairs, None, None, None, held))
                 continue
-            w = np.frombuffer(word, "<u8")
+            w, p = np.frombuffer(words, "<u8"), unpack48(pairs)
+            sent.append((chunk, w, unpacked(word_counts, len(w)), p, unpacked(pair_counts, len(p))))
+
+        def gather(k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+            h, n = np.concatenate([x[k] for x in sent]), np.concatenate([x[k + 1] for x in sent]).astype(np.int64)
+            h, n = summed(h[n > 0], n[n > 0])
+            return h[n >= least], n[n >= least]
+
+        h, c = gather(1, 1)
+        pairs, pair_counts = gather(3, LEAST_PAIR)
+        inserted = sum(int(level_of(n.astype(float)).sum()) for n in (c, pair_counts) if len(n))
+        bits = max(64, -(-inserted * BITS // 8) * 8)
+        own = Filter(block(bucket, h, c, pairs, pair_counts, bits), bits)
+        sums = int(c.sum()), len(h), int((pair_counts - 1).sum())
+
+        def levels(keys: np.ndarray) -> bytes:
+            return own.found((keys & LOW48) | (np.uint64(bucket) << np.uint64(48)), np.zeros(len(keys), np.uint64)).astype(np.uint8).tobytes()
+
+        for chunk, w, _, p, _ in sent:
             at = np.minimum(np.searchsorted(h, w), max(0, len(h) - 1))
-            n = np.where(h[at] == w, c[at], 0) if len(h) else np.zeros(len(w), np.uint32)
-            out.append((chunk, doc, n.astype("<u4").tobytes(), None))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 4, [pa.int64(), *[pa.binary()] * 3])], ["chunk", "doc", "n", "held"])
+            n = np.where(h[at] == w, c[at], 0) if len(h) else np.zeros(len(w), np.int64)
+            out.append((bucket, chunk, packed(n), levels(w), levels(p), *sums, None))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out), [pa.int32(), pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * 3, pa.binary()])], ["bucket", "chunk", "words", "word_levels", "pairs", "n_tokens", "n_words", "kept", "held"])
 
     def close(group: pa.Table) -> pa.Table:
-        held = next(x for x in group.column("held").to_pylist() if x is not None)
+        answers = sorted(zip(*[x.to_pylist() for x in group.columns]), key=lambda x: -1 if x[0] is None else x[0])
+        (_, _, words, _, places, *_, held), answers = answers[0], answers[1:]
+        n_train, n_words, kept = (sum(x[k] for x in answers) for k in (5, 6, 7))
+        all_, share = n_train + n_words + 1, min(0.95, kept / max(1, n_train))
         t = pa.ipc.open_stream(held).read_all()
-        base, known = t.column("base").to_numpy().copy(), t.column("n_known").to_numpy().copy()
-        for doc, n in sorted((d, n) for d, n in zip(group.column("doc").to_pylist(), group.column("n").to_pylist()) if d is not None):
-            d, n = np.frombuffer(doc, "<u4"), np.frombuffer(n, "<u4")
-            base += np.bincount(d, np.log10(n + 1.0) - log_all, len(base))
-            known += np.bincount(d, n > 0, len(base)).astype(np.int64)
-        return pa.table({"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": t.column("n_tokens"), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n_train] * len(t), pa.int64()), "base_score": base, "score": t.column("score")})
-
-    asked = texts.mapInArrow(look, "bucket int, chunk long, doc binary, word binary, held binary")
-    answers = asked.groupBy("bucket").cogroup(counted.select("bucket", "words", "word_counts").groupBy("bucket")).applyInArrow(answer, "chunk long, doc binary, n binary, held binary")
-    answers = answers.where("chunk is not null")
+        sizes = t.column("n_tokens").to_numpy()
+        words = np.frombuffer(words, "<u8")
+        at = unpacked(places, int(sizes.sum()))
+        # answers come in the order of buckets and, within each, of hashes: that of all hashes
+        order = np.argsort(words)
+        n, level = np.empty(len(words)), np.empty(len(words), np.int64)
+        n[order] = np.concatenate([unpacked(x[2], len(x[3])) for x in answers])
+        level[order] = np.frombuffer(b"".join(x[3] for x in answers), np.uint8)
+        count = level_values()[level]
+        doc, h, read = np.repeat(np.arange(len(sizes)), sizes), words[at], Reader()
+        v = read.before(h, sizes)
+        c_w = count[at]
+        c_v = np.empty_like(c_w)
+        c_v[1:] = c_w[:-1]
+        c_v[v == read.begin] = count[words == read.end][0]  # as many texts begin as end
+        pair_level = np.frombuffer(b"".join(x[4] for x in answers), np.uint8)
+        pair = level_values()[pair_level][np.unique(pair_hash(v, h), return_inverse=True)[1]]
+        share = np.where(c_v > 0, share, 0)
+        p = share * np.minimum(pair / np.maximum(c_v, 1), 1) + (1 - share) * (c_w + 1) / all_
+        base = np.bincount(doc, np.log10(n + 1.0)[at] - math.log10(all_), len(sizes))
+        known = np.bincount(doc, n[at] > 0, len(sizes)).astype(np.int64)
+        lm = np.bincount(doc, np.log10(np.minimum(p, 1.0)), len(sizes))
+        return pa.table({"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": t.column("n_tokens"), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n_train] * len(t), pa.int64()), "base_score": base, "score": lm})
+
+    answers = texts.mapInArrow(look, SENT).groupBy("bucket").applyInArrow(answer, ANSWERED)
     return answers.groupBy("chunk").applyInArrow(close, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -196,6 +198,36 @@ def test_lm_scoring(docs, empty):
     assert lm_scoring.score(empty, language_id.held_out("doc_id", 7)).count() == 0
 
 
+def test_lm_scoring_filter_follows_the_training_texts(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "MOST_BITS", 1 << 12, raising=False)  # a bound on the filter would overfill it here
+    texts = DOCS + [(1000 + i, prose(200)) for i in range(60)]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(frame(spark, texts), language_id.held_out("doc_id", 7)).collect()}
+    want = brute_lm_scores(texts)
+    assert got.keys() == want.keys()
+    # false positives of the filter: about one lookup in a hundred
+    assert np.mean([abs(got[i] / want[i] - 1) for i in want]) < 0.02
+
+
+def brute_lm_scores(texts):
+    """The model with exact counts, quantised as the filter's levels are."""
+    tokens = {i: (t or "").translate(brute.LOWER).encode().split() + [b"\n"] for i, t in texts}
+    train = [w for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    words = Counter(x for w in train for x in w)
+    pairs = Counter(p for w in train for p in zip([None, *w], w))
+    value = lambda n: lm_scoring.level_values()[lm_scoring.level_of(np.array([n], float))[0]] if n else 0.0
+    n, v = sum(words.values()), len(words)
+    share = min(0.95, sum(c - 1 for c in pairs.values()) / n)
+    out = {}
+    for i, w in tokens.items():
+        out[i] = 0.0
+        for a, b in zip([None, *w], w):
+            c_v = value(words[b"\n" if a is None else a])
+            own = share if c_v else 0
+            pair = value(pairs[a, b]) if pairs[a, b] > 1 else 0
+            out[i] += math.log10(min(1, own * min(1, pair / max(c_v, 1)) + (1 - own) * (value(words[b]) + 1) / (n + v + 1)))
+    return out
+
+
 def test_log_frequency_filter_reads_back_its_levels():
     h = lm_scoring.mix(np.arange(1, 4001, dtype=np.uint64))
     c = np.array([R.choice([1, 2, 5, 40, 3000]) for _ in h])
