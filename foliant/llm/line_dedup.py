@@ -1,7 +1,8 @@
 """Line dedup by a segment-partition edit join.
 
 A line of at least MIN_CHARS characters is removed if an earlier line of the corpus (by doc_id, then place) is equal to
-it or within TAU edits of it; whether that one is itself removed does not matter. A line within TAU edits of another
+it or within TAU edits of it; whether that one is itself removed does not matter. With short_repeats, shorter lines that
+hold more than white space are removed too if an earlier line is equal to them. A line within TAU edits of another
 holds one of the other's TAU + 1 segments unchanged, at a place that the lengths allow: segments are indexed, the
 allowed substrings of lines of the same or up to TAU more characters are probes, both by 64-bit keys, dealt to buckets
 as packed arrays. Each entry of a key is first compared with the earliest line under it; only lines for which that fails
@@ -97,10 +98,11 @@ def edit_distance_within(a: str, b: str, most: int) -> bool:
     return score - (vp & below).bit_count() + (vn & below).bit_count() <= most
 
 
-def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, place, line for lines long enough, of documents with an id."""
+def lines_of(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
+    """doc_id, place, line for lines long enough (short: for all that are not blank, too), of documents with an id."""
     lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return lines.where(F.length("line") >= min_chars)
+    long = F.length("line") >= min_chars
+    return lines.where(long | F.col("line").rlike(r"\S") if short else long)
 
 
 ENTRY = np.dtype([("key", "<u8"), ("line", "<i8"), ("doc", "<i8"), ("place", "<u4"), ("probe", "u1")])
@@ -234,9 +236,9 @@ def near_copies(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     return judged.where("at2 < at").select("line").distinct()
 
 
-def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
     """doc_id, gone (array of places): lines that an earlier equal or near line takes away."""
-    lines = lines_of(docs, min_chars).select("doc_id", "place", F.xxhash64("line").alias("line"), F.xxhash64(F.lit(1), "line").alias("more"))
+    lines = lines_of(docs, min_chars, short_repeats).select("doc_id", "place", F.xxhash64("line").alias("line"), F.xxhash64(F.lit(1), "line").alias("more"))
     first = lines.groupBy("line", "more").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.count("*").alias("n"))
     near = checkpoint(near_copies(docs, tau, min_chars)).withColumn("near", F.lit(True))
     first = first.join(F.broadcast(near) if near.count() <= BROADCAST_ROWS else near, "line", "left").where("near or n > 1")
@@ -244,10 +246,10 @@ def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS)
     return gone.groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
     """row (struct of all columns of docs, the text less its removed lines), n_lines, n_removed (long)."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gone = checkpoint(removed_places(own, tau, min_chars))
+    gone = checkpoint(removed_places(own, tau, min_chars, short_repeats))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.struct(*docs.columns).alias("row"))
     joined = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left").select("row", F.col("row")[text_col].alias("text"), "gone")
 

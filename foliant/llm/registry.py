@@ -20,7 +20,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.summary(table(spark, sf_dir, "documents"))
+    return line_dedup.summary(table(spark, sf_dir, "documents"), short_repeats=True)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import decontamination, jaccard_join, language_id, line_dedup, lm_scoring, packing, pii, quality_rules, suffix_dedup, token_counts
+from foliant.llm import decontamination, jaccard_join, language_id, line_dedup, lm_scoring, packing, pii, quality_rules, registry, suffix_dedup, token_counts
 from foliant.llm.pretoken import tokenizer
 
 R = random.Random(7)
@@ -110,6 +110,22 @@ def test_line_dedup(docs, empty):
     assert line_dedup.deduplicated(docs).columns == docs.columns
 
 
+def test_line_dedup_query_removes_short_repeats(spark, tmp_path):
+    own = [*DOCS, (900, "All rights reserved.\n \n\nok"), (901, "ok\n\n \nAll rights reserved.\nall rights reserved."), (902, "ok\nok")]
+    spark.createDataFrame(own, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    gone, seen = brute.removed_lines(own), set()
+    for i, t in own:
+        for k, x in enumerate(t.split("\n") if t is not None else []):
+            if x.strip() and x in seen:
+                gone.setdefault(i, set()).add(k)
+            seen.add(x)
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in registry.op3_line_dedup(spark, str(tmp_path)).collect()}
+    for i, t in own:
+        kept = [x for k, x in enumerate((t or "").split("\n")) if k not in gone.get(i, ())]
+        assert got[i] == (len(gone.get(i, ())), brute.sha("\n".join(kept)))
+    assert (got[901][0], got[902][0]) == (2, 2)
+
+
 def test_line_dedup_leaves_null_ids_and_repeats(spark):
     line = "a line that is long enough to count"
     d = spark.createDataFrame([(None, line), (1, line), (1, line), (2, line), (3, line + "s")], "doc_id long, text string")
