@@ -5,14 +5,15 @@ one of their first n - ceil(t * n) + 1 shingles. Documents with the same prefix
 one class within it. Rarity comes from a sketch of fixed size (counts by hash): any total order gives right results, a
 rarity order gives few candidates.
 
-No list of a shingle's groups is turned into all its pairs. Each list is first compared with pivots, one for each list
-and round, chosen anew each round: rows as many as the list has. Links found put groups into components, and only lists
-that still hold several components go on, less their pivots, which have met every other entry; the last of them are
-paired across components only, by a join that Spark can split where a key is hot. Links within a component are not
-needed to know the component, so none is missed. Each set has a bitmap, about a bit for each shingle, each bit the parity
-of the shingles that fall on it: two sets differ in as many shingles at least as their bitmaps in bits, which rules out
-nearly all false pairs, first on bitmaps folded to a fixed size, then on the whole ones. The others are verified on the
-sets themselves, fetched only for the documents that have such pairs.
+Groups that share a prefix shingle meet in that shingle's list. A task holds whole lists (long ones cut into blocks): it
+rules out pairs of groups by size and by the shingle's places, expands the pairs left to their members, one for each
+distinct set, and rules out members by parity bitmaps, about a bit for each shingle: two sets differ in as many shingles
+at least as their bitmaps in bits. Of the members' pairs left it hands on a spanning forest only, so a list gives fewer
+pairs than it has rows, however many of its sets are alike. Pairs are verified on the sets themselves, fetched only for
+the documents that have such pairs. Where all of a forest's pairs hold, its list is done: no other pair of it can join
+components. The other lists, and the lists of several blocks, go on, their members joined by the links known so far:
+blocks are first met by one member of each component, then by pairs of blocks, and at last every pair across components
+that was not verified yet is. So no link between components is missed, and none within them is looked for.
 
 Null, empty and wordless texts have an empty set and link with nothing; texts with fewer words than a shingle have one
 shingle, the whole; rows with a null id follow equal texts and link with nothing else; the least non-null id names a component;
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +37,13 @@ SHINGLE, PERCENT = 3, 90
 #: Cells of the rarity sketch (fixed), and rows it is dealt out in.
 CELLS, PARTS = 1 << 20, 64
 #: 64-bit words of a folded parity bitmap.
-BITMAP = 4
+BITMAP = 8
+#: Rows of a list (or of a block of a longer one) that one task compares; rows of lists for each task.
+BLOCK, TASK_ROWS = 2048, 60_000
 #: Tasks whose sketches one task adds up.
 FAN_IN = 64
-#: Pivot rounds at most; pairs for each list entry of the first round up to which what is left is paired at once.
-ROUNDS, PAIRS_PER_ENTRY = 6, 4
-BROADCAST_ROWS = 200_000
+#: Rows of keys or pairs up to which they are broadcast; links up to which one task joins them into components (16 bytes each).
+BROADCAST_ROWS, TASK_LINKS = 50_000, 1_000_000
 
 
 class Sets:
@@ -145,14 +148,14 @@ def documents_and_entries(texts: DataFrame, size: int, percent: int) -> DataFram
                 first = s[np.lexsort((s, rank))[:p]]
                 g = set_key(np.append(first, np.uint64(n)))
                 own = bitmap(s)
-                keys.append(set_key(s)), groups.append(g), bits.append(fold(own, BITMAP).tolist()), wide.append(own.tobytes())
+                keys.append(set_key(s)), groups.append(g), bits.append(fold(own, BITMAP).tobytes()), wide.append(own.tobytes())
                 prefixes.append(None if g in told else first.view(np.int64).tolist())
                 if len(told) > 200_000:
                     told.clear()
                 told.add(g)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.int64()), "grp": pa.array(groups, pa.int64()), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64())), "wide": pa.array(wide, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.int64()), "grp": pa.array(groups, pa.int64()), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.binary()), "wide": pa.array(wide, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
 
-    return texts.mapInArrow(work, f"doc_id {dict(texts.dtypes)['doc_id']}, key long, grp long, n long, bits array<long>, wide binary, prefix array<long>")
+    return texts.mapInArrow(work, f"doc_id {dict(texts.dtypes)['doc_id']}, key long, grp long, n long, bits binary, wide binary, prefix array<long>")
 
 
 def fetch_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -201,69 +204,195 @@ def verify(texts: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, pe
     return passing(pairs, checkpoint(sets.dropDuplicates(["key"])).select("key", F.col("shingles").alias("value"), (F.octet_length("shingles") / 8).cast("long").alias("n")), linked)
 
 
-def sized(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+ENTRY = "slot long, token long, grp long, key long, n long, pos int, bits binary, root long"
 
 
-def may_link(a: str, b: str, bits_a: str, bits_b: str, percent: int) -> Column:
-    """Whether sizes and bitmaps leave room for the similarity: the sets share (a + b - differing bits) / 2 at most."""
-    differing = sum((F.bit_count(F.col(bits_a)[k].bitwiseXOR(F.col(bits_b)[k])) for k in range(BITMAP)), F.lit(0))
-    total = F.col(a) + F.col(b)
-    return sized(F.col(a), F.col(b), percent) & ((100 + percent) * (total - differing) >= 2 * percent * total)
+def forest(percent: int, every: bool):
+    """From the rows of slots, (slot, token, a, b): a spanning forest of the pairs that may link and join two roots; every: all of those pairs.
 
+    Rows with a null grp are pairs (key, root) known not to link."""
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id: the least doc_id reachable by links, itself included."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    rows = checkpoint(documents_and_entries(texts, size, percent))
-    # classes of equal sets; a class is named by its key
-    classes = checkpoint(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
-    entries = rows.where("prefix is not null").select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
+    def lists(group: pa.Table) -> Iterator[tuple]:
+        group = group.sort_by([("slot", "ascending"), ("n", "ascending"), ("key", "ascending")])
+        slot, token, grp, key, n, root = (group.column(c).to_numpy() for c in ("slot", "token", "grp", "key", "n", "root"))
+        pos = group.column("pos").to_numpy()
+        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), "<u8").reshape(-1, BITMAP)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(slot)) + 1, [len(slot)]])
+        for s, t in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield int(slot[s]), int(token[s]), grp[s:t], key[s:t], n[s:t], pos[s:t], bits[s:t], root[s:t]
+
+    def groups_near(n, pos, x: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others' groups the group of x may link with, by size and by the shingle's places."""
+        m, q = n[others], pos[others]
+        most = np.minimum(pos[x], q) + 1 + np.minimum(n[x] - pos[x], m - q) - 1
+        return (100 * np.minimum(n[x], m) >= percent * np.maximum(n[x], m)) & ((100 + percent) * most >= percent * (n[x] + m))
+
+    def members_near(n, bits, x: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others bitmaps leave in: sets share (a + b - differing bits) / 2 at most."""
+        total = n[x] + n[others]
+        return (100 + percent) * (total - np.bitwise_count(bits[others] ^ bits[x]).sum(1, dtype=np.int64)) >= 2 * percent * total
+
+    def near(part: tuple, x: int, others: np.ndarray, bad: dict) -> np.ndarray:
+        _, _, grp, key, n, pos, bits, _ = part
+        if len(others) > 64:  # whole groups first
+            g, back = np.unique(grp[others], return_inverse=True)
+            one = np.empty(len(g), np.int64)
+            one[back] = others
+            others = others[groups_near(n, pos, x, one)[back]]
+        else:
+            others = others[groups_near(n, pos, x, others)]
+        others = others[members_near(n, bits, x, others)]
+        no = bad.get(int(key[x]))
+        return others[[int(k) not in no for k in key[others]]] if no else others
+
+    def pairs(part: tuple, bad: dict) -> Iterator[tuple[int, int]]:
+        key, root = part[3], part[7]
+        if every:
+            for x in range(len(key)):
+                others = np.arange(x + 1, len(key))
+                for y in near(part, x, others[root[others] != root[x]], bad).tolist():
+                    yield x, y
+            return
+        roots, back = np.unique(root, return_inverse=True)
+        own = np.split(np.argsort(back, kind="stable"), np.cumsum(np.bincount(back))[:-1]) if len(roots) < len(root) else None
+        left = np.ones(len(key), bool)
+        for seed in range(len(key)):
+            if not left[seed]:
+                continue
+            queue = own[back[seed]].tolist() if own else [seed]
+            left[queue] = False
+            while queue and left.any():
+                x = queue.pop()
+                for y in near(part, x, np.flatnonzero(left), bad).tolist():
+                    if left[y]:
+                        more = own[back[y]].tolist() if own else [y]
+                        left[more] = False
+                        queue += more
+                        yield x, y
+
+    def work(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        known, rows = group.filter(pa.compute.is_null(group.column("grp"))), group.filter(pa.compute.is_valid(group.column("grp")))
+        failed: dict[int, dict] = {}
+        for slot, a, b in zip(*(known.column(c).to_pylist() for c in ("slot", "key", "root"))):
+            own = failed.setdefault(slot, {})
+            own.setdefault(a, set()).add(b), own.setdefault(b, set()).add(a)
+        out = []
+        for part in lists(rows) if len(rows) else ():
+            key = part[3]
+            out += [(part[0], part[1], int(min(key[x], key[y])), int(max(key[x], key[y]))) for x, y in pairs(part, failed.get(part[0], {}))]
+        return pa.table([pa.array(x, pa.int64()) for x in (zip(*out) if out else [()] * 4)], ["slot", "token", "a", "b"])
+
+    return work
+
+
+def roots_of(links: DataFrame, n: int) -> DataFrame:
+    """key, root for every key of the links (a, b): one task's union-find while their number n is bounded, rounds of joins beyond."""
+    if n > TASK_LINKS:
+        return components(links).withColumnRenamed("node", "key")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                a, b = top(a), top(b)
+                up[max(a, b)] = min(a, b)
+        keys = list(up)
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "root": pa.array([top(k) for k in keys], pa.int64())})
+
+    return links.select("a", "b").coalesce(1).mapInArrow(work, "key long, root long")
+
+
+def near_join(df: DataFrame, other: DataFrame, n: int, on, how: str) -> DataFrame:
+    """A join that broadcasts the other side if its n rows are few."""
+    return df.join(F.broadcast(other) if n <= BROADCAST_ROWS else other, on, how)
+
+
+def list_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """A row for each class in each list that holds several: token, grp, key, n, pos, bits, m (the list's rows)."""
+    entries = rows.where("prefix is not null").select("grp", F.posexplode("prefix").alias("pos", "token"))
     # lists of several groups; and for groups of several classes, the list of their first shingle
     lists = entries.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token")
     several = classes.groupBy("grp").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("grp")
     own = rows.where("prefix is not null").select("grp", F.col("prefix")[0].alias("token")).join(several, "grp", "left_semi").select("token")
     entries = entries.join(lists.unionByName(own).distinct(), "token").select("token", "grp", "pos").distinct()
-    # group pairs are expanded to their members, as classes
-    entries = checkpoint(entries.join(classes.select("grp", "key", "n", "bits"), "grp").select("token", "key", "n", "bits", "pos"))
-    roots, links, tried, n_entries = None, None, None, 0
-    for turn in range(ROUNDS + 1):
-        if roots is None:
-            spread = entries.withColumn("root", F.col("key"))
+    expanded = checkpoint(entries.join(classes.select("grp", "key", "n", "bits"), "grp").select("token", "grp", "key", "n", "pos", "bits"))
+    return expanded.join(expanded.groupBy("token").agg(F.count("*").alias("m")), "token")
+
+
+def link_components(rows: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """key, root for the classes that link with others; None if none does."""
+    entries = checkpoint(list_rows(rows, classes))
+    n_rows = entries.count()
+    roots = links = tried = edges = None
+    n_roots = n_links = 0
+
+    def block(key: str, k) -> Column:
+        return F.pmod(F.xxhash64(F.lit(7), key), k)
+
+    k = F.ceil(F.col("m") / BLOCK)
+    for turn in ("blocks", "components", "pairs", "all"):
+        if turn != "blocks":
+            # lists with a pair that did not hold, and those of several blocks, as long as they hold several components
+            failed = checkpoint(edges.join(links, ["a", "b"], "left_anti").select("token", "a", "b").distinct())
+            todo = failed.select("token")
+            if turn != "all":
+                todo = todo.unionByName(entries.where(F.col("m") > BLOCK).select("token"))
+            todo = checkpoint(todo.distinct())
+            n_todo = todo.count()
+            if not n_todo:
+                break
+            own = near_join(near_join(entries.drop("root"), todo, n_todo, "token", "left_semi"), roots, n_roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+            own = checkpoint(own)
+            still = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_distinct("root").alias("n_roots")).where("low <> high").select("token", "n_roots")
+            own = own.join(still, "token")
+            known = near_join(failed, entries.select("token", "m").distinct(), n_rows, "token", "inner")
         else:
-            spread = entries.join(F.broadcast(roots) if n_roots <= BROADCAST_ROWS else roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        # lists that still hold several components
-        draw = F.xxhash64("key", F.lit(turn))
-        still = spread.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), F.min_by("key", draw).alias("pivot"), F.min_by("root", draw).alias("pivot_root")).where("low <> high")
-        still = checkpoint(still)
-        size_of = still.agg(F.sum("m").alias("m"), F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs")).first()
-        if not size_of["m"]:
-            break
-        n_entries = n_entries or size_of["m"]
-        last = turn == ROUNDS or size_of["pairs"] <= PAIRS_PER_ENTRY * n_entries
-        if last:
-            own = spread.join(still.select("token"), "token", "left_semi")
-            other = own.select("token", F.col("key").alias("key2"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("pos").alias("pos2"))
-            pairs = own.join(other, "token").where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & may_link("n", "n2", "bits", "bits2", percent))
-            # sharing this token at these places, the sets can share no more than what stands before and after
-            most = F.least("pos", "pos2") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
-            pairs = pairs.where(most * (100 + percent) >= percent * (F.col("n") + F.col("n2"))).select(F.col("key").alias("a"), F.col("key2").alias("b"))
+            own, known = entries.withColumn("root", F.col("key")), None
+        if turn == "blocks":
+            own = own.withColumn("slot", F.xxhash64("token", block("key", k)))
+        elif turn == "components":
+            long = own.where(F.col("m") > BLOCK)
+            long = long.groupBy("token", "root", "n_roots").agg(F.min_by(F.struct("grp", "key", "n", "pos", "bits", "m"), F.xxhash64("key")).alias("one")).select("token", "root", "n_roots", "one.*")
+            long = long.withColumn("slot", F.xxhash64("token", block("root", F.ceil(F.col("n_roots") / BLOCK))))
+            own = own.where(F.col("m") <= BLOCK).withColumn("slot", F.xxhash64("token", F.lit(0).cast("long"))).unionByName(long)
+            known = known.withColumn("slot", F.xxhash64("token", F.lit(0).cast("long")))
         else:
-            pivots = still.select("token", F.col("pivot"), "pivot_root").join(classes.select(F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("bits").alias("pivot_bits")), "pivot")
-            spread = spread.join(pivots, "token").where(F.col("key") != F.col("pivot"))
-            pairs = spread.where((F.col("root") != F.col("pivot_root")) & may_link("n", "pivot_n", "bits", "pivot_bits", percent)).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
-            entries = checkpoint(entries.join(still.select("token", "pivot"), "token").where(F.col("key") != F.col("pivot")).drop("pivot"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = checkpoint(pairs)
+            other = F.explode(F.sequence(F.lit(0).cast("long"), k - 1))
+            own = own.withColumn("x", block("key", k)).withColumn("y", other).withColumn("slot", F.xxhash64("token", F.least("x", "y"), F.greatest("x", "y")))
+            known = known.withColumn("x", block("a", k)).withColumn("y", block("b", k)).withColumn("slot", F.xxhash64("token", F.least("x", "y"), F.greatest("x", "y")))
+        names = [x.split()[0] for x in ENTRY.split(", ")]
+        own = own.select(*names)
+        if known is not None:
+            known = known.select("slot", "token", F.lit(None).cast("long").alias("grp"), F.col("a").alias("key"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("pos"), F.lit(b"").alias("bits"), F.col("b").alias("root"))
+            own = own.unionByName(known)
+        buckets = max(64, n_rows // TASK_ROWS)
+        edges = own.withColumn("bucket", F.pmod("slot", F.lit(buckets))).groupBy("bucket").applyInArrow(forest(percent, turn == "all"), "slot long, token long, a long, b long")
+        edges = checkpoint(edges)
+        pairs = edges.select("a", "b").distinct()
+        pairs = checkpoint(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = checkpoint(verify(texts, classes, pairs, size, percent))
         links = found if links is None else links.unionByName(found)
-        roots = checkpoint(components(links).withColumnRenamed("node", "key"))
+        n_links += found.count()
+        roots = checkpoint(roots_of(links, n_links))
         n_roots = roots.count()
-        if last:
-            break
+    return roots if n_roots else None
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id: the least doc_id reachable by links, itself included."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
+    rows = checkpoint(documents_and_entries(texts, size, percent))
+    # classes of equal sets; a class is named by its key
+    classes = checkpoint(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("grp", "n", "bits", "wide")]))
+    roots = link_components(rows, classes, texts, size, percent)
     if roots is None:
         named = classes.withColumn("root", F.col("key"))
     else:

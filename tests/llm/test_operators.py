@@ -337,16 +337,33 @@ def test_bitmaps_never_differ_more_than_sets():
         assert folded <= whole <= len(np.setxor1d(s, t))
 
 
-@pytest.mark.parametrize("per_entry", [4, 0])
+@pytest.mark.parametrize("block", [2048, 2])
 @pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
-def test_jaccard_join(docs, empty, monkeypatch, per_entry, size, percent):
-    monkeypatch.setattr(jaccard_join, "PAIRS_PER_ENTRY", per_entry)
+def test_jaccard_join(docs, empty, monkeypatch, block, size, percent):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     got = jaccard_join.link(docs, size=size, percent=percent)
     assert rows(got, *got.columns) == sorted(brute.components(DOCS, size, percent))
-    if per_entry:
+    if block > 2:
         assert jaccard_join.link(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [2048, 5])
+def test_jaccard_join_around_the_threshold(spark, monkeypatch, block):
+    """Groups of copies whose similarities lie on both sides of the threshold, so that many pairs do not hold."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    own = []
+    for _ in range(4):
+        base = [R.choice(VOCAB) for _ in range(90)]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(R.randrange(0, 4)):
+                w[R.randrange(len(w))] = R.choice(VOCAB)
+            own.append(" ".join(w))
+    d = list(enumerate(own))
+    got = jaccard_join.link(spark.createDataFrame(d, "doc_id long, text string").repartition(3))
+    assert rows(got, *got.columns) == sorted(brute.components(d))
+
+
 def test_jaccard_join_chain_and_repeats(spark):
     w = [f"w{k}" for k in range(120)]
     chain = [(k, " ".join(w[:k] + ["z"] * 0 + [f"c{x}" for x in range(k)] + w[k:])) for k in range(0, 12)]
