@@ -26,6 +26,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def require_integer_ids(docs: DataFrame, id_col: str) -> None:
+    """Operators that pack ids into arrays take integer ids only, and say so before any work."""
+    kind = dict(docs.select(id_col).dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is {kind}; this operator needs integer ids, so number the documents first")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. All-ASCII texts take the fast built-in; others are translated letter by letter."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

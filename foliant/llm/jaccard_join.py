@@ -43,7 +43,7 @@ BLOCK, TASK_ROWS = 2048, 60_000
 #: Tasks whose sketches one task adds up.
 FAN_IN = 64
 #: Rows of keys or pairs up to which they are broadcast; links up to which one task joins them into components (16 bytes each).
-BROADCAST_ROWS, TASK_LINKS = 50_000, 1_000_000
+BROADCAST_ROWS, TASK_LINKS = 200_000, 1_000_000
 
 
 class Sets:
@@ -322,8 +322,9 @@ def list_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
     several = classes.groupBy("grp").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("grp")
     own = rows.where("prefix is not null").select("grp", F.col("prefix")[0].alias("token")).join(several, "grp", "left_semi").select("token")
     entries = entries.join(lists.unionByName(own).distinct(), "token").select("token", "grp", "pos").distinct()
-    expanded = checkpoint(entries.join(classes.select("grp", "key", "n", "bits"), "grp").select("token", "grp", "key", "n", "pos", "bits"))
-    return expanded.join(expanded.groupBy("token").agg(F.count("*").alias("m")), "token")
+    entries = checkpoint(entries.join(classes.groupBy("grp").agg(F.count("*").alias("members")), "grp"))
+    entries = entries.join(entries.groupBy("token").agg(F.sum("members").alias("m")), "token")
+    return entries.join(classes.select("grp", "key", "n", "bits"), "grp").select("token", "grp", "key", "n", "pos", "bits", "m")
 
 
 def link_components(rows: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:

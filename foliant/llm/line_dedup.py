@@ -1,16 +1,18 @@
 """Line dedup by a segment-partition edit join.
 
-A line of at least MIN_CHARS characters is removed if an earlier line of the corpus (by doc_id, then place) is equal to
-it or within TAU edits of it; whether that one is itself removed does not matter. With short_repeats, shorter lines that
-hold more than white space are removed too if an earlier line is equal to them. A line within TAU edits of another
-holds one of the other's TAU + 1 segments unchanged, at a place that the lengths allow: segments are indexed, the
-allowed substrings of lines of the same or up to TAU more characters are probes, both by 64-bit keys, dealt to buckets
-as packed arrays. Each entry of a key is first compared with the earliest line under it; only lines for which that fails
-are compared with the others of their key. Candidates are verified on the texts, with a banded bit-parallel edit
-distance. Lines themselves are fetched only for candidates, from the documents that hold them.
+A line is removed if an earlier line of the corpus (by doc_id, then place) is equal to it and not blank, or, from
+MIN_CHARS characters on, within TAU edits of it; whether that one is itself removed does not matter. A line within TAU
+edits of another holds one of the other's TAU + 1 segments unchanged, at a place that the lengths allow: segments are
+indexed, the allowed substrings of lines of the same or up to TAU more characters are probes, both by 64-bit keys, dealt
+to buckets as packed arrays. An edit turns at most four character pairs, so lines whose pair parities (64 bits, carried
+along) differ in more than 4 * TAU places are ruled out where a key's lines meet. Of the earlier lines left there, a line
+is given the first few only; they are verified on the texts, with a banded bit-parallel edit distance, and the lines for
+which none of them holds are then compared with the others of their keys. Lines themselves are fetched only for
+candidates, from the documents that hold them.
 
 Null texts stay null and have no lines; empty texts have one empty line. Documents with a null id are left as they are
 and take no line from others. Repeated rows of one id are one document: their lines stay or go alike.
+Ids are integers; others are refused.
 """
 
 from __future__ import annotations
@@ -22,12 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import buckets_for, checkpoint, text_bytes
+from foliant.llm.common import buckets_for, checkpoint, mix, require_integer_ids, text_bytes
 
 TAU, MIN_CHARS = 2, 24
 #: Bytes of text for each bucket of keys; entries that a task gathers before it hands them on.
-BUCKET_BYTES, FLUSH = 8 << 20, 3_000_000
-BROADCAST_ROWS = 200_000
+BUCKET_BYTES, FLUSH = 8 << 20, 1_000_000
+#: Characters of distinct lines that a task gathers before it makes their entries; lines whose parities are reckoned together.
+GATHER, AT_ONCE = 8_000_000, 4096
+#: Candidates that a line is given at once under a key.
+FEW = 2
+#: Rows of pairs of numbers, and bytes of removed places, up to which they are broadcast; beyond, a shuffled join does the same.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 SEED = 42  # of the built-in xxhash64
 
 
@@ -98,18 +105,33 @@ def edit_distance_within(a: str, b: str, most: int) -> bool:
     return score - (vp & below).bit_count() + (vn & below).bit_count() <= most
 
 
-def lines_of(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
-    """doc_id, place, line for lines long enough (short: for all that are not blank, too), of documents with an id."""
+def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
+    """doc_id, place, line for lines that are long enough or not blank, of documents with an id."""
     lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    long = F.length("line") >= min_chars
-    return lines.where(long | F.col("line").rlike(r"\S") if short else long)
+    return lines.where((F.length("line") >= min_chars) | F.col("line").rlike(r"\S"))
 
 
-ENTRY = np.dtype([("key", "<u8"), ("line", "<i8"), ("doc", "<i8"), ("place", "<u4"), ("probe", "u1")])
+ENTRY = np.dtype([("key", "<u8"), ("line", "<i8"), ("doc", "<i8"), ("place", "<u4"), ("probe", "u1"), ("sig", "<u8")])
+
+
+def pair_parities(lines: list[str]) -> np.ndarray:
+    """For each line, 64 parities of its character pairs, by hash."""
+    sizes = np.array([len(x) for x in lines], np.int64)
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    chars = np.append(chars, np.uint64(0))
+    ends = np.cumsum(sizes)
+    pair = (chars[:-1] * np.uint64(0x9E3779B97F4A7C15) + chars[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xBF58476D1CE4E5B9)
+    bit = np.uint64(1) << (pair >> np.uint64(58))
+    bit[ends[sizes > 0] - 1] = 0  # the last character of a line begins no pair
+    out = np.zeros(len(lines), np.uint64)
+    if len(bit):
+        out[sizes > 0] = np.bitwise_xor.reduceat(bit, (ends - sizes)[sizes > 0])
+    return out
+
 
 
 def entries(docs: DataFrame, n_buckets: int, tau: int, min_chars: int) -> DataFrame:
-    """bucket, entries (packed ENTRY): keys of all lines, each line once for each task, at its first place there."""
+    """bucket, entries (packed ENTRY): keys of all lines, each line once for each GATHER characters of a task, at its first place there."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -117,20 +139,16 @@ def entries(docs: DataFrame, n_buckets: int, tau: int, min_chars: int) -> DataFr
         digest, h64 = xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest
         plans: dict[int, tuple] = {}
         first: dict[int, tuple] = {}
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                if doc is None or text is None:
-                    continue
-                for place, line in enumerate(text.split("\n")):
-                    if len(line) >= min_chars:
-                        h = h64(line.encode(), SEED)
-                        if h not in first or (doc, place) < first[h][:2]:
-                            first[h] = doc, place, line
-        keys, lines, docs_, places, kinds = [], [], [], [], []
+        held = 0
+        keys, lines, counts, kinds = [], [], [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
             own = np.zeros(len(keys), ENTRY)
-            own["key"], own["line"], own["doc"], own["place"], own["probe"] = np.array(keys, np.uint64), np.array(lines, np.uint64).view(np.int64), docs_, places, kinds
+            own["key"], own["probe"] = np.array(keys, np.uint64), np.array(kinds, np.uint8)
+            each = np.repeat(np.arange(len(lines)), counts)
+            own["line"], own["doc"], own["place"] = np.array([x[0] for x in lines], np.uint64).view(np.int64)[each], np.array([x[1] for x in lines], np.int64)[each], np.array([x[2] for x in lines], np.uint32)[each]
+            sigs = [pair_parities([x[3] for x in lines[k : k + AT_ONCE]]) for k in range(0, len(lines), AT_ONCE)]
+            own["sig"] = np.concatenate([np.zeros(0, np.uint64), *sigs])[each]
             bucket = ((own["key"] >> np.uint64(40)) * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             own, bucket = own[order], bucket[order]
@@ -138,25 +156,45 @@ def entries(docs: DataFrame, n_buckets: int, tau: int, min_chars: int) -> DataFr
             parts = np.split(own, cuts) if len(own) else []
             ids = bucket[np.concatenate([[0], cuts])].tolist() if len(own) else []
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["bucket", "entries"])
-            for x in (keys, lines, docs_, places, kinds):
+            for x in (keys, lines, counts, kinds):
                 x.clear()
 
-        for h, (doc, place, line) in first.items():
-            n = len(line)
-            if n not in plans:
-                plans[n] = [(n, i, a, b, 0) for i, (a, b) in enumerate(segments(n, tau))] + [(*p, 1) for p in probes(n, tau)]
-            raw = line if not line.isascii() else line.encode()
-            for low, i, a, b, kind in plans[n]:
-                part = raw[a:b]
-                keys.append(digest(part if isinstance(part, bytes) else part.encode(), low * (tau + 1) + i))
-                kinds.append(kind)
-            k = len(plans[n])
-            lines += [h] * k
-            docs_ += [doc] * k
-            places += [place] * k
-            if len(keys) > FLUSH:
-                yield from flush()
-        yield from flush()
+        def make() -> Iterator[pa.RecordBatch]:
+            for h, (doc, place, line) in first.items():
+                n = len(line)
+                if n not in plans:
+                    own = [(n, i, a, b) for i, (a, b) in enumerate(segments(n, tau))]
+                    more = probes(n, tau)
+                    plans[n] = [(low * (tau + 1) + i, a, b) for low, i, a, b in own + more], bytes(len(own)) + b"\1" * len(more)
+                raw = line.encode() if line.isascii() else None
+                plan, kind = plans[n]
+                if raw is None:
+                    keys.extend([digest(line[a:b].encode("utf-8", "surrogatepass"), seed) for seed, a, b in plan])
+                else:
+                    keys.extend([digest(raw[a:b], seed) for seed, a, b in plan])
+                kinds.extend(kind)
+                counts.append(len(plan)), lines.append((h, doc, place, line))
+                if len(keys) > FLUSH:
+                    yield from flush()
+            yield from flush()
+            first.clear()
+
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                if doc is None or text is None:
+                    continue
+                for place, line in enumerate(text.split("\n")):
+                    if len(line) >= min_chars:
+                        h = h64(line.encode(), SEED)
+                        if h not in first:
+                            held += len(line)
+                        elif (doc, place) >= first[h][:2]:
+                            continue
+                        first[h] = doc, place, line
+                if held > GATHER:
+                    yield from make()
+                    held = 0
+        yield from make()
 
     return docs.select("doc_id", "text").mapInArrow(work, "bucket int, entries binary")
 
@@ -164,10 +202,10 @@ def entries(docs: DataFrame, n_buckets: int, tau: int, min_chars: int) -> DataFr
 PAIR = "line long, doc long, place int, line2 long, doc2 long, place2 int"
 
 
-def matched(found: DataFrame) -> DataFrame:
-    """For each key with an indexed line and a probe of another: rows (key, first, line, doc, place, probe).
+def matched(found: DataFrame, tau: int) -> DataFrame:
+    """Candidates (key null): a line and one of the first earlier lines that it may be near under a key, FEW at most.
 
-    first: this row is paired with (line2, doc2, place2), the earliest line of the other kind under the key."""
+    Where a line has more, the rows of its key (line, doc, place, probe, sig), with more set on the lines that have."""
 
     def work(group: pa.Table) -> pa.Table:
         e = np.concatenate([np.frombuffer(x, ENTRY) for x in group.column("entries").to_pylist()])
@@ -176,24 +214,32 @@ def matched(found: DataFrame) -> DataFrame:
         starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(e)]])
         probes_ = np.add.reduceat(e["probe"].astype(np.int64), starts)
         low, high = np.minimum.reduceat(e["line"], starts), np.maximum.reduceat(e["line"], starts)
-        out = []
-        for s, t in zip(*(x[(probes_ > 0) & (probes_ < ends - starts) & (low != high)].tolist() for x in (starts, ends))):
+        real = (probes_ > 0) & (probes_ < ends - starts) & (low != high)
+        two = real & (ends - starts == 2)
+        two &= np.bitwise_count(e["sig"][starts] ^ e["sig"][ends - 1]) <= 4 * tau
+        pairs, rest = [(e[ends[two] - 1], e[starts[two]])], []
+        for s, t in zip(*(x[real & (ends - starts > 2)].tolist() for x in (starts, ends))):
             run = e[s:t]
             # the same line may come from several tasks: its earliest place counts
-            run = run[np.sort(np.unique(np.rec.fromarrays([run["line"], run["probe"]]), return_index=True)[1])]
-            for kind in (0, 1):
-                own, other = run[run["probe"] == kind], run[run["probe"] != kind]
-                lines = other["line"].tolist()
-                for x in own.tolist():
-                    k = 0 if lines[0] != x[1] else 1
-                    if k < len(lines):
-                        out.append((x[0], *x[1:], *other[k].tolist()[1:4]))
-        cols = list(zip(*out)) if out else [()] * 8
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-        cols[0] = [x - (1 << 64) if x >= 1 << 63 else x for x in cols[0]]
-        return pa.table([pa.array(x, t) for x, t in zip(cols, types)], ["key", "line", "doc", "place", "probe", "line2", "doc2", "place2"])
-
-    return found.groupBy("bucket").applyInArrow(work, "key long, line long, doc long, place int, probe int, line2 long, doc2 long, place2 int")
+            run = run[np.sort(np.unique(np.stack([run["line"], run["probe"].astype(np.int64)]), axis=1, return_index=True)[1])]
+            sig, line, probe = run["sig"], run["line"], run["probe"]
+            more = np.zeros(len(run), bool)
+            for x in range(1, len(run)):
+                near = np.flatnonzero((np.bitwise_count(sig[:x] ^ sig[x]) <= 4 * tau) & (probe[:x] != probe[x]) & (line[:x] != line[x]))
+                if len(near):
+                    pairs.append((run[[x] * min(FEW, len(near))], run[near[:FEW]]))
+                    more[x] = len(near) > FEW
+            if more.any():
+                rest.append((run, more))
+        a, b = (np.concatenate([x[k] for x in pairs]) for k in (0, 1))
+        run = np.concatenate([a, *[x[0] for x in rest]])
+        flag = np.concatenate([np.zeros(len(a), bool), *[x[1] for x in rest]])
+        no, is_pair = np.zeros(len(run) - len(a), np.int64), np.arange(len(run)) < len(a)
+        cols = [pa.array(run["key"].view(np.int64), mask=is_pair), *[pa.array(run[c].astype(k)) for c, k in (("line", "i8"), ("doc", "i8"), ("place", "i4"), ("probe", "i4"))]]
+        cols += [pa.array(np.append(b[c].astype("i8"), no).astype(k), mask=~is_pair) for c, k in (("line", "i8"), ("doc", "i8"), ("place", "i4"))]
+        return pa.table([*cols, pa.array(np.ascontiguousarray(run["sig"]).view(np.int64)), pa.array(flag)], ["key", "line", "doc", "place", "probe", "line2", "doc2", "place2", "sig", "more"])
+
+    return found.groupBy("bucket").applyInArrow(work, f"key long, line long, doc long, place int, probe int, {PAIR.split(', ', 3)[3]}, sig long, more boolean")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, tau: int) -> DataFrame:
@@ -216,29 +262,24 @@ def verified(docs: DataFrame, pairs: DataFrame, tau: int) -> DataFrame:
 def near_copies(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """line: hashes of the lines that have another within tau edits at an earlier first place in the corpus."""
     n_buckets = buckets_for(text_bytes(docs), BUCKET_BYTES)
-    firsts = lines_of(docs, min_chars).select(F.xxhash64("line").alias("line"), F.struct("doc_id", "place").alias("at")).groupBy("line").agg(F.min("at").alias("at"))
-    rows = checkpoint(matched(entries(docs, n_buckets, tau, min_chars)))
+    rows = checkpoint(matched(entries(docs, n_buckets, tau, min_chars), tau))
     pair = ["line", "doc", "place", "line2", "doc2", "place2"]
-    earlier = (F.col("doc2") < F.col("doc")) | ((F.col("doc2") == F.col("doc")) & (F.col("place2") < F.col("place")))
-    pairs = checkpoint(rows.where("line <> line2").select(*pair).where(earlier).dropDuplicates(["line", "line2"]))
+    pairs = checkpoint(rows.where("key is null").select(*pair).dropDuplicates(["line", "line2"]))
     done = checkpoint(verified(docs, pairs, tau))
-    # lines that the earliest line of their keys is too far from, against all others under those keys
-    left = rows.join(done.select("line").distinct(), "line", "left_anti").select("key", "line", "doc", "place", "probe")
-    other = rows.select("key", F.col("line").alias("line2"), F.col("doc").alias("doc2"), F.col("place").alias("place2"), F.col("probe").alias("probe2"))
-    rest = left.join(other, "key").where((F.col("probe") != F.col("probe2")) & (F.col("line") != F.col("line2")) & earlier).select(*pair).dropDuplicates(["line", "line2"])
-    rest = checkpoint(rest.join(pairs.select("line", "line2"), ["line", "line2"], "left_anti"))
-    links = checkpoint(done.unionByName(verified(docs, rest, tau)))
-    # places within tasks only propose; the first places over the corpus decide
-    both = links.select("line", "line2").unionByName(links.select(F.col("line2").alias("line"), F.col("line").alias("line2"))).distinct()
-    linked = firsts.join(both.select("line").distinct(), "line", "left_semi")
-    linked = checkpoint(linked)
-    judged = both.join(linked, "line").join(linked.select(F.col("line").alias("line2"), F.col("at").alias("at2")), "line2")
-    return judged.where("at2 < at").select("line").distinct()
-
-
-def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
+    # lines that none of their first candidates is near, against all others under those keys
+    rows = rows.where("key is not null").select("key", "line", "doc", "place", "probe", "sig", "more")
+    left = rows.where("more").join(done.select("line").distinct(), "line", "left_anti").drop("more")
+    other = rows.select("key", *[F.col(c).alias(f"{c}2") for c in ("line", "doc", "place", "probe", "sig")])
+    earlier = (F.col("doc2") < F.col("doc")) | ((F.col("doc2") == F.col("doc")) & (F.col("place2") < F.col("place")))
+    near = F.bit_count(F.col("sig").bitwiseXOR(F.col("sig2"))) <= 4 * tau
+    rest = left.join(other, (left["key"] == other["key"]) & (F.col("probe") != F.col("probe2")) & (F.col("line") != F.col("line2")) & earlier & near)
+    rest = rest.select(*pair).dropDuplicates(["line", "line2"]).join(pairs.select("line", "line2"), ["line", "line2"], "left_anti")
+    return done.unionByName(verified(docs, checkpoint(rest), tau)).select("line").distinct()
+
+
+def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, gone (array of places): lines that an earlier equal or near line takes away."""
-    lines = lines_of(docs, min_chars, short_repeats).select("doc_id", "place", F.xxhash64("line").alias("line"), F.xxhash64(F.lit(1), "line").alias("more"))
+    lines = lines_of(docs, min_chars).select("doc_id", "place", F.xxhash64("line").alias("line"), F.xxhash64(F.lit(1), "line").alias("more"))
     first = lines.groupBy("line", "more").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.count("*").alias("n"))
     near = checkpoint(near_copies(docs, tau, min_chars)).withColumn("near", F.lit(True))
     first = first.join(F.broadcast(near) if near.count() <= BROADCAST_ROWS else near, "line", "left").where("near or n > 1")
@@ -246,26 +287,20 @@ def removed_places(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS,
     return gone.groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """row (struct of all columns of docs, the text less its removed lines), n_lines, n_removed (long)."""
+    require_integer_ids(docs, id_col)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gone = checkpoint(removed_places(own, tau, min_chars, short_repeats))
+    gone = checkpoint(removed_places(own, tau, min_chars))
+    size = gone.agg(F.sum(24 + 4 * F.size("gone")).alias("n")).first()["n"] or 0
     rows = docs.select(F.col(id_col).alias("doc_id"), F.struct(*docs.columns).alias("row"))
-    joined = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left").select("row", F.col("row")[text_col].alias("text"), "gone")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, n, m = [], [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
-                lines = text.split("\n") if text is not None else []
-                drop = {k for k in gone or () if k < len(lines)}
-                texts.append("\n".join([x for k, x in enumerate(lines) if k not in drop]) if text is not None else None)
-                n.append(len(lines)), m.append(len(drop))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["row", "text", "n_lines", "n_removed"])
-
-    kind = dict(joined.dtypes)["row"]
-    cut_rows = joined.mapInArrow(cut, f"row {kind}, text string, n_lines long, n_removed long")
-    return cut_rows.select(F.col("row").withField(text_col, F.col("text")).alias("row"), "n_lines", "n_removed")
+    joined = rows.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, "doc_id", "left")
+    text = F.col("row")[text_col]
+    joined = joined.select("row", F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), "gone", text.alias("text"))
+    kept = F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains("gone", k))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    removed = F.coalesce(F.size(F.filter("gone", lambda k: k < F.col("n_lines"))), F.lit(0)).cast("long")
+    return joined.select(F.col("row").withField(text_col, kept).alias("row"), "n_lines", F.when(F.col("gone").isNull() | F.col("text").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"))
 
 
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:

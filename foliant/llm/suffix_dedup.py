@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import buckets_for, checkpoint, mix, text_bytes
+from foliant.llm.common import buckets_for, checkpoint, mix, require_integer_ids, text_bytes
 
 MATCH, GRAM = 50, 24
 WINDOWS = MATCH - GRAM + 1  # places of a gram in a match
@@ -333,6 +333,7 @@ def removed_spans(texts: DataFrame, n_bytes: int) -> DataFrame:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (packed starts and ends of the maximal removed runs; null: none), kept (binary)."""
+    require_integer_ids(docs, id_col)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
     spans = checkpoint(removed_spans(texts, text_bytes(docs, text_col)))
     size = spans.select(F.sum(F.length("spans") + 24).alias("n")).first()["n"] or 0

@@ -64,9 +64,12 @@ def edit_distance(a, b):
 
 def removed_lines(docs, tau=2, least=24):
     """doc_id -> places; docs with distinct non-null ids."""
-    before, gone = [], {}
+    before, gone, seen = [], {}, set()
     for i, t in sorted((i, t) for i, t in docs if i is not None and t is not None):
         for k, x in enumerate(t.split("\n")):
+            if x.strip() and x in seen:
+                gone.setdefault(i, set()).add(k)
+            seen.add(x)
             if len(x) >= least:
                 if any(abs(len(x) - len(y)) <= tau and (x == y or edit_distance(x, y) <= tau) for y in before):
                     gone.setdefault(i, set()).add(k)

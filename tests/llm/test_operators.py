@@ -113,12 +113,7 @@ def test_line_dedup(docs, empty):
 def test_line_dedup_query_removes_short_repeats(spark, tmp_path):
     own = [*DOCS, (900, "All rights reserved.\n \n\nok"), (901, "ok\n\n \nAll rights reserved.\nall rights reserved."), (902, "ok\nok")]
     spark.createDataFrame(own, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    gone, seen = brute.removed_lines(own), set()
-    for i, t in own:
-        for k, x in enumerate(t.split("\n") if t is not None else []):
-            if x.strip() and x in seen:
-                gone.setdefault(i, set()).add(k)
-            seen.add(x)
+    gone = brute.removed_lines(own)
     got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in registry.op3_line_dedup(spark, str(tmp_path)).collect()}
     for i, t in own:
         kept = [x for k, x in enumerate((t or "").split("\n")) if k not in gone.get(i, ())]
@@ -132,6 +127,32 @@ def test_line_dedup_leaves_null_ids_and_repeats(spark):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in line_dedup.summary(d).collect()) == [(0, 0), (1, 0), (1, 0), (2, 1), (3, 1)]
 
 
+def test_line_dedup_of_near_copies_and_long_runs(spark):
+    base = "the quick brown fox jumps over the lazy dog again and again"
+    own = []
+    for i in range(60):
+        own.append((i, "\n".join([near(base, R.randrange(0, 5)), near(base.upper(), R.randrange(0, 3)), "x" * 40, f"{i}"])))
+    gone = brute.removed_lines(own)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.summary(spark.createDataFrame(own, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: len(gone.get(i, ())) for i, _ in own}
+
+
+def test_pair_parities_bound_edits():
+    lines = [prose(12).replace("\n", "é")[: R.randrange(1, 60)] for _ in range(500)]
+    for tau in (1, 2):
+        other = [near(x, tau) for x in lines]
+        a, b = line_dedup.pair_parities(lines), line_dedup.pair_parities(other)
+        assert (np.bitwise_count(a ^ b) <= 4 * tau).all()
+    assert line_dedup.pair_parities(["", "a", ""]).tolist() == [0, 0, 0]
+
+
+def test_text_ids_are_refused(spark):
+    d = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    for f in (line_dedup.summary, suffix_dedup.summary):
+        with pytest.raises(TypeError):
+            f(d)
+
+
 @pytest.mark.parametrize("tau", [1, 2, 3])
 def test_banded_distance(tau):
     for _ in range(3000):
