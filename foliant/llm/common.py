@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder named by spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """Cut the lineage in the shared folder named by spark.checkpoint.dir; a folder of our own only in local mode, where it is unset."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foliant-checkpoint-"))
     return df.checkpoint()
 
@@ -68,6 +70,16 @@ def ascii_lower_bytes(raw: bytes) -> bytes:
     return raw.lower()
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """This worker process's cache of one operator; it outlives tasks, and goes when another operator asks for one of its own."""
+    if owner not in _CACHES:
+        _CACHES.clear()
+    return _CACHES.setdefault(owner, {})
+
+
 class WordHashes:
     """64-bit hashes of words with a bounded cache; the cache is cleared when full, so memory stays bounded."""
 

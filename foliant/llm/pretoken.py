@@ -14,6 +14,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from foliant.llm.common import worker_cache
+
 #: Pre-tokens over this many bytes are encoded each time and not kept.
 KEEP_BYTES = 64
 #: Entries a worker keeps; at more, it starts afresh.
@@ -97,15 +99,9 @@ def blocks(raws: Iterable[bytes]) -> Iterator[list[bytes]]:
         yield own
 
 
-@functools.cache
-def worker_cache(name: str, of: str) -> dict:
-    """This worker process's own cache; it outlives tasks."""
-    return {}
-
-
 def per_text(name: str, raws: Iterable[bytes], of: str, value, join, frequent: dict | None = None) -> Iterator:
     """For each text: join over its pre-tokens' values (value(ids)), which come from the frequent tier, the worker's cache or the library."""
-    known = worker_cache(name, of)
+    known = worker_cache(f"{name} {of}")
     known.update(frequent or {})
     marks = specials(name)[2]
     for block in blocks(raws):

@@ -337,15 +337,74 @@ def test_language_id(spark, empty):
     assert none["lang_pred"] == "und"
 
 
+def segmentations(word):
+    if not word:
+        yield []
+    for k in range(1, len(word) + 1):
+        for rest in segmentations(word[k:]):
+            yield [word[:k], *rest]
+
+
 def test_segmentations_are_summed():
-    pieces = {language_id.START: 0, "a": 1, "b": 2, "ab": 3, language_id.START + "a": 4}
-    p = [(0.1,), (0.2,), (0.3,), (0.15,), (0.25,)]
-    # _|a|b, _|ab, _a|b
-    want = 0.1 * 0.2 * 0.3 + 0.1 * 0.15 + 0.25 * 0.3
-    assert language_id.word_log_probabilities("ab", pieces, p, 1)[0] == pytest.approx(np.log(want))
-    counts = language_id.expected_counts("ab", pieces)
-    z = 0.2**3 + 2 * 0.2**2
-    assert counts[2] == pytest.approx((0.2**3 + 0.2**2) / z) and counts[3] == pytest.approx(0.2**2 / z)
+    start = language_id.START
+    pieces = {x: k for k, x in enumerate([start, "a", "b", "ab", start + "a", "bab", "aabbaabba", "é"])}
+    p = np.array([[R.random(), R.random()] for _ in pieces] + [[language_id.UNKNOWN] * 2])
+    lattice = language_id.Lattice(pieces)
+    words = ["ab", "aabbaabba", "bab", "z", "éaz", "b", "ab"]
+    want, uses = [], np.zeros((2, len(pieces)))
+    for g, w in enumerate(words):
+        total, z, own = np.zeros(2), 0.0, np.zeros(len(pieces))
+        for cut in segmentations(start + w):
+            if all(x in pieces or len(x) == 1 for x in cut):
+                total += np.prod([p[pieces.get(x, -1)] for x in cut], 0)
+                weight = (1 / len(pieces)) ** len(cut)
+                z += weight
+                for x in cut:
+                    if x in pieces:
+                        own[pieces[x]] += weight
+        want.append(np.log(total))
+        uses[g % 2] += own / z * (g + 1)
+    assert language_id.word_log_probabilities(words, lattice, p) == pytest.approx(np.array(want))
+    got = language_id.expected_counts(words, np.arange(1, 8), np.arange(7) % 2, 2, lattice, len(pieces))
+    assert got == pytest.approx(uses)
+
+
+def test_long_letter_runs_teach_and_score():
+    lattice = language_id.Lattice({language_id.START: 0, "a": 1, "ab": 2})
+    word = "ab" * 2000 + "q" * 500
+    got = language_id.expected_counts([word], np.ones(1), np.zeros(1, int), 1, lattice, 3)
+    assert got[0, 2] == pytest.approx(2000 / (1 + 1 / 3), rel=0.01) and np.isfinite(got).all()
+    assert np.isfinite(language_id.word_log_probabilities([word], lattice, np.full((4, 2), 0.1))).all()
+
+
+def plain_language_id(docs):
+    """The whole query, word by word: one expectation step, smoothing, posteriors."""
+    pieces = language_id.vocabulary(language_id.VOCABULARY)
+    lattice, v = language_id.Lattice(pieces), len(pieces)
+    split = lambda t: "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    langs = sorted({x for i, t, x in docs if x is not None and t is not None and not held(i) and split(t)})
+    table = np.zeros((v, len(langs)))
+    for i, t, x in docs:
+        for w in split(t) if x is not None and not held(i) else ():
+            table[:, langs.index(x)] += language_id.expected_counts([w], np.ones(1), np.zeros(1, int), 1, lattice, v)[0]
+    pooled = (table.sum(1, keepdims=True) + 1e-3) / (table.sum() + 1e-3 * v)
+    p = np.concatenate([(table + language_id.SMOOTHING * pooled) / (table.sum(0) + language_id.SMOOTHING), np.full((1, len(langs)), language_id.UNKNOWN)])
+    out = {}
+    for i, t, _ in docs:
+        total = sum((language_id.word_log_probabilities([w], lattice, p)[0] for w in split(t)), np.zeros(len(langs)))
+        k = int(total.argmax())
+        out[i] = (held(i), langs[k], 1 / np.exp(total - total[k]).sum()) if split(t) else (held(i), "und", 0.0)
+    return out
+
+
+def test_language_id_is_the_plain_version(spark):
+    d = [(i, t, R.choice(["aa", "bb", None])) for i, t in DOCS[:-1]] + [(900, "½ ² 3", "aa"), (901, "x½y ²", "bb"), (902, "Ⅷ ǅ ª", None)]
+    want = plain_language_id(d)
+    for r in language_id.identify(spark.createDataFrame(d, "doc_id long, text string, lang string").repartition(3)).collect():
+        assert (r["held_out"], r["lang_pred"]) == want[r["doc_id"]][:2]
+        assert r["score"] == pytest.approx(want[r["doc_id"]][2], abs=1e-6)
+    assert want[900][1] == "und" and want[901][1] != "und"
 
 
 def test_bitmaps_never_differ_more_than_sets():
