@@ -22,8 +22,8 @@ KEEP_BYTES = 64
 KEEP_WORDS = 600_000
 #: Pre-tokens given to the library in one call.
 AT_ONCE = 1024
-#: A lower-case ASCII letter, then closing marks: the tokenizer's own splitting puts a border between the two.
-TAIL = re.compile(rb"(.*[a-z])([,.!?:;]+)", re.DOTALL).fullmatch
+#: After a lower-case ASCII letter, the tokenizer's own splitting puts a border before these closing marks.
+MARKS = b",.!?:;"
 #: Letters whose lower case is one letter: a word of these is one pre-token.
 LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 #: Bytes of text whose misses are looked up together.
@@ -36,7 +36,9 @@ def tokenizer(name: str):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(public_tokenizers.path(name))
+    found = Tokenizer.from_file(public_tokenizers.path(name))
+    found.model._resize_cache(0)  # words come here once; the worker's cache holds them
+    return found
 
 
 @functools.cache
@@ -47,8 +49,13 @@ def specials(name: str) -> tuple[str, int, tuple[bytes, ...]]:
     return added[k].content, k, tuple({t.content[:2].encode() for t in added.values()})
 
 
-def encode_whole(name: str, raw: bytes) -> np.ndarray:
-    return np.array(tokenizer(name).encode(raw.decode(), add_special_tokens=False).ids, "<u4")
+def encode_whole(name: str, raw: bytes) -> bytes:
+    return np.array(tokenizer(name).encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def count(ids: bytes) -> int:
+    """How many ids these bytes hold."""
+    return len(ids) >> 2
 
 
 @functools.cache
@@ -60,8 +67,8 @@ def word_ends(name: str) -> np.ndarray:
     return ends
 
 
-def encode_words(name: str, words: list[bytes]) -> Iterator[np.ndarray]:
-    """The ids of each word, in order; no word may hold white space or a special string.
+def encode_words(name: str, words: list[bytes]) -> Iterator[bytes]:
+    """The ids of each word (little-endian unsigned 32-bit), in order; no word may hold white space or a special string.
 
     Words of plain Latin letters are one pre-token each: they are joined by spaces and cut where a token closes a pre-token.
     The others are joined by a special string.
@@ -71,19 +78,20 @@ def encode_words(name: str, words: list[bytes]) -> Iterator[np.ndarray]:
     for at in range(0, len(words), AT_ONCE):
         part = [w.decode() for w in words[at : at + AT_ONCE]]
         plain = [w for w in part if LETTERS(w)]
-        other = [w for w in part if not LETTERS(w)]
         got = {}
         if plain:
-            ids = np.array(tok.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ends[ids]) + 1
+            ids = np.array(tok.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.flatnonzero(ends[ids]) + 4).tolist()
             assert len(cuts) == len(plain), "a word of letters gave other than one pre-token"
-            got.update(zip(plain, np.split(ids, cuts[:-1])))
-        if other:
-            ids = np.array(tok.encode(mark.join(other), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == mark_id)
-            got.update(zip(other, (x[1:] if k else x for k, x in enumerate(np.split(ids, cuts)))))
-        for w in part:
-            yield got[w]
+            raw = ids.tobytes()
+            got.update(zip(plain, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+        if len(plain) < len(part):
+            other = [w for w in part if w not in got]
+            ids = np.array(tok.encode_batch_fast([mark.join(other)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == mark_id)).tolist()
+            raw = ids.tobytes()
+            got.update(zip(other, [raw[a:b] for a, b in zip([0, *(k + 4 for k in cuts)], [*cuts, len(raw)])]))
+        yield from map(got.__getitem__, part)
 
 
 def blocks(raws: Iterable[bytes]) -> Iterator[list[bytes]]:
@@ -100,7 +108,7 @@ def blocks(raws: Iterable[bytes]) -> Iterator[list[bytes]]:
 
 
 def per_text(name: str, raws: Iterable[bytes], of: str, value, join, frequent: dict | None = None) -> Iterator:
-    """For each text: join over its pre-tokens' values (value(ids)), which come from the frequent tier, the worker's cache or the library."""
+    """For each text: join over its pre-tokens' values (value(ids), to be added up), which come from the frequent tier, the worker's cache or the library."""
     known = worker_cache(f"{name} {of}")
     known.update(frequent or {})
     marks = specials(name)[2]
@@ -110,27 +118,29 @@ def per_text(name: str, raws: Iterable[bytes], of: str, value, join, frequent: d
             known.update(frequent or {})
         # the tokenizer lower-cases after it has matched special strings, so A-Z may be lowered here in texts without any
         split = [None if any(m in raw for m in marks) else raw.lower().split() for raw in block]
-        fresh = {w for words in split if words for w in words if w not in known}
-        tails = {w: m.groups() for w in fresh if (m := TAIL(w))}
-        need = [w for w in (fresh - tails.keys()).union(*tails.values()) if w not in known]
-        extra = {}
-        for w, ids in zip(need, encode_words(name, need)):
-            (known if len(w) <= KEEP_BYTES else extra)[w] = value(ids)
-        for w, parts in tails.items():
-            (known if len(w) <= KEEP_BYTES else extra)[w] = join([known[x] if x in known else extra[x] for x in parts])
-        for raw, words in zip(block, split):
+        found = [None if words is None else list(map(known.get, words)) for words in split]
+        fresh = {w for words, own in zip(split, found) if words for w, x in zip(words, own) if x is None}
+        tails = {}
+        for w in fresh:
+            stem = w.rstrip(MARKS)
+            if len(stem) < len(w) and stem and 97 <= stem[-1] <= 122:
+                tails[w] = stem, w[len(stem) :]
+        need = list((fresh - tails.keys()).union(*tails.values()).difference(known)) if tails else list(fresh)
+        extra = dict(zip(need, map(value, encode_words(name, need))))
+        for w, (a, b) in tails.items():
+            extra[w] = (known[a] if a in known else extra[a]) + (known[b] if b in known else extra[b])
+        for raw, words, own in zip(block, split, found):
             if words is None:
                 yield join([value(encode_whole(name, raw))])
-            elif extra:
-                yield join([known[w] if w in known else extra[w] for w in words])
             else:
-                yield join(map(known.__getitem__, words))
+                yield join([extra[w] if x is None else x for w, x in zip(words, own)])
+        known.update((w, x) for w, x in extra.items() if len(w) <= KEEP_BYTES)
 
 
 def token_counts(name: str, raws: Iterable[bytes], frequent: dict[bytes, int] | None = None) -> Iterator[int]:
-    return per_text(name, raws, "length", len, sum, frequent)
+    return per_text(name, raws, "length", count, sum, frequent)
 
 
 def token_ids(name: str, raws: Iterable[bytes]) -> Iterator[bytes]:
     """Little-endian unsigned 32-bit ids of each text."""
-    return per_text(name, raws, "ids", np.ndarray.tobytes, b"".join)
+    return per_text(name, raws, "ids", bytes, b"".join)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.pretoken import KEEP_BYTES, encode_words, specials, token_counts
+from foliant.llm.pretoken import KEEP_BYTES, count, encode_words, specials, token_counts
 
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of the broadcast table, and of each task's summary: both fixed, whatever the input.
@@ -78,10 +78,10 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
     marks = specials(tokenizer)[2]
     keys = [k for k in frequent_pretokens(texts) if not any(m in k for m in marks)]
-    sizes = [len(ids) for ids in encode_words(tokenizer, keys)]
+    sizes = [count(ids) for ids in encode_words(tokenizer, keys)]
     compact = docs.sparkSession.sparkContext.broadcast((b"\n".join(keys), sizes))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sizes = compact.value
         frequent = dict(zip(words.split(b"\n"), sizes))
         for batch in batches:
@@ -90,4 +90,4 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array([len(x) for x in raws], pa.int64()), "n_tokens": pa.array(n, pa.int64())})
 
     kind = dict(texts.dtypes)["doc_id"]
-    return texts.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return texts.mapInArrow(tell, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
