@@ -3,8 +3,7 @@
 Words and word pairs of the training texts are counted in full. Counts are quantised on a log scale, and each n-gram is
 put into the filter once for each level up to its own; a lookup probes level after level until one is missing. The
 filter is cut into blocks, one for each bucket of hashes, built in parallel; a block's bits follow its own insertions, so
-that the filter never overfills, whatever the size of the texts. Pairs seen once are not part of the model, all others
-are. Each chunk of documents sends its distinct words and pairs to their buckets once, with their counts in the training
+that the filter never overfills, whatever the size of the texts. Each chunk of documents sends its distinct words and pairs to their buckets once, with their counts in the training
 texts; a bucket sums them, builds its block, looks up what each chunk sent and answers it. No task and no driver holds the
 whole filter.
 
@@ -32,7 +31,6 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import WordHashes, buckets_for, mix, text_bytes
 
-LEAST_PAIR = 2
 #: Counts c are of level 1 + floor(log c / log STEP).
 STEP, LEVELS = 1.5, 64
 #: Bits for each insertion, probes of each lookup.
@@ -61,31 +59,32 @@ def level_values() -> np.ndarray:
 
 
 def positions(keys: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
-    salt = 0xD6E8FEB86659FD93 * (level * PROBES + probe + 1) & (1 << 64) - 1
-    return mix(keys ^ np.uint64(salt)) % np.uint64(bits)
+    """Places of mixed keys, by double hashing: the upper half of key + k * (key with its halves swapped), spread over the bits."""
+    swapped = (keys << np.uint64(32)) | (keys >> np.uint64(32)) | np.uint64(1)
+    x = (keys + swapped * np.uint64(level * PROBES + probe)) >> np.uint64(32)
+    return ((x * np.uint64(bits)) >> np.uint64(32)).astype(np.int64)
 
 
 class Filter:
     """Blocks side by side; a key's block is its bucket."""
 
     def __init__(self, blocks: np.ndarray, bits: int):
-        self.blocks, self.bits, self.n = blocks, bits, len(blocks) * 8 // bits
+        self.set, self.bits, self.n = np.unpackbits(blocks, bitorder="little").view(bool), bits, len(blocks) * 8 // bits
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         if not self.n:
             return np.zeros(len(h), np.int64)
         bucket = bucket_of(h, self.n)
-        return self.found((h & LOW48) | (bucket << np.uint64(48)), bucket * np.uint64(self.bits))
+        return self.found((h & LOW48) | (bucket << np.uint64(48)), (bucket * np.uint64(self.bits)).astype(np.int64))
 
     def found(self, keys: np.ndarray, base: np.ndarray) -> np.ndarray:
         """Levels of keys (low 48 bits of the hash, then the bucket) in the blocks that start at the bits base."""
         found = np.zeros(len(keys), np.int64)
-        at = np.arange(len(keys))
+        at, keys = np.arange(len(keys)), mix(keys)
         for level in range(1, LEVELS + 1):
             for probe in range(PROBES):
-                p = base + positions(keys, level, probe, self.bits)
-                here = (self.blocks[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                if not here.all():
+                here = np.flatnonzero(self.set[base + positions(keys, level, probe, self.bits)])
+                if len(here) < len(at):
                     at, keys, base = at[here], keys[here], base[here]
             if not len(at):
                 break
@@ -96,13 +95,13 @@ class Filter:
 def block(bucket: int, words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, bits: int) -> np.ndarray:
     low = np.concatenate([words & LOW48, pairs]) | (np.uint64(bucket) << np.uint64(48))
     levels = level_of(np.concatenate([word_counts, pair_counts]).astype(np.float64)) if len(low) else np.zeros(0, np.int64)
-    own = np.zeros(bits // 8, np.uint8)
+    own, low = np.zeros(bits, bool), mix(low)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        keys = low[levels >= level]
+        if level > 1:
+            low, levels = low[levels >= level], levels[levels >= level]
         for probe in range(PROBES):
-            p = positions(keys, level, probe, bits)
-            np.bitwise_or.at(own, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
-    return own
+            own[positions(low, level, probe, bits)] = True
+    return np.packbits(own, bitorder="little")
 
 
 def pack48(h: np.ndarray) -> bytes:
@@ -175,14 +174,14 @@ def by_bucket(h: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]
         yield int(b[part[0]]), part
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Byte planes, compressed."""
-    return pa.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True) if len(numbers) else b""
+def packed(numbers: np.ndarray, width: int = 4) -> bytes:
+    """Byte planes of unsigned numbers of that many bytes, compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes(), "zstd", asbytes=True) if len(numbers) else b""
 
 
-def unpacked(raw: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(raw, 4 * n, "zstd", asbytes=True) if n else b"", np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def unpacked(raw: bytes, n: int, width: int = 4) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, width * n, "zstd", asbytes=True) if n else b"", np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
 SENT = "bucket int, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary, held binary"
@@ -233,25 +232,24 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             w, p = np.frombuffer(words, "<u8"), unpack48(pairs)
             sent.append((chunk, w, unpacked(word_counts, len(w)), p, unpacked(pair_counts, len(p))))
 
-        def gather(k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        def gather(k: int) -> tuple[np.ndarray, np.ndarray]:
             h, n = np.concatenate([x[k] for x in sent]), np.concatenate([x[k + 1] for x in sent]).astype(np.int64)
-            h, n = summed(h[n > 0], n[n > 0])
-            return h[n >= least], n[n >= least]
+            return summed(h[n > 0], n[n > 0])
 
-        h, c = gather(1, 1)
-        pairs, pair_counts = gather(3, LEAST_PAIR)
+        h, c = gather(1)
+        pairs, pair_counts = gather(3)
         inserted = sum(int(level_of(n.astype(float)).sum()) for n in (c, pair_counts) if len(n))
         bits = max(64, -(-inserted * BITS // 8) * 8)
         own = Filter(block(bucket, h, c, pairs, pair_counts, bits), bits)
         sums = int(c.sum()), len(h), int((pair_counts - 1).sum())
 
         def levels(keys: np.ndarray) -> bytes:
-            return own.found((keys & LOW48) | (np.uint64(bucket) << np.uint64(48)), np.zeros(len(keys), np.uint64)).astype(np.uint8).tobytes()
+            return own.found((keys & LOW48) | (np.uint64(bucket) << np.uint64(48)), np.zeros(len(keys), np.int64)).astype(np.uint8).tobytes()
 
         for chunk, w, _, p, _ in sent:
             at = np.minimum(np.searchsorted(h, w), max(0, len(h) - 1))
             n = np.where(h[at] == w, c[at], 0) if len(h) else np.zeros(len(w), np.int64)
-            out.append((bucket, chunk, packed(n), levels(w), levels(p), *sums, None))
+            out.append((bucket, chunk, packed(n, 8), levels(w), levels(p), *sums, None))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out), [pa.int32(), pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * 3, pa.binary()])], ["bucket", "chunk", "words", "word_levels", "pairs", "n_tokens", "n_words", "kept", "held"])
 
     def close(group: pa.Table) -> pa.Table:
@@ -266,7 +264,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         # answers come in the order of buckets and, within each, of hashes: that of all hashes
         order = np.argsort(words)
         n, level = np.empty(len(words)), np.empty(len(words), np.int64)
-        n[order] = np.concatenate([unpacked(x[2], len(x[3])) for x in answers])
+        n[order] = np.concatenate([unpacked(x[2], len(x[3]), 8) for x in answers])
         level[order] = np.frombuffer(b"".join(x[3] for x in answers), np.uint8)
         count = level_values()[level]
         doc, h, read = np.repeat(np.arange(len(sizes)), sizes), words[at], Reader()

@@ -235,6 +235,11 @@ def test_lm_scoring(docs, empty):
     assert lm_scoring.score(empty, language_id.held_out("doc_id", 7)).count() == 0
 
 
+def test_lm_scoring_counts_beyond_32_bits():
+    n = np.array([0, 1, 2**32 - 1, 2**32, 2**40 + 5])
+    assert lm_scoring.unpacked(lm_scoring.packed(n, 8), 5, 8).tolist() == n.tolist()
+
+
 def test_lm_scoring_filter_follows_the_training_texts(spark, docs, monkeypatch):
     monkeypatch.setattr(lm_scoring, "MOST_BITS", 1 << 12, raising=False)  # a bound on the filter would overfill it here
     texts = DOCS + [(1000 + i, prose(200)) for i in range(60)]
@@ -260,7 +265,7 @@ def brute_lm_scores(texts):
         for a, b in zip([None, *w], w):
             c_v = value(words[b"\n" if a is None else a])
             own = share if c_v else 0
-            pair = value(pairs[a, b]) if pairs[a, b] > 1 else 0
+            pair = value(pairs[a, b])
             out[i] += math.log10(min(1, own * min(1, pair / max(c_v, 1)) + (1 - own) * (value(words[b]) + 1) / (n + v + 1)))
     return out
 
