@@ -3,16 +3,17 @@
 Not every suffix is sorted. Each 50-byte window is represented by its anchor: the place in it whose 24 bytes have the
 least hash (leftmost of equals), so equal windows have equal anchors at equal offsets, and one suffix in about 14 does.
 Shorter grams would need fewer suffixes, but recur by chance, the more so the larger the corpus.
-A first pass tells which anchors occur in several documents, through a filter of fixed size; where it is full it lets
-more through, and results stay the same. The second pass sends the suffixes at those anchors, with the bytes that their
-windows take in before and after, to ranges by their leading bytes; the splitters come from a sample. Each bucket sorts
-its suffixes by multikey quicksort on 8-byte keys. Equal ones stand together: all but those of the least document are
-wholly covered. Of the rest, each window meets the least document of its equals. Splitters lie between distinct leading
-keys, so windows to be compared never lie on two sides of a boundary. Copies within a task are settled there and only
-the first is sent, so hot passages cost each task one suffix.
+A first pass tells which anchors occur in several documents: chunks of texts send the hashes of their anchors to buckets,
+each bucket answers each chunk, and the chunk, its texts sent along compressed, goes on with the shared ones only. Their
+suffixes, with the bytes that their windows take in before and after, go to ranges by their leading bytes; the splitters
+come from a sample of the texts. Each range sorts its suffixes by multikey quicksort on 8-byte keys. Equal ones stand
+together: all but those of the least document are wholly covered. Of the rest, each window meets the least document of
+its equals, found by hash and compared byte by byte. Splitters lie between distinct leading keys of GRAM bytes, which
+equal windows share, so windows to be compared never lie on two sides of a boundary. Copies within a chunk are settled
+there and only the first is sent, so hot passages cost each chunk one suffix.
 
 Null texts count as empty. Rows with a null id lose nothing and take nothing from others. Repeated rows of an id are one
-document: they take nothing from each other, and lose the same. Matches never cross documents.
+document: they take nothing from each other, and lose the same. Matches never cross documents. Ids are integers; others are refused.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,8 @@ from foliant.llm.common import buckets_for, checkpoint, mix, require_integer_ids
 MATCH, GRAM = 50, 24
 WINDOWS = MATCH - GRAM + 1  # places of a gram in a match
 SPAN = MATCH + WINDOWS - 1  # bytes that an anchor's windows can take in
-#: Bytes of text worked on at once; of text for each bucket; bits of the whole filter; sampled leading keys in all.
-BLOCK_BYTES, BUCKET_BYTES, MOST_BITS, SAMPLE = 2 << 20, 8 << 20, 1 << 27, 1 << 16
-PROBES = 3
+#: Bytes of text worked on at once; of text for each bucket; of texts sampled for splitters, and most splitters.
+BLOCK_BYTES, BUCKET_BYTES, SAMPLE_BYTES, SPLITTERS = 2 << 20, 8 << 20, 64 << 20, 1 << 18
 #: Bytes of removed spans up to which they are broadcast; beyond, a shuffled join does the same.
 BROADCAST_BYTES = 8 << 20
 
@@ -74,19 +75,14 @@ class Runs:
             setattr(self, c, getattr(self, c)[mask])
 
     def lead(self) -> np.ndarray:
-        """The leading eight bytes at each anchor, as a number in byte order."""
-        w = np.ndarray((len(self.data) - 7,), "<u8", self.data, 0, (1,))
-        return w[self.anchor].byteswap()
+        """The bytes at each anchor, in byte order."""
+        return np.lib.stride_tricks.sliding_window_view(self.data, GRAM)[self.anchor].copy().view(f"S{GRAM}").ravel()
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
 
 
-def places(low: np.ndarray, probe: int, bits: int) -> np.ndarray:
-    return (mix(low.astype(np.uint64) + np.uint64((probe + 1) << 40)) % np.uint64(bits)).astype(np.int64)
-
-
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and texts of rows with an id, about BLOCK_BYTES together."""
     ids, raws, size = [], [], 0
@@ -111,51 +107,70 @@ def split_by(key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield int(key[a]), *(c[a:b] for c in columns)
 
 
-def shared_anchors(texts: DataFrame, n_buckets: int) -> tuple[np.ndarray, int, np.ndarray]:
-    """The filter of anchors in several documents, its bits for each bucket, and sampled leading keys."""
-    bits = MOST_BITS // n_buckets // 8 * 8
-    share = max(4, SAMPLE // max(1, texts.rdd.getNumPartitions()))
+def split_points(texts: DataFrame, n_bytes: int, n_ranges: int) -> np.ndarray:
+    """Leading bytes that part the suffixes at anchors into about n_ranges even ranges, by a sample of the texts."""
+    fraction = min(1.0, SAMPLE_BYTES / max(1, n_bytes))
+    n = min(n_ranges, SPLITTERS)
+    part = texts.sample(fraction, seed=5) if fraction < 1 else texts
+    share = 4 * n / max(1, min(n_bytes, SAMPLE_BYTES))  # wanted for each byte sampled
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, raws in blocks(batches):
+            lead = Runs(raws).lead()
+            want = max(1, int(share * sum(map(len, raws))))
+            yield pa.RecordBatch.from_pydict({"lead": pa.array([lead[:: max(1, len(lead) // want)].tobytes()], pa.binary())})
+
+    lead = np.frombuffer(b"".join(bytes(r["lead"]) for r in part.mapInArrow(take, "lead binary").collect()), f"S{GRAM}")  # about 4 for each range
+    lead = np.sort(lead)
+    return np.unique(lead[:: max(1, len(lead) // n)])
+
+
+def sent_order(gram: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, low half) of the distinct anchors by bucket, then low half; the first place of each, and each anchor's place among them."""
+    bucket, low = bucket_of(gram, n_buckets), (gram & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    key, first, back = np.unique(bucket << 32 | low, return_index=True, return_inverse=True)
+    return key >> 32, (key & 0xFFFFFFFF).astype("<u4"), first, back
 
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = 0
-        for ids, raws in blocks(batches):
-            runs = Runs(raws)
+
+ASKED = "bucket int, chunk long, low binary, several binary, held binary"
+ANSWERED = "bucket int, chunk long, shared binary, held binary"
+
+
+def shared_anchors(texts: DataFrame, n_buckets: int) -> DataFrame:
+    """ANSWERED: for each chunk its texts (held) once, and for each bucket which of its anchors occur in several documents."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for number, (ids, raws) in enumerate(blocks(batches)):
+            runs, chunk = Runs(raws), (task << 32) + number
+            bucket, low, first, back = sent_order(runs.gram, n_buckets)
             doc = np.unique(np.array(ids, np.int64), return_inverse=True)[1][runs.doc]
-            order = np.lexsort((doc, runs.gram))
-            g, d = runs.gram[order], doc[order]
-            first = np.concatenate([[True], g[1:] != g[:-1]])[: len(g)]
-            starts = np.flatnonzero(first)
-            several = np.maximum.reduceat(d, starts) != np.minimum.reduceat(d, starts) if len(g) else np.zeros(0, bool)
-            g = g[starts]
-            rows = [(b, low.astype("<u4").tobytes(), low[s].astype("<u4").tobytes(), None) for b, low, s in split_by(bucket_of(g, n_buckets), (g & np.uint64(0xFFFFFFFF)).astype(np.uint32), several)]
-            lead = runs.lead()
-            take = max(0, min(share - asked, max(1, share // 8)))
-            asked += take
-            rows.append((-1, None, None, lead[:: max(1, len(lead) // max(1, take))][:take].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 3])], ["bucket", "once", "several", "sample"])
-
-    def join(group: pa.Table) -> pa.Table:
-        b = group.column("bucket")[0].as_py()
-        if b < 0:
-            s = np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in group.column("sample").to_pylist()]))
-            s = s[:: max(1, len(s) // SAMPLE)]
-            return pa.table({"bucket": pa.array([b], pa.int32()), "block": pa.array([s.tobytes()], pa.binary())})
-        once = np.sort(np.concatenate([np.frombuffer(x, "<u4") for x in group.column("once").to_pylist()]))
-        low = np.concatenate([once[1:][once[1:] == once[:-1]], *[np.frombuffer(x, "<u4") for x in group.column("several").to_pylist()]])
-        own = np.zeros(bits // 8, np.uint8)
-        for probe in range(PROBES):
-            p = places(low, probe, bits)
-            np.bitwise_or.at(own, p >> 3, (1 << (p & 7)).astype(np.uint8))
-        return pa.table({"bucket": pa.array([b], pa.int32()), "block": pa.array([pa.compress(own.tobytes(), "zstd", asbytes=True)], pa.binary())})
-
-    told = texts.mapInArrow(tell, "bucket int, once binary, several binary, sample binary")
-    out, sample = np.zeros(n_buckets * bits // 8, np.uint8), np.zeros(0, np.uint64)
-    for r in told.groupBy("bucket").applyInArrow(join, "bucket int, block binary").collect():  # the filter's fixed size at most
-        if r["bucket"] < 0:
-            sample = np.frombuffer(r["block"], "<u8")
-        else:
-            out[r["bucket"] * bits // 8 : (r["bucket"] + 1) * bits // 8] = np.frombuffer(pa.decompress(r["block"], bits // 8, "zstd"), np.uint8)
-    return out, bits, sample
+            several = np.zeros(len(low), bool)
+            several[back[doc != doc[first][back]]] = True
+            rows = [(chunk % n_buckets, chunk, None, None, pack_texts(ids, raws))]
+            rows += [(b, chunk, own.tobytes(), np.packbits(s).tobytes(), None) for b, own, s in split_by(bucket, low, several)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), pa.int64(), *[pa.binary()] * 3])], ["bucket", "chunk", "low", "several", "held"])
+
+    def answer(group: pa.Table) -> pa.Table:
+        buckets, chunks, lows, severals, held = (x.to_pylist() for x in group.columns)
+        asked = [k for k, x in enumerate(lows) if x is not None]
+        own = [np.frombuffer(lows[k], "<u4") for k in asked]
+        once = np.sort(np.concatenate([np.zeros(0, "<u4"), *own]))
+        again = [once[1:][once[1:] == once[:-1]], *[x[np.unpackbits(np.frombuffer(severals[k], np.uint8), count=len(x)).view(bool)] for k, x in zip(asked, own)]]
+        again = np.append(np.unique(np.concatenate(again)), np.uint64(1 << 32))
+        out = [(buckets[k], chunks[k], None, held[k]) for k in range(len(chunks)) if held[k] is not None]
+        out += [(buckets[k], chunks[k], np.packbits(again[np.searchsorted(again, x)] == x).tobytes(), None) for k, x in zip(asked, own)]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out), [pa.int32(), pa.int64(), pa.binary(), pa.binary()])], ["bucket", "chunk", "shared", "held"])
+
+    return texts.mapInArrow(ask, ASKED).groupBy("bucket").applyInArrow(answer, ANSWERED)
+
+
+def pack_texts(ids: list[int], raws: list[bytes]) -> bytes:
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "raw": pa.array(raws, pa.binary())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def multikey_order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -223,13 +238,31 @@ def covered_windows(records: np.ndarray, rows: np.ndarray) -> np.ndarray:
     h = window_hashes(rows).T
     valid = np.arange(WINDOWS) <= (records["size"].astype(np.int64) - MATCH)[:, None]
     r, w = np.nonzero(valid)
-    flat, doc = h[r, w], records["doc"][r]
-    order = np.argsort(flat, kind="stable")
-    f = flat[order]
-    starts = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, np.int64)
-    least = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(f)))) if len(f) else doc
     out = np.zeros(valid.shape, bool)
-    out[r[order], w[order]] = least < doc[order]
+    if not len(r):
+        return out
+    flat, doc = h[r, w], records["doc"][r]
+    order = np.lexsort((doc, flat))
+    flat, doc, r, w = flat[order], doc[order], r[order], w[order]
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    rep = np.repeat(starts, np.diff(np.append(starts, len(flat))))
+    hit = np.flatnonzero(doc[rep] < doc)
+    # bytes are compared run by run: windows one after the other that meet the same record at the same shift
+    r1, w1, r2, w2 = r[hit], w[hit], r[rep[hit]], w[rep[hit]]
+    o = np.lexsort((w1, w2 - w1, r2, r1))
+    r1, w1, r2, w2 = r1[o], w1[o], r2[o], w2[o]
+    new = np.concatenate([[True], (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1]) | (w2[1:] - w1[1:] != w2[:-1] - w1[:-1]) | (w1[1:] != w1[:-1] + 1)])[: len(r1)]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(r1))) + MATCH - 1
+    span = np.arange(SPAN)
+    a, b = np.minimum(w1[first][:, None] + span, SPAN - 1), np.minimum(w2[first][:, None] + span, SPAN - 1)
+    same = ((rows[r1[first][:, None], a] == rows[r2[first][:, None], b]) | (span >= size[:, None])).all(1)
+    sure = same[np.cumsum(new) - 1]
+    out[r1[sure], w1[sure]] = True
+    for k in np.flatnonzero(~sure).tolist():  # one hash for different windows
+        own = rows[r1[k], w1[k] : w1[k] + MATCH]
+        for x in np.flatnonzero((flat == h[r1[k], w1[k]]) & (doc < records["doc"][r1[k]])).tolist():
+            out[r1[k], w1[k]] |= bool((rows[r[x], w[x] : w[x] + MATCH] == own).all())
     return out
 
 
@@ -256,10 +289,7 @@ def intervals_of(records: np.ndarray, covered: np.ndarray, windows: np.ndarray |
 def removed_spans(texts: DataFrame, n_bytes: int) -> DataFrame:
     """doc_id, tag, spans (packed starts and ends, merged and sorted) from texts (doc_id, raw)."""
     n_buckets = buckets_for(n_bytes, BUCKET_BYTES)
-    bits_all, bits, sample = shared_anchors(texts, n_buckets)
-    splitters = np.unique(sample[:: max(1, len(sample) // n_buckets)])
-    shared = texts.sparkSession.sparkContext.broadcast((pa.compress(bits_all.tobytes(), "zstd", asbytes=True), splitters))
-    total = len(bits_all)
+    shared = texts.sparkSession.sparkContext.broadcast(split_points(texts, n_bytes, n_buckets))  # SPLITTERS at most
     schema = "bucket int, records binary, bytes binary, intervals binary"
     names = ["bucket", "records", "bytes", "intervals"]
 
@@ -270,21 +300,20 @@ def removed_spans(texts: DataFrame, n_bytes: int) -> DataFrame:
     def table(rows: list[tuple]) -> pa.Table:
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 4, [pa.int32(), *[pa.binary()] * 3])], names)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(group: pa.Table) -> pa.Table:
         import xxhash
 
-        packed, splitters = shared.value
-        known = np.frombuffer(pa.decompress(packed, total, "zstd"), np.uint8)
-        for ids, raws in blocks(batches):
-            runs = Runs(raws)
-            base, low = bucket_of(runs.gram, n_buckets) * bits, (runs.gram & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            seen = np.ones(len(low), bool)
-            for probe in range(PROBES):
-                p = base + places(low, probe, bits)
-                seen &= known[p >> 3] >> (p & 7).astype(np.uint8) & 1 == 1
-            runs.keep(seen)
-            if not len(runs.first):
-                continue
+        splitters, out = shared.value, []
+        answers = sorted(zip(*(group.column(c).to_pylist() for c in ("bucket", "shared"))), key=lambda x: x[0])
+        held = pa.ipc.open_stream(next(x for x in group.column("held").to_pylist() if x is not None)).read_all()
+        ids, raws = held.column("doc_id").to_pylist(), held.column("raw").to_pylist()
+        runs = Runs(raws)
+        if len(runs.gram):
+            bucket, _, _, back = sent_order(runs.gram, n_buckets)
+            sizes = np.unique(bucket, return_counts=True)[1]
+            seen = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).view(bool) for (_, x), n in zip([a for a in answers if a[1] is not None], sizes.tolist())]
+            runs.keep(np.concatenate(seen)[back])
+        if len(runs.first):
             rec = np.zeros(len(runs.first), RECORD)
             tags = np.array([xxhash.xxh32_intdigest(r) for r in raws], np.uint32)
             rec["doc"], rec["tag"] = np.array(ids, np.int64)[runs.doc], tags[runs.doc]
@@ -299,7 +328,7 @@ def removed_spans(texts: DataFrame, n_bytes: int) -> DataFrame:
             rec, rows, where = rec[stay][order], rows[stay][order], where[order]
             for b, r, x in split_by(where, rec, rows):
                 out.append((b, r.tobytes(), pa.compress(x.tobytes(), "zstd", asbytes=True), None))
-            yield from table(out).to_batches()
+        return table(out)
 
     def compare(group: pa.Table) -> pa.Table:
         if group.column("bucket")[0].as_py() < 0:
@@ -326,7 +355,7 @@ def removed_spans(texts: DataFrame, n_bytes: int) -> DataFrame:
             spans.append(np.stack([own["start"][cut], upto[np.append(cut[1:], len(own)) - 1]], 1).astype("<u4").tobytes())
         return pa.table({"doc_id": pa.array(docs, pa.int64()), "tag": pa.array(tags, pa.int64()), "spans": pa.array(spans, pa.binary())})
 
-    sent = texts.mapInArrow(send, schema)
+    sent = shared_anchors(texts, n_buckets).groupBy("chunk").applyInArrow(send, schema)
     found = sent.groupBy("bucket").applyInArrow(compare, schema)
     return found.groupBy("bucket").applyInArrow(merge, "doc_id long, tag long, spans binary")
 

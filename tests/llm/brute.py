@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 
+sys.set_int_max_str_digits(0)  # plain int() of any length
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
