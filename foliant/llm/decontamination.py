@@ -21,8 +21,8 @@ from foliant.llm.common import checkpoint, lower_ascii, split_words
 
 SIZE = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Prefix words that one pass looks for; vocabulary words and windows that may be broadcast.
-BLOCK, BROADCAST_ROWS = 20_000, 500_000
+#: Prefix words that one pass looks for; bytes of vocabulary words, of windows with their items, or of keys of texts, that may be broadcast.
+BLOCK, BROADCAST_BYTES = 20_000, 32 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -36,15 +36,19 @@ def item_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
     return w.groupBy("window").agg(F.collect_set("item_id").alias("items"))
 
 
-def small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def small(df: DataFrame, n_bytes: int) -> DataFrame:
+    return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
+
+
+def weigh(df: DataFrame, size: Column) -> int:
+    return df.agg(F.sum(size.cast("long") + 40).alias("n")).first()["n"] or 0
 
 
 def prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """word, offset, window, items: each window under its rarest word over all documents (ties: the smaller word)."""
     placed = windows.select("window", "items", F.posexplode("window").alias("offset", "word"))
     vocabulary = checkpoint(placed.select("word").distinct())
-    n = vocabulary.count()
+    n = weigh(vocabulary, F.octet_length("word"))
     seen = docs.select(F.explode(words_of(F.col("text"))).alias("word"))
     seen = seen.join(small(vocabulary, n), "word", "left_semi").groupBy("word").agg(F.count("*").alias("seen"))
     ranked = placed.join(small(seen, n), "word", "left").select("*", F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "word", "offset").alias("rank"))
@@ -57,9 +61,11 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     items = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("text"))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     prefix = checkpoint(prefixes(own, item_windows(items, size)))
-    n_windows, n_words = prefix.count(), prefix.select("word").distinct().count()
+    n_windows, n_words = weigh(prefix, F.octet_length(F.array_join("window", "")) + 24 * F.size("window") + 16 * F.size("items")), prefix.select("word").distinct().count()
     n_blocks = max(1, -(-n_words // BLOCK))
     base = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
+    if n_blocks > 1:
+        base = checkpoint(base)  # the passes meet by row number
     found = None
     for block in range(n_blocks):
         part = prefix.where(F.pmod(F.xxhash64("word"), F.lit(n_blocks)) == block)
@@ -94,7 +100,11 @@ def contamination(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
     return c.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that hold no window of the benchmark, with all their columns."""
-    bad = checkpoint(contamination(docs, items, id_col=id_col).where("contaminated").select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(small(bad, bad.count()), id_col, "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that hold no window of the benchmark, with all their columns. The text alone decides, whatever the ids."""
+    keys = [F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col)]
+    own = docs.select(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("key"), F.col(text_col).alias("text"))
+    bad = checkpoint(contamination(own, items, id_col="key").where("contaminated").select("doc_id.*").distinct())
+    n_bytes = 40 * bad.count()
+    bad = small(bad, n_bytes)
+    return docs.join(bad, (keys[0] == bad["k0"]) & (keys[1] == bad["k1"]), "left_anti")

@@ -16,6 +16,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def emails(text: str) -> Iterator[Span]:
 
 def numbers(text: str) -> Iterator[Span]:
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(x := p.lstrip("0")) <= 3 and int(x or "0") <= 255 for p in m[0].split(".")):
             yield "ip", *m.span()
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -108,14 +109,16 @@ SAID_TOKEN = re.compile(rf"(?i)(?P<unit>\b(?:{UNIT})\b)|(?P<sign>\b(?:{SIGN})\b)
 HINT = re.compile(rf"\b(?:{UNIT})\b")  # of lower-cased text
 
 OPEN, CLOSE = r"[(\[{<]", r"[)\]}>]"
-DOT_WORD = rf"(?:\s*{OPEN}\s*(?:dot|point|punkt|punto|\.)\s*{CLOSE}\s*|\s+(?:dot|punkt|punto)\s+|_dot_|-dot-)"
-AT_BRACKET = rf"\s*{OPEN}\s*(?:at|arroba|@)\s*{CLOSE}\s*"
-AT = re.compile(rf"(?i){AT_BRACKET}|(?:\s+(?:at|arroba)\s+|_at_|-at-)(?=[a-z0-9-]+?{DOT_WORD})|[ \t]+@[ \t]*|[ \t]*@[ \t]+|@")
+#: White space before a bracket or word is matched from its first character on only, so long runs of it cost no more than their length.
+RUN, RUN_OF_ONE = r"(?:(?<!\s)\s*+)", r"(?:(?<!\s)\s++)"
+DOT_WORD = rf"(?:\s*+{OPEN}\s*+(?:dot|point|punkt|punto|\.)\s*+{CLOSE}\s*+|\s++(?:dot|punkt|punto)\s++|_dot_|-dot-)"
+AT_BRACKET = rf"{RUN}{OPEN}\s*+(?:at|arroba|@)\s*+{CLOSE}\s*+"
+BLANK = r"(?<![ \t])[ \t]"
+AT = re.compile(rf"(?i){AT_BRACKET}|(?:{RUN_OF_ONE}(?:at|arroba)\s++|_at_|-at-)(?=[a-z0-9-]+?{DOT_WORD})|{BLANK}++@[ \t]*+|{BLANK}*+@[ \t]++|@")
 DISGUISED_DOMAIN = re.compile(rf"(?i)[a-z0-9-]+?(?:(?:{DOT_WORD}|\.)[a-z0-9-]+?)+(?![a-z0-9]|-(?!dot))")
-DISGUISED_LOCAL = re.compile(rf"(?i)(?:[a-z0-9._%+-]+?{DOT_WORD})*[a-z0-9._%+-]+$")
-DOT = re.compile(f"(?i){DOT_WORD}")
-#: The longest local part that is looked for before a disguised at sign.
-LOCAL_REACH = 128
+#: Read from its end to its start, as far as it goes.
+DISGUISED_LOCAL = regex.compile(rf"(?ri)(?:(?<![a-z0-9._%+-])[a-z0-9._%+-]+{DOT_WORD.replace('*+', '*').replace('++', '+')})*[a-z0-9._%+-]+")
+DOT = re.compile(rf"(?i)(?:{RUN}{OPEN}\s*+(?:dot|point|punkt|punto|\.)\s*+{CLOSE}\s*+|{RUN_OF_ONE}(?:dot|punkt|punto)\s++|_dot_|-dot-)")
 
 
 @functools.cache
@@ -170,12 +173,11 @@ def join_at_and_dot(tape: Tape) -> None:
     for m in AT.finditer(tape.text):
         if m.start() < upto:
             continue
-        low = max(upto, m.start() - LOCAL_REACH)
-        local = DISGUISED_LOCAL.search(tape.text[low : m.start()])
         domain = DISGUISED_DOMAIN.match(tape.text, m.end())
+        local = DISGUISED_LOCAL.match(tape.text, upto, m.start()) if domain else None
         if not local or not domain or (m[0] == "@" and not DOT.search(domain[0]) and not DOT.search(local[0])):
             continue
-        edits += [(low + local.start() + x.start(), low + local.start() + x.end(), ".") for x in DOT.finditer(local[0])]
+        edits += [(local.start() + x.start(), local.start() + x.end(), ".") for x in DOT.finditer(local[0])]
         edits += [(*m.span(), "@")] if m[0] != "@" else []
         edits += [(domain.start() + x.start(), domain.start() + x.end(), ".") for x in DOT.finditer(domain[0])]
         upto = domain.end()
@@ -209,7 +211,8 @@ def deobfuscated(text: str, base: list[Span]) -> list[Span]:
     for kind, a, b in detect(tape.text):
         start, end = tape.starts[a], tape.ends[b - 1]
         changed = 1 in tape.new[a:b] or end - start != b - a
-        if changed and all(end <= x or y <= start for x, y in taken):
+        # what lies apart from all spans known, or holds more than those it meets
+        if changed and all(end <= x or y <= start or (start <= x and y <= end and end - start > y - x) for x, y in taken):
             added.append((kind, start, end))
             taken.append((start, end))
     return added

@@ -66,7 +66,7 @@ def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, keep_share: float = KEEP_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, the base measures, base_failed, kept, and n_kept_words: words outside frequent lines."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host"))
     frequent = checkpoint(frequent_lines(own, max_docs))
     frequent = frequent.withColumn("hit", F.lit(True))
     if frequent.count() <= BROADCAST_ROWS:
