@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,16 +76,23 @@ _CACHES: dict[str, dict] = {}
 
 
 def worker_cache(owner: str) -> dict:
-    """This worker process's cache of one operator; it outlives tasks, and goes when another operator asks for one of its own."""
+    """This worker process's cache of one operator; it outlives tasks, and goes when another operator begins."""
     if owner not in _CACHES:
         _CACHES.clear()
+        pa.default_memory_pool().release_unused()
     return _CACHES.setdefault(owner, {})
 
 
+def slices(column: pa.Array, rows: int = 256) -> Iterator[list]:
+    """A batch's values as Python objects, few at a time: a batch may hold thousands of long texts."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()
+
+
 class WordHashes:
     """64-bit hashes of words with a bounded cache; the cache is cleared when full, so memory stays bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         import xxhash
 
         self.known: dict[bytes, int] = {}

@@ -23,6 +23,7 @@ repeated rows are copies of each other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import WordHashes, checkpoint, mix
+from foliant.llm.common import WordHashes, checkpoint, mix, slices, worker_cache
 from foliant.llm.components import components
 
 SHINGLE, PERCENT = 3, 90
@@ -79,11 +80,11 @@ def rarity(texts: DataFrame, size: int) -> np.ndarray:
     """For each cell, how many shingles of all sets fall in it, on a log scale (one byte)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("sets")
         own, sets = np.zeros(CELLS, np.int64), Sets(size)
         for batch in batches:
-            raws = batch.column("raw").to_pylist()
-            for at in range(0, len(raws), 256):
-                own += np.bincount(cells_of(np.concatenate([sets(r) for r in raws[at : at + 256]])), minlength=CELLS)
+            for raws in slices(batch.column("raw")):
+                own += np.bincount(cells_of(np.concatenate([sets(r) for r in raws])), minlength=CELLS)
         parts = own.astype("<u8").reshape(PARTS, -1)
         # most counts are small: bytes do for a part whose counts all fit
         rows = [(p, x.astype("<u1").tobytes() if x.max() < 256 else x.astype("<u2").tobytes() if x.max() < 65536 else x.tobytes()) for p, x in enumerate(parts) if x.any()]
@@ -134,7 +135,7 @@ def documents_and_entries(texts: DataFrame, size: int, percent: int) -> DataFram
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, sets, told = order.value, Sets(size), set()
-        for batch in batches:
+        for batch in chain.from_iterable((whole.slice(at, 1024) for at in range(0, len(whole), 1024)) for whole in batches):
             keys, groups, sizes, bits, wide, prefixes = [], [], [], [], [], []
             for raw in batch.column("raw").to_pylist():
                 s = sets(raw)
@@ -163,7 +164,7 @@ def fetch_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(size)
-        for batch in batches:
+        for batch in chain.from_iterable((whole.slice(at, 1024) for at in range(0, len(whole), 1024)) for whole in batches):
             own = [sets(r) for r in batch.column("raw").to_pylist()]
             mask = pa.array([set_key(s) == k for s, k in zip(own, batch.column("key").to_pylist())], pa.bool_())  # repeated ids may have other texts
             yield pa.RecordBatch.from_arrays([batch.column("key").filter(mask), pa.array([s.tobytes() for s in own], pa.binary()).filter(mask)], ["key", "shingles"])

@@ -19,19 +19,20 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import worker_cache
+from foliant.llm.common import slices, worker_cache
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Weight of the pooled distribution in each language's, in pieces; a letter in no piece.
 SMOOTHING, UNKNOWN = 200.0, 1e-7
 #: Words a worker keeps; distinct words a task gathers before it hands them on; cells of a lattice worked on at once.
-KEEP_WORDS, FLUSH, CELLS = 500_000, 400_000, 1 << 21
+KEEP_WORDS, FLUSH, CELLS = 200_000, 200_000, 1 << 20
 #: Most languages a model may have: with the vocabulary, the bound of what is broadcast.
 MOST_LANGUAGES = 500
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -179,7 +180,7 @@ def learn(docs: DataFrame, text: Column, lang: Column, vocab: str = VOCABULARY)
             return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "lang": pa.array(langs, pa.string()), "n": pa.array(ns, pa.int64())})
 
         for batch in batches:
-            for own, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            for own, t in zip(batch.column("lang").to_pylist(), chain.from_iterable(slices(batch.column("text")))):
                 counts.setdefault(own, Counter()).update(WORDS(t.lower()))
                 if sum(map(len, counts.values())) > FLUSH:
                     yield flush()
@@ -232,9 +233,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[Col
         probabilities = np.concatenate([table, np.full((1, n), UNKNOWN)])
         for batch in texts:
             best, sure = [], []
-            raws = [t.lower() if t and n else "" for t in batch.to_pylist()]
-            for at in range(0, len(raws), 512):
-                split = [WORDS(t) for t in raws[at : at + 512]]
+            for raws in slices(batch):
+                split = [WORDS(t.lower()) if t and n else [] for t in raws]
                 if len(known) > KEEP_WORDS:
                     known.clear(), blank.clear()
                 fresh = list(set().union(*split).difference(known))

@@ -18,19 +18,20 @@ Ids are integers; others are refused.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import buckets_for, checkpoint, mix, require_integer_ids, text_bytes
+from foliant.llm.common import buckets_for, checkpoint, require_integer_ids, slices, text_bytes, worker_cache
 
 TAU, MIN_CHARS = 2, 24
 #: Bytes of text for each bucket of keys; entries that a task gathers before it hands them on.
-BUCKET_BYTES, FLUSH = 8 << 20, 1_000_000
+BUCKET_BYTES, FLUSH = 8 << 20, 400_000
 #: Characters of distinct lines that a task gathers before it makes their entries; lines whose parities are reckoned together.
-GATHER, AT_ONCE = 8_000_000, 4096
+GATHER, AT_ONCE = 4_000_000, 4096
 #: Candidates that a line is given at once under a key.
 FEW = 2
 #: Rows of pairs of numbers, and bytes of removed places, up to which they are broadcast; beyond, a shuffled join does the same.
@@ -136,6 +137,7 @@ def entries(docs: DataFrame, n_buckets: int, tau: int, min_chars: int) -> DataFr
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        worker_cache("lines")
         digest, h64 = xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest
         plans: dict[int, tuple] = {}
         first: dict[int, tuple] = {}
@@ -180,7 +182,7 @@ def entries(docs: DataFrame, n_buckets: int, tau: int, min_chars: int) -> DataFr
             first.clear()
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), chain.from_iterable(slices(batch.column("text")))):
                 if doc is None or text is None:
                     continue
                 for place, line in enumerate(text.split("\n")):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import checkpoint
+from foliant.llm.common import checkpoint, slices
 from foliant.llm.pretoken import token_ids
 
 TOKENIZER, CAPACITY, END_ID = "word_bpe_49k.json", 4096, 1
@@ -86,7 +87,7 @@ def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
         for batch in batches:
             ids_of = batch.column("doc_id").type
             rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), token_ids(tokenizer, batch.column("raw").to_pylist())):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), token_ids(tokenizer, chain.from_iterable(slices(batch.column("raw"))))):
                 ids += end
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
