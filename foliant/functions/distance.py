@@ -1,12 +1,16 @@
 """Edit distances over characters and words, and error rates.
 
 Short strings use the built-in levenshtein. Pages are long, so there the distance is bit-parallel (Myers 1999, Hyyro
-2003) on Python integers inside an Arrow UDF, after equal ends are cut off; it takes characters or words.
+2003) on Python integers inside an Arrow UDF, after equal ends are cut off; it takes characters or words. Where the
+distance's bounds meet, they are it; else a band of diagonals is doubled (Ukkonen 1985) until it holds the distance, so
+the cost is length times distance. Equal sides are settled by a built-in and do not reach Python.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import operator
+from collections import Counter
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,6 +35,15 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     a, b = a[start : len(a) - end], b[start : len(b) - end]
     if not a:
         return len(b)
+    low, high = bounds(a, b)
+    if low == high:
+        return low
+    band = max(low, 8)
+    while 2 * band + 1 < len(a):
+        found = banded(a, b, min(band, high))
+        if found is not None:
+            return found
+        band *= 2
     where: dict = {}
     for k, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << k
@@ -46,17 +59,72 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     return score
 
 
+def bounds(a: Sequence, b: Sequence) -> tuple[int, int]:
+    """What the distance is at least (symbols that one side has more of), and at most (place by place)."""
+    more, less = Counter(a), Counter(b)
+    low = max((more - less).total(), (less - more).total())
+    return low, sum(map(operator.ne, a, b)) + len(b) - len(a)
+
+
+def banded(a: Sequence, b: Sequence, most: int) -> int | None:
+    """The distance if it is at most `most`, from the 2 * most + 1 diagonals around the main one; a is not longer than b."""
+    m, n = len(a), len(b)
+    if n - m > most:
+        return None
+    # bit k of a column stands for row (column + k - most); rows above the first are padding that never matches
+    width = 2 * most + 1
+    mask, top = (1 << width) - 1, 1 << width - 1
+    where: dict = {}  # symbol: its rows as seen from a column, and that column
+    for k, c in enumerate(a[:most]):
+        bits, _ = where.get(c, (0, 0))
+        where[c] = bits | 1 << k + most + 1, -1
+    plus, minus, score = mask << most & mask, 0, most  # score: of the band's lowest row
+    for j, y in enumerate(b):
+        if j + most < m:
+            c = a[j + most]
+            bits, seen = where.get(c, (0, j))
+            where[c] = bits >> j - seen | top, j
+        bits, seen = where.get(y, (0, j))
+        eq = bits >> j - seen
+        d0 = ((((eq & plus) + plus) ^ plus) | eq | minus) & mask
+        up = (minus | ~(d0 | plus)) & mask
+        down = d0 & plus
+        score += not d0 & top
+        if score > 3 * most:
+            return None
+        plus = (down | ~((d0 >> 1) | up)) & mask
+        minus = (d0 >> 1) & up
+    # up from the band's lowest row to the last row, by vertical differences
+    below = ((1 << 2 * most) - 1) & ~((1 << m - n + most) - 1)
+    score += (minus & below).bit_count() - (plus & below).bit_count()
+    return score if score <= most else None
+
+
 @F.pandas_udf(LongType())
-def char_distance(left: pd.Series, right: pd.Series) -> pd.Series:
+def _chars(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else edit_distance(a, b) for a, b in zip(left, right)], dtype="Int64")
 
 
 @F.pandas_udf(LongType())
-def word_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Over arrays of words."""
+def _words(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else edit_distance(list(a), list(b)) for a, b in zip(left, right)], dtype="Int64")
 
 
+def unless_equal(udf: Callable[[Column, Column], Column], left: Column, right: Column, of_equals: Column) -> Column:
+    """udf(left, right), which gives null for null sides, where the sides differ; of_equals where they are the same."""
+    differ = left != right
+    return F.when(left == right, of_equals).otherwise(udf(F.when(differ, left), F.when(differ, right)))
+
+
+def char_distance(left: Column, right: Column) -> Column:
+    return unless_equal(_chars, left, right, F.lit(0).cast("long"))
+
+
+def word_distance(left: Column, right: Column) -> Column:
+    """Over arrays of words."""
+    return unless_equal(_words, left, right, F.lit(0).cast("long"))
+
+
 def error_rate(distance: Column, length: Column) -> Column:
     """distance / length; of an empty truth 0 if nothing was written, else 1."""
     return F.when(length == 0, F.when(distance == 0, 0.0).otherwise(1.0)).otherwise(distance / length)

@@ -55,11 +55,11 @@ def in_both_families(clean: DataFrame) -> DataFrame:
 
 
 def statement_rollup(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Pages, amounts, usable (attributable over amounts), and the other measures of statements."""
+    """Pages, amounts, usable (attributable over amounts), and the other measures of statements; width_ok: pages of the right width."""
     s = rows.groupBy(*by).agg(
         F.count("*").alias("pages"), F.sum("amounts").alias("amounts"), F.sum("attributable").alias("attributable"), F.sum("misfiled").alias("misfiled"), F.sum("read").alias("read"),
         F.sum("amounts_correct").alias("amounts_correct"), F.sum("truth_amounts").alias("truth_amounts"), F.sum("aligned").alias("aligned"), F.sum("truth_rows").alias("truth_rows"),
-        F.try_divide(F.count_if("columns_match"), F.count("*")).alias("width_ok"), upper_median("normalised_cer").alias("median_ncer"),
+        F.count_if("columns_match").alias("width_ok"), upper_median("normalised_cer").alias("median_ncer"),
     )
     return s.select(*by, "pages", "amounts", F.try_divide("attributable", "amounts").alias("usable_attributable"), "misfiled", F.try_divide("read", "amounts").alias("read_rate"), F.try_divide("amounts_correct", "truth_amounts").alias("digit_recall"), F.try_divide("aligned", "truth_rows").alias("rows_aligned"), "width_ok", "median_ncer")
 

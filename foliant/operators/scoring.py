@@ -62,6 +62,11 @@ def pairs(corpus: DataFrame, predictions: DataFrame, unproduced: DataFrame | Non
 # -- per-document facts ------------------------------------------------------------------------------------------------
 
 
+def dealt(p: DataFrame) -> DataFrame:
+    """Pages dealt out by their names: their costs differ by far, and whole runs of long ones may stand in one file."""
+    return p.repartition(*PAIR)
+
+
 def character_facts(p: DataFrame, left: str = "truth", right: str = "prediction", prefix: str = "strict") -> DataFrame:
     """Adds <prefix>_char_distance, _chars, _word_distance, _words, _cer, _wer."""
     a, b = F.col(left), F.col(right)
@@ -110,15 +115,15 @@ def number_facts(p: DataFrame) -> DataFrame:
     """truth_amounts, prediction_amounts, amounts_correct (by value), literal (as written), misread, dropped, invented."""
     p = p.withColumns({"wt": N.amounts(F.col("truth")), "wp": N.amounts(F.col("prediction"))})
     p = p.withColumns({"ct": F.transform("wt", N.canonical), "cp": F.transform("wp", N.canonical)})
-    p = p.withColumns({"truth_amounts": F.size("wt").cast("long"), "prediction_amounts": F.size("wp").cast("long"), "amounts_correct": intersection_size(F.col("ct"), F.col("cp")), "literal": intersection_size(F.col("wt"), F.col("wp")), "misread": N.misread("ct", "cp")})
+    p = p.withColumns({"truth_amounts": F.size("wt").cast("long"), "prediction_amounts": F.size("wp").cast("long"), "amounts_correct": intersection_size(F.col("ct"), F.col("cp")), "literal": intersection_size(F.col("wt"), F.col("wp")), "misread": N.misread(F.col("ct"), F.col("cp"))})
     return p.withColumns({"dropped": F.col("truth_amounts") - F.col("amounts_correct") - F.col("misread"), "invented": F.col("prediction_amounts") - F.col("amounts_correct") - F.col("misread")}).drop("wt", "wp", "ct", "cp")
 
 
 def doc_scores(p: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     """The fact table: one row for each system and stem, with all of the above, strict and normalised.
 
-    Pages differ in cost with the square of their length, so they are dealt out at random first."""
-    p = p.withColumns({"nt": X.normalise(F.col("truth"), policy), "np": X.normalise(F.col("prediction"), policy)})
+    Pages are dealt out first."""
+    p = dealt(p).withColumns({"nt": X.normalise(F.col("truth"), policy), "np": X.normalise(F.col("prediction"), policy)})
     p = character_facts(character_facts(p), "nt", "np", "normalised")
     return number_facts(table_facts(column_facts(with_rows(p)))).drop("nt", "np", "truth", "prediction", "truth_rows", "prediction_rows")
 

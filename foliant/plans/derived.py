@@ -27,64 +27,69 @@ def dollars(cents: Column) -> Column:
 
 
 def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """stem, rn, date, description, cents, debit (boolean), balance."""
+    """l_orderkey, stem, rn, date, description, cents, debit (boolean), balance."""
     w = W.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     li = load(spark, sf_dir, "lineitem").withColumns({"rn": F.row_number().over(w), "cents": cents})
     running = F.sum("cents").over(w.rowsBetween(W.unboundedPreceding, 0))
     return li.select(
-        F.concat(F.lit("CASE"), F.col("l_orderkey"), F.lit("_bank_statements")).alias("stem"), "rn", F.date_format("l_shipdate", "dd/MM/yyyy").alias("date"),
+        "l_orderkey", F.concat(F.lit("CASE"), F.col("l_orderkey"), F.lit("_bank_statements")).alias("stem"), "rn", F.date_format("l_shipdate", "dd/MM/yyyy").alias("date"),
         F.concat(F.lit("Part "), F.col("l_partkey"), F.lit(" Supplier "), F.col("l_suppkey")).alias("description"), "cents", (F.col("l_returnflag") == "R").alias("debit"), running.alias("balance"),
     )
 
 
-def cells(cents: Column, date: Column | None = None) -> Column:
-    amount = dollars(cents)
-    return F.array(F.col("date") if date is None else date, F.col("description"), F.when(F.col("debit"), amount).otherwise(""), F.when(F.col("debit"), "").otherwise(amount), dollars(F.col("balance")))
-
-
 def last_digit_wrong(cents: Column) -> Column:
     return cents - cents % 10 + (cents % 10 + 1) % 10
 
 
-def _page(lines: DataFrame, rows: Column, header: list[str], html: bool = False) -> DataFrame:
-    """rows: an array of cell arrays for each line."""
+def cells(x: Column, cents: Column | None = None, date: Column | None = None) -> Column:
+    """A line's cells as they are, or with another amount or date."""
+    amount = dollars(x["cents"] if cents is None else cents)
+    return F.array(x["date"] if date is None else date, x["description"], F.when(x["debit"], amount).otherwise(""), F.when(x["debit"], "").otherwise(amount), dollars(x["balance"]))
+
+
+def page(rows: Column, header: list[str], html: bool = False) -> Column:
+    """The text of a page of rows (arrays of cells)."""
     lit = F.array(*map(F.lit, header))
-    joined = lines.groupBy("stem").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rn", rows.alias("r")))), lambda x: x["r"])).alias("body"))
     if html:
         row = lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))), ""), F.lit("</tr>"))
-        text = F.concat(F.lit("# Statement\n<table>"), row(lit), F.array_join(F.transform("body", row), ""), F.lit("</table>"))
-    else:
-        row = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-        rule = F.lit("| " + " | ".join(["---"] * len(header)) + " |")
-        text = F.concat(F.lit("# Statement\n"), F.array_join(F.concat(F.array(row(lit), rule), F.transform("body", row)), "\n"))
-    return joined.select("stem", text.alias("text"))
+        return F.concat(F.lit("# Statement\n<table>"), row(lit), F.array_join(F.transform(rows, row), ""), F.lit("</table>"))
+    row = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
+    rule = F.lit("| " + " | ".join(["---"] * len(header)) + " |")
+    return F.concat(F.lit("# Statement\n"), F.array_join(F.concat(F.array(row(lit), rule), F.transform(rows, row)), "\n"))
+
+
+def statement_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stem, lines (in order): one scan and one shuffle, that of the order's lines."""
+    own = F.struct("rn", "date", "description", "cents", "debit", "balance")
+    return statement_lines(spark, sf_dir).groupBy("l_orderkey").agg(F.first("stem").alias("stem"), F.array_sort(F.collect_list(own)).alias("lines")).drop("l_orderkey")
+
+
+def written(lines: Column, system: str) -> Column:
+    """The page as a system writes it."""
+    each = lambda f: F.transform(lines, f)
+    if system == "html":
+        return page(each(lambda x: cells(x)), HEADER, html=True)
+    if system == "shifted":
+        return page(each(lambda x: F.concat(F.array(F.lit("")), cells(x))), ["", *HEADER])
+    if system == "orphaned":
+        return page(F.flatten(each(lambda x: F.array(F.array(x["date"], *[F.lit("")] * 4), cells(x, date=F.lit(""))))), HEADER)
+    if system == "misread":
+        return page(each(lambda x: cells(x, F.when(x["rn"] % 3 == 0, last_digit_wrong(x["cents"])).otherwise(x["cents"]))), HEADER)
+    if system == "dropper":
+        return page(F.transform(F.filter(lines, lambda x: x["rn"] % 4 != 0), lambda x: cells(x)), HEADER)
+    return page(each(lambda x: cells(x)), HEADER)
 
 
 def statement_corpus(spark: SparkSession, sf_dir: str, header: list[str] = HEADER) -> DataFrame:
-    return _page(statement_lines(spark, sf_dir), F.array(cells(F.col("cents"))), header).select("stem", F.col("text").alias("truth"))
-
-
-def statement_predictions(spark: SparkSession, sf_dir: str, systems: list[str] = SYSTEMS) -> DataFrame:
-    lines = statement_lines(spark, sf_dir)
-    own, blank = cells(F.col("cents")), F.array(F.lit(""))
-    made = {
-        "exact": lambda: _page(lines, F.array(own), HEADER),
-        "html": lambda: _page(lines, F.array(own), HEADER, html=True),
-        "shifted": lambda: _page(lines, F.array(F.concat(blank, own)), ["", *HEADER]),
-        "orphaned": lambda: _page(lines, F.array(F.concat(F.array("date"), F.array(*[F.lit("")] * 4)), cells(F.col("cents"), F.lit(""))), HEADER),
-        "misread": lambda: _page(lines, F.array(cells(F.when(F.col("rn") % 3 == 0, last_digit_wrong(F.col("cents"))).otherwise(F.col("cents")))), HEADER),
-        "dropper": lambda: _page(lines, F.when(F.col("rn") % 4 == 0, F.array().cast("array<array<string>>")).otherwise(F.array(own)), HEADER),
-    }
-    found = [made[s]().select(F.lit(s).alias("system"), "stem", F.col("text").alias("prediction")) for s in systems]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    return statement_orders(spark, sf_dir).select("stem", page(F.transform("lines", lambda x: cells(x)), header).alias("truth"))
 
 
 def statement_pairs(spark: SparkSession, sf_dir: str, systems: list[str] = SYSTEMS) -> DataFrame:
-    return statement_corpus(spark, sf_dir).join(statement_predictions(spark, sf_dir, systems), "stem").select("system", "stem", "truth", "prediction")
+    """system, stem, truth, prediction: each page's systems side by side, from the same lines."""
+    made = F.array(*[F.struct(F.lit(s).alias("system"), written(F.col("lines"), s).alias("prediction")) for s in systems])
+    pages = statement_orders(spark, sf_dir).select("stem", page(F.transform("lines", lambda x: cells(x)), HEADER).alias("truth"), F.explode(made).alias("s"))
+    return pages.select("s.system", "stem", "truth", "s.prediction")
 
 
 def prose_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

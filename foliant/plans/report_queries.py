@@ -234,7 +234,7 @@ _LISTING = """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS stem, o_orderstat
 _LADDER = _R + """, s AS (SELECT * FROM r WHERE stem LIKE '%\\_bank\\_statements' ESCAPE '\\'), b AS (SELECT s.* REPLACE (f.family AS family) FROM s CROSS JOIN (VALUES ('scan'), ('photo')) AS f(family) WHERE severity = 'clean' UNION ALL SELECT * FROM s WHERE severity <> 'clean'),
     k AS (SELECT * FROM b WHERE system IN (SELECT system FROM s WHERE severity <> 'clean')),
     l AS (SELECT system, family, severity, count(*) AS pages, CAST(sum(amounts) AS BIGINT) AS amounts, CAST(sum(attributable) AS DOUBLE) / sum(amounts) AS usable_attributable, CAST(sum(misfiled) AS BIGINT) AS misfiled, CAST(sum(read) AS DOUBLE) / sum(amounts) AS read_rate,
-          CAST(sum(amounts_correct) AS DOUBLE) / sum(truth_amounts) AS digit_recall, CAST(sum(aligned) AS DOUBLE) / sum(truth_rows) AS rows_aligned, CAST(count(*) FILTER (columns_match) AS DOUBLE) / count(*) AS width_ok,
+          CAST(sum(amounts_correct) AS DOUBLE) / sum(truth_amounts) AS digit_recall, CAST(sum(aligned) AS DOUBLE) / sum(truth_rows) AS rows_aligned, count(*) FILTER (columns_match) AS width_ok,
           list_sort(list(normalised_cer))[count(*) // 2 + 1] AS median_ncer, """ + _ORD + """ AS severity_ord FROM k GROUP BY system, family, severity),
     ch AS (SELECT system, family, severity, severity_ord, usable_attributable, round(usable_attributable - lag(usable_attributable) OVER w, 9) AS step, lag(severity) OVER w AS before, round(usable_attributable - first_value(usable_attributable) OVER w, 9) AS from_clean,
           round(first_value(rows_aligned) OVER w - last_value(rows_aligned) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 9) AS rows_lost FROM l WINDOW w AS (PARTITION BY system, family ORDER BY severity_ord))

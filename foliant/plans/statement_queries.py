@@ -15,7 +15,7 @@ from foliant.plans import derived as P
 
 
 def prose_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.character_facts(P.prose_pairs(spark, sf_dir)).drop("truth", "prediction")
+    return S.character_facts(S.dealt(P.prose_pairs(spark, sf_dir))).drop("truth", "prediction")
 
 
 def doc_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,15 +23,15 @@ def doc_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose_scores(spark, sf_dir).where("system <> 'emphatic'").select("system", "stem", "strict_word_distance", "strict_words", "strict_wer")
+    return prose_scores(spark, sf_dir).select("system", "stem", "strict_word_distance", "strict_words", "strict_wer")
 
 
 def score_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.micro(prose_scores(spark, sf_dir)).where("system <> 'emphatic'")
+    return S.micro(prose_scores(spark, sf_dir))
 
 
 def score_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = S.macro(prose_scores(spark, sf_dir)).where("system <> 'emphatic'")
+    m = S.macro(prose_scores(spark, sf_dir))
     return m.select("system", F.round("macro_cer", 9).alias("macro_cer"), F.round("macro_wer", 9).alias("macro_wer"))
 
 
@@ -42,20 +42,20 @@ def normalised_emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("system").agg(F.count("*").alias("documents"), F.count_if(F.col("nt") == F.col("np")).alias("same"))
 
 
-_PROSE = r"""
+PROSE = r"""
 WITH d AS (SELECT concat('CASE', CAST(doc_id AS VARCHAR), '_documents') AS stem, coalesce(text, '') AS t,
                   CAST(length(coalesce(text, '')) AS BIGINT) AS chars,
                   list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents),
-f AS (SELECT stem, chars, CAST(len(w) AS BIGINT) AS words, CAST(length(t) - length(replace(t, 'e', '')) AS BIGINT) AS e, CAST(len(list_filter(w, lambda x: contains(x, 'e'))) AS BIGINT) AS we FROM d),
+f AS (SELECT stem, chars, CAST(len(w) AS BIGINT) AS words, CAST(length(t) - length(replace(t, 'e', '')) AS BIGINT) AS e, CAST(len(list_filter(w, lambda x: contains(x, 'e'))) AS BIGINT) AS we,
+           regexp_matches(t, '^[ \t\n\r\f\v]') AS head, regexp_matches(t, '[ \t\n\r\f\v]$') AS tail FROM d),
 s AS (SELECT 'identity' AS system, stem, chars, words, CAST(0 AS BIGINT) AS cd, CAST(0 AS BIGINT) AS wd FROM f
       UNION ALL SELECT 'sloppy', stem, chars, words, e, we FROM f
       UNION ALL SELECT 'appended', stem, chars, words, 8, 2 FROM f
       UNION ALL SELECT 'unproduced', stem, chars, words, chars, words FROM f
-      {emphatic}),
+      UNION ALL SELECT 'emphatic', stem, chars, words, 4, CASE WHEN words = 0 THEN CASE WHEN chars = 0 THEN 1 ELSE 2 END WHEN words = 1 AND NOT head AND NOT tail THEN 1 ELSE 2 END FROM f),
 r AS (SELECT *, CASE WHEN chars = 0 THEN CASE WHEN cd = 0 THEN 0.0 ELSE 1.0 END ELSE CAST(cd AS DOUBLE) / chars END AS cer,
                 CASE WHEN words = 0 THEN CASE WHEN wd = 0 THEN 0.0 ELSE 1.0 END ELSE CAST(wd AS DOUBLE) / words END AS wer FROM s)
 """
-PROSE, PROSE_ALL = _PROSE.replace("{emphatic}", ""), _PROSE.replace("{emphatic}", "UNION ALL SELECT 'emphatic', stem, chars, words, 4, 0 FROM f")
 
 # -- statements --------------------------------------------------------------------------------------------------------
 
@@ -103,9 +103,9 @@ def aligned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def amount_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bag of amounts of each page: as value and number of times, by the general bag operator."""
-    p = P.statement_pairs(spark, sf_dir, ["misread"]).select("stem", N.amounts(F.col("truth")).alias("t"), N.amounts(F.col("prediction")).alias("p"))
-    b = counted(p, ["stem"], "t", "p")
-    return b.select("stem", F.replace(F.replace("value", F.lit(",")), F.lit(".")).cast("long").alias("cents"), "n_t", "n_p")
+    p = P.statement_pairs(spark, sf_dir).select("system", "stem", N.amounts(F.col("truth")).alias("t"), N.amounts(F.col("prediction")).alias("p"))
+    b = counted(p, ["system", "stem"], "t", "p")
+    return b.select("system", "stem", F.replace(F.replace("value", F.lit(",")), F.lit(".")).cast("long").alias("cents"), "n_t", "n_p")
 
 
 def numeric_fidelity_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ def canonical_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.hunks(P.statement_pairs(spark, sf_dir, ["misread", "html"]))
+    return S.hunks(S.dealt(P.statement_pairs(spark, sf_dir)))
 
 
 def divergence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +187,7 @@ _SUMS = "CAST(sum(amounts) AS BIGINT) AS amounts, CAST(sum(read) AS BIGINT) AS r
 QUERIES = {f.__name__: f for f in (doc_cer, doc_wer, score_micro, score_macro, normalised_emphasis, column_integrity_doc, column_integrity_system, column_rates_system, modal_width, fragments_and_breaks, content_recall, aligned_rows, amount_bag, numeric_fidelity_doc, numeric_fidelity_system, canonical_amounts, hunks, divergence_groups, top_divergences, failure_taxonomy, full_scores, headerless_attribution)}
 
 ORACLES = {
-    "doc_cer": PROSE_ALL + "SELECT system, stem, cd AS strict_char_distance, chars AS strict_chars, cer AS strict_cer FROM r",
+    "doc_cer": PROSE + "SELECT system, stem, cd AS strict_char_distance, chars AS strict_chars, cer AS strict_cer FROM r",
     "doc_wer": PROSE + "SELECT system, stem, wd AS strict_word_distance, words AS strict_words, wer AS strict_wer FROM r",
     "score_micro": PROSE + "SELECT system, CAST(sum(cd) AS BIGINT) AS char_distance, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(wd) AS BIGINT) AS word_distance, CAST(sum(words) AS BIGINT) AS words, CAST(sum(cd) AS DOUBLE) / sum(chars) AS cer, CAST(sum(wd) AS DOUBLE) / sum(words) AS wer FROM r GROUP BY system",
     "score_macro": PROSE + "SELECT system, round(avg(cer), 9) AS macro_cer, round(avg(wer), 9) AS macro_wer FROM r GROUP BY system",
@@ -206,8 +206,8 @@ ORACLES = {
         tc AS (SELECT stem, v, count(*) AS n FROM tv GROUP BY ALL), pc AS (SELECT system, stem, v, count(*) AS n FROM pv GROUP BY ALL),
         r AS (SELECT system, stem, CAST(sum(least(tc.n, pc.n)) AS BIGINT) AS recalled_cells FROM tc JOIN pc USING (stem, v) GROUP BY system, stem), c AS (SELECT stem, count(*) AS truth_cells FROM tv GROUP BY stem)
         SELECT system, stem, recalled_cells, truth_cells, CAST(recalled_cells AS DOUBLE) / truth_cells AS content_recall FROM r JOIN c USING (stem)""",
-    "amount_bag": _ROWS + """, tt AS (SELECT stem, cents, count(*) AS n FROM t WHERE system = 'misread' GROUP BY ALL), pp AS (SELECT stem, cents, count(*) AS n FROM a WHERE system = 'misread' GROUP BY ALL)
-        SELECT stem, cents, coalesce(tt.n, 0) AS n_t, coalesce(pp.n, 0) AS n_p FROM tt FULL JOIN pp USING (stem, cents)""",
+    "amount_bag": _ROWS + """, tt AS (SELECT system, stem, cents, count(*) AS n FROM t GROUP BY ALL), pp AS (SELECT system, stem, cents, count(*) AS n FROM a GROUP BY ALL)
+        SELECT system, stem, cents, coalesce(tt.n, 0) AS n_t, coalesce(pp.n, 0) AS n_p FROM tt FULL JOIN pp USING (system, stem, cents)""",
     "numeric_fidelity_doc": _ROWS + "," + _bag("rd", "cents") + """, nt AS (SELECT system, stem, count(*) AS n FROM t GROUP BY ALL), np AS (SELECT system, stem, count(*) AS n FROM a GROUP BY ALL)
         SELECT system, stem, nt.n AS truth_amounts, coalesce(np.n, 0) AS prediction_amounts, coalesce(rd.n, 0) AS amounts_correct, coalesce(rd.n, 0) AS literal FROM nt LEFT JOIN np USING (system, stem) LEFT JOIN rd USING (system, stem)""",
     "canonical_amounts": _ROWS + """SELECT DISTINCT cents, concat(CAST(cents // 100 AS VARCHAR), CASE WHEN cents % 100 = 0 THEN '' WHEN cents % 10 = 0 THEN concat('.', CAST(cents % 100 // 10 AS VARCHAR)) ELSE concat('.', lpad(CAST(cents % 100 AS VARCHAR), 2, '0')) END) AS canonical FROM o""",

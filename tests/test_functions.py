@@ -231,3 +231,34 @@ def test_timing_rollup(spark):
     got = {r["system"]: r for r in work.shard_rollup(t).collect()}
     assert (got["a"]["images"], got["a"]["seconds"], got["a"]["deployment"], got["a"]["includes_model_load"]) == (22, 60.0, "dp=2", True)
     assert (got["b"]["deployment"], got["b"]["includes_model_load"], got["b"]["images_per_minute"]) == ("tp=2", False, 30.0)
+
+
+def test_bounds_and_bands_agree_with_the_whole_matrix():
+    import random
+
+    from foliant.functions import distance as D
+
+    r = random.Random(3)
+
+    def plain(a, b):
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            q = [i]
+            for j, y in enumerate(b, 1):
+                q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+            p = q
+        return p[-1]
+
+    for n in (0, 3, 12, 80):
+        for _ in range(150):
+            a = [r.choice("abc") for _ in range(r.randrange(n + 1))]
+            b = list(a)
+            for _ in range(r.randrange(6)):
+                k = r.randrange(len(b) + 1)
+                b[k : k + 1] = r.choice([[], ["x"], ["a", "b"]])
+            want = plain(a, b)
+            assert D.edit_distance("".join(a), "".join(b)) == D.edit_distance(a, b) == want
+            low, high = D.bounds(*sorted((a, b), key=len))
+            assert low <= want <= high
+            for most in (1, 2, 5):
+                assert D.banded(*sorted((a, b), key=len), most) == (want if want <= most else None)
