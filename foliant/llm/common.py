@@ -16,7 +16,17 @@ LOWER = UPPER.lower()
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def fewer_rows_a_batch(spark: SparkSession) -> None:
+    """Texts are long, and a batch is held off the heap and in the worker at once: 1,000 rows, unless the session has a setting of its own."""
+    if spark.conf.get(ROWS_A_BATCH, "10000") == "10000":
+        spark.conf.set(ROWS_A_BATCH, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    fewer_rows_a_batch(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

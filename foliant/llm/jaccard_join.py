@@ -44,7 +44,7 @@ BLOCK, TASK_ROWS = 2048, 60_000
 #: Tasks whose sketches one task adds up.
 FAN_IN = 64
 #: Rows of keys or pairs up to which they are broadcast; links up to which one task joins them into components (16 bytes each).
-BROADCAST_ROWS, TASK_LINKS = 200_000, 1_000_000
+BROADCAST_ROWS, TASK_LINKS = 200_000, 500_000
 
 
 class Sets:
