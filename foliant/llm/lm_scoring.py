@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,15 +155,21 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[pa.Table]:
-    """Rows in runs of about size bytes of column raw."""
+    """Rows in runs of about size bytes of column raw, over batches' borders."""
+    held, n_bytes = [], 0
     for batch in batches:
-        raw = batch.column("raw")
-        ends = np.cumsum([len(x) for x in raw.to_pylist()])
-        start = 0
-        while start < len(raw):
-            upto = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size)) + 1
-            yield pa.Table.from_batches([batch.slice(start, max(1, min(upto, len(raw)) - start))])
-            start = max(start + 1, min(upto, len(raw)))
+        ends, start = np.cumsum(pa.compute.binary_length(batch.column("raw")).to_numpy()), 0
+        while start < len(ends):
+            done = int(ends[start - 1]) if start else 0
+            upto = min(len(ends), int(np.searchsorted(ends, done + size - n_bytes)) + 1)
+            held.append(batch.slice(start, upto - start))
+            n_bytes += int(ends[upto - 1]) - done
+            start = upto
+            if n_bytes >= size:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n_bytes = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def by_bucket(h: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:

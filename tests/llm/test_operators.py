@@ -254,6 +254,16 @@ def test_lm_scoring(docs, empty):
     assert lm_scoring.score(empty, language_id.held_out("doc_id", 7)).count() == 0
 
 
+def test_chunks_keep_all_rows_in_order():
+    import pyarrow as pa
+
+    raws = [b"x" * R.randrange(0, 50) for _ in range(200)]
+    batches = [pa.RecordBatch.from_pydict({"raw": pa.array(raws[k : k + 37], pa.binary())}) for k in range(0, 200, 37)]
+    got = [t.column("raw").to_pylist() for t in lm_scoring.chunks(iter(batches), 300)]
+    assert [x for c in got for x in c] == raws
+    assert all(300 <= sum(map(len, c)) < 350 for c in got[:-1])
+
+
 def test_lm_scoring_counts_beyond_32_bits():
     n = np.array([0, 1, 2**32 - 1, 2**32, 2**40 + 5])
     assert lm_scoring.unpacked(lm_scoring.packed(n, 8), 5, 8).tolist() == n.tolist()
