@@ -353,8 +353,8 @@ def link_components(rows: DataFrame, classes: DataFrame, texts: DataFrame, size:
             own = near_join(near_join(entries.drop("root"), todo, n_todo, "token", "left_semi"), roots, n_roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
             own = checkpoint(own)
             still = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_distinct("root").alias("n_roots")).where("low <> high").select("token", "n_roots")
+            known = failed.join(own.select("token", "m").distinct(), "token")
             own = own.join(still, "token")
-            known = near_join(failed, entries.select("token", "m").distinct(), n_rows, "token", "inner")
         else:
             own, known = entries.withColumn("root", F.col("key")), None
         if turn == "blocks":
