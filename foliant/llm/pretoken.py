@@ -19,7 +19,7 @@ from foliant.llm.common import worker_cache
 #: Pre-tokens over this many bytes are encoded each time and not kept.
 KEEP_BYTES = 64
 #: Entries a worker keeps; at more, it starts afresh.
-KEEP_WORDS = 300_000
+KEEP_WORDS = 500_000
 #: Pre-tokens given to the library in one call.
 AT_ONCE = 1024
 #: After a lower-case ASCII letter, the tokenizer's own splitting puts a border before these closing marks.
