@@ -10,7 +10,9 @@ from __future__ import annotations
 import functools
 import os
 import re
+import string
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -18,16 +20,16 @@ from foliant.llm.common import worker_cache
 
 #: Pre-tokens over this many bytes are encoded each time and not kept.
 KEEP_BYTES = 64
-#: Entries a worker keeps; at more, it starts afresh.
-KEEP_WORDS = 500_000
+#: Entries a worker keeps, in two generations: when the younger is half of this, it becomes the older, whose place it takes.
+KEEP_WORDS = 600_000
 #: Pre-tokens given to the library in one call.
 AT_ONCE = 1024
-#: After a lower-case ASCII letter, the tokenizer's own splitting puts a border before these closing marks.
-MARKS = b",.!?:;"
+#: After a lower-case ASCII letter, the tokenizer's own splitting puts a border before a run of ASCII punctuation.
+MARKS = string.punctuation.encode()
 #: Letters whose lower case is one letter: a word of these is one pre-token.
 LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 #: Bytes of text whose misses are looked up together.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 18
 
 
 @functools.cache
@@ -41,6 +43,19 @@ def tokenizer(name: str):
     return found
 
 
+@functools.cache
+def letters_tokenizer(name: str):
+    """The same model for lower-case words of LETTERS, which its normaliser leaves alone and its splitting leaves whole."""
+    import public_tokenizers
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    found = Tokenizer.from_file(public_tokenizers.path(name))
+    found.model._resize_cache(0)
+    found.normalizer = None
+    found.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return found
+
+
 @functools.cache
 def specials(name: str) -> tuple[str, int, tuple[bytes, ...]]:
     """One special string and its id, and how special strings begin."""
@@ -80,7 +95,7 @@ def encode_words(name: str, words: list[bytes]) -> Iterator[bytes]:
         plain = [w for w in part if LETTERS(w)]
         got = {}
         if plain:
-            ids = np.array(tok.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(letters_tokenizer(name).encode_batch_fast([" ".join(plain).lower()], add_special_tokens=False)[0].ids, "<u4")
             cuts = (4 * np.flatnonzero(ends[ids]) + 4).tolist()
             assert len(cuts) == len(plain), "a word of letters gave other than one pre-token"
             raw = ids.tobytes()
@@ -107,33 +122,52 @@ def blocks(raws: Iterable[bytes]) -> Iterator[list[bytes]]:
         yield own
 
 
+def look_up(words: list[bytes], known: dict) -> tuple[list, list[int], list[bytes]]:
+    """The known values in the words' order (None: unknown), the places of the unknown words, and these words.
+
+    The words go when the text has been looked up; a scan for None from miss to miss touches no other word."""
+    values, at = list(map(known.get, words)), []
+    k = -1
+    for _ in range(values.count(None)):
+        k = values.index(None, k + 1)
+        at.append(k)
+    return values, at, [words[k] for k in at]
+
+
 def per_text(name: str, raws: Iterable[bytes], of: str, value, join, frequent: dict | None = None) -> Iterator:
     """For each text: join over its pre-tokens' values (value(ids), to be added up), which come from the frequent tier, the worker's cache or the library."""
-    known = worker_cache(f"{name} {of}")
-    known.update(frequent or {})
     marks = specials(name)[2]
+    cache = worker_cache(f"{name} {of}")
+    cache.setdefault("young", {}).update(frequent or {})
+    cache.setdefault("old", {})
     for block in blocks(raws):
-        if len(known) > KEEP_WORDS + len(frequent or {}):
-            known.clear()
-            known.update(frequent or {})
+        if len(cache["young"]) > KEEP_WORDS // 2 + len(frequent or {}):
+            cache["young"], cache["old"] = dict(frequent or {}), cache["young"]
+        known, old = cache["young"], cache["old"]
         # the tokenizer lower-cases after it has matched special strings, so A-Z may be lowered here in texts without any
-        split = [None if any(m in raw for m in marks) else raw.lower().split() for raw in block]
-        found = [None if words is None else list(map(known.get, words)) for words in split]
-        fresh = {w for words, own in zip(split, found) if words for w, x in zip(words, own) if x is None}
+        found = [None if any(m in raw for m in marks) else look_up(raw.lower().split(), known) for raw in block]
+        fresh = {w for own in found if own is not None for w in own[2]}
+        extra = {w: old[w] for w in fresh if w in old}
+        fresh.difference_update(extra)
         tails = {}
         for w in fresh:
             stem = w.rstrip(MARKS)
             if len(stem) < len(w) and stem and 97 <= stem[-1] <= 122:
                 tails[w] = stem, w[len(stem) :]
-        need = list((fresh - tails.keys()).union(*tails.values()).difference(known)) if tails else list(fresh)
-        extra = dict(zip(need, map(value, encode_words(name, need))))
+        parts = set(chain.from_iterable(tails.values())).difference(known, extra)
+        extra.update((w, old[w]) for w in parts if w in old)
+        need = list((fresh - tails.keys()) | (parts - extra.keys()))
+        extra.update(zip(need, map(value, encode_words(name, need))))
         for w, (a, b) in tails.items():
             extra[w] = (known[a] if a in known else extra[a]) + (known[b] if b in known else extra[b])
-        for raw, words, own in zip(block, split, found):
-            if words is None:
+        for raw, own in zip(block, found):
+            if own is None:
                 yield join([value(encode_whole(name, raw))])
             else:
-                yield join([extra[w] if x is None else x for w, x in zip(words, own)])
+                values, at, words = own
+                for k, w in zip(at, words):
+                    values[k] = extra[w]
+                yield join(values)
         known.update((w, x) for w, x in extra.items() if len(w) <= KEEP_BYTES)
 
 
