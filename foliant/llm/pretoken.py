@@ -2,7 +2,8 @@
 
 The tokenizer's own pre-tokenizer never crosses ASCII white space and its normaliser composes nothing across it,
 so the tokens of a text are the tokens of its pre-tokens, one after the other. Texts that hold the opening of a
-special token string go to the library whole, since those strings are matched before anything is split.
+special token string go to the library whole, since those strings are matched before anything is split; so do texts
+with capitals whose lower case composes with a mark that follows, since the library composes before it lower-cases.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ AT_ONCE = 1024
 MARKS = string.punctuation.encode()
 #: Letters whose lower case is one letter: a word of these is one pre-token.
 LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: With combining marks, the lower case of these composes otherwise than they do (W and a ring, I and a dot).
+OPEN = re.compile(rb"[HIJTWY][\x80-\xff]").search
 #: Bytes of text whose misses are looked up together.
 BLOCK_BYTES = 1 << 18
 
@@ -122,6 +125,11 @@ def blocks(raws: Iterable[bytes]) -> Iterator[list[bytes]]:
         yield own
 
 
+def composes_late(raw: bytes) -> bool:
+    """Whether lower-casing before composing may give other letters than the tokenizer, which composes first (the marks begin with CC, or are CD 84)."""
+    return (b"\xcc" in raw or b"\xcd\x84" in raw) and OPEN(raw) is not None
+
+
 def look_up(words: list[bytes], known: dict) -> tuple[list, list[int], list[bytes]]:
     """The known values in the words' order (None: unknown), the places of the unknown words, and these words.
 
@@ -145,7 +153,7 @@ def per_text(name: str, raws: Iterable[bytes], of: str, value, join, frequent: d
             cache["young"], cache["old"] = dict(frequent or {}), cache["young"]
         known, old = cache["young"], cache["old"]
         # the tokenizer lower-cases after it has matched special strings, so A-Z may be lowered here in texts without any
-        found = [None if any(m in raw for m in marks) else look_up(raw.lower().split(), known) for raw in block]
+        found = [None if any(m in raw for m in marks) or composes_late(raw) else look_up(raw.lower().split(), known) for raw in block]
         fresh = {w for own in found if own is not None for w in own[2]}
         extra = {w: old[w] for w in fresh if w in old}
         fresh.difference_update(extra)

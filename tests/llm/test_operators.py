@@ -596,3 +596,11 @@ def test_pipeline(spark, tmp_path):
     want = sorted((i, len(tok.encode(t, add_special_tokens=False).ids) + 1) for i, t in docs if i not in dirty)
     assert rows(got.groupBy("doc_id").agg(F.sum("length").alias("n")), "doc_id", "n") == want
     assert dirty == {103}
+
+
+def test_tokens_of_capitals_with_marks_and_of_closing_marks():
+    from foliant.llm.pretoken import token_ids
+
+    texts = ["W̊", "a Y̊b", "T̈́ ẗ", "İ̧", "Jְ̌", "don't, 's. x's' dogs'### rely.%%% Àbÿ*** Wé"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in token_ids("word_bpe_49k.json", [t.encode() for t in texts])]
+    assert got == [tokenizer("word_bpe_49k.json").encode(t, add_special_tokens=False).ids for t in texts]
