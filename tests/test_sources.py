@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.errors import Refusal
-from foliant.operators import scoring
+from foliant.operators import scoring, work
 from foliant.sources import runs
 
 
@@ -76,6 +76,47 @@ def test_reports_have_systems_as_keys(spark, tmp_path):
     assert (d["system"], d["stem"], d["amounts"], d["prompt_sha256"]) == ("s-2", "CASE001_invoices", 3, None)
 
 
+def test_a_scored_run_is_read_back_with_its_tier_and_timing(spark, corpus):
+    labels = {"family": "scan", "severity": "heavy"}
+    path = corpus / "corpus/manifest.jsonl"
+    with pytest.raises(Refusal, match="no family"):
+        runs.tiers(spark, [f"{corpus}/corpus"])
+    path.write_text("\n" + json.dumps({"image": "images/a.png", **labels}) + "\n" + json.dumps({"image": "images/b.png", "family": "photo", "severity": "light"}) + "\n")
+    (corpus / "predictions/one/_prompt_provenance.json").write_text(json.dumps({"sha256": "21ea"}))
+    facts = runs.score(spark, f"{corpus}/corpus", f"{corpus}/predictions", f"{corpus}/out")
+    assert facts.count() == 4
+    read = runs.reports(spark, f"{corpus}/out/reports", multi_line=False)
+    rates = {r["system"]: (r["strict"]["cer"], r["strict"]["distance"], r["prompt_sha256"], len(r["documents"])) for r in read.collect()}
+    assert rates == {"one": (0.0, 0, "21ea", 2), "two": (0.5, len("# TAX INVOICE\n"), None, 2)}
+    rows = runs.with_tiers(runs.report_documents(read), runs.tiers(spark, [f"{corpus}/corpus"]))
+    assert {(r["family"], r["severity"]) for r in rows.collect()} == {("scan", "heavy")}
+    assert {(r["system"], r["stem"], r["strict_cer"]) for r in rows.collect()} == {(r["system"], r["stem"], r["strict_cer"]) for r in facts.collect()}
+    speed = work.shard_rollup(runs.timing(spark, f"{corpus}/predictions"))
+    timed = runs.run_rows(rows, speed)
+    runs.write_results(timed, ["system", "family", "severity", "images_per_minute"], f"{corpus}/results")
+    flat = spark.read.csv(f"{corpus}/results/csv", header=True)
+    assert flat.columns[:4] == ["system", "family", "severity", "images_per_minute"] and flat.count() == 4
+    assert spark.read.json(f"{corpus}/results/json").selectExpr("system", "size(documents) n").where("n = 2").count() == 2
+    with pytest.raises(Refusal, match="no timing"):
+        runs.run_rows(rows, speed.where("system = 'one'"))
+    with pytest.raises(Refusal, match="no labels"):
+        runs.with_tiers(runs.report_documents(read), runs.tiers(spark, [f"{corpus}/corpus"]).where("false"))
+
+
+def test_long_runs_have_several_records(spark, monkeypatch):
+    monkeypatch.setattr(runs, "PAGES_A_RECORD", 10)
+    rows = spark.range(100).selectExpr("'s' as system", "cast(id as string) as stem")
+    parts = runs.in_parts(rows, ["system"])
+    assert parts.count() == 100 and parts.select("part").distinct().count() > 5
+
+
+def test_prompt_stamps_without_a_hash_are_refused(spark, corpus):
+    assert runs.prompt_stamps(spark, f"{corpus}/predictions").count() == 0
+    (corpus / "predictions/one/_prompt_provenance.json").write_text("{}")
+    with pytest.raises(Refusal, match="no sha256"):
+        runs.prompt_stamps(spark, f"{corpus}/predictions")
+
+
 def test_ground_truth_and_prompts(spark):
     as_map = runs.ground_truth(spark, {"CASE1": {"layout": "x", "fields": {"A": "1 | 2"}}})
     as_list = runs.ground_truth(spark, [{"case_id": "CASE1", "fields": {"A": "1 | 2"}}])
