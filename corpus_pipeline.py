@@ -12,6 +12,10 @@ from foliant.llm import decontamination, jaccard_join, language_id, line_dedup,
 from foliant.llm.common import checkpoint, fewer_rows_a_batch, table
 
 
+#: Pre-tokens a worker keeps while packing: fewer than the query alone, since workers hold on to what earlier stages took.
+PACKING_KEEPS = 300_000
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without a language that is more likely than not, go."""
     fewer_rows_a_batch(spark)
@@ -39,7 +43,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes in sequences of 4096 tokens."""
     fewer_rows_a_batch(spark)
-    return packing.place(docs)
+    return packing.place(docs, keep=PACKING_KEEPS)
 
 
 STAGES = [

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import checkpoint, slices
-from foliant.llm.pretoken import token_ids
+from foliant.llm.pretoken import KEEP_WORDS, token_ids
 
 TOKENIZER, CAPACITY, END_ID = "word_bpe_49k.json", 4096, 1
 #: Open bins of a packer; tasks whose open bins one merging task takes.
@@ -74,8 +74,10 @@ class BestFit:
                 yield k, self.capacity - free
 
 
-def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece of each document."""
+def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, keep: int = KEEP_WORDS) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece of each document.
+
+    keep: pre-tokens that a worker keeps; it changes memory and time, not the result."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
     kind = dict(texts.dtypes)["doc_id"]
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "task", "used"]
@@ -87,7 +89,7 @@ def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
         for batch in batches:
             ids_of = batch.column("doc_id").type
             rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), token_ids(tokenizer, chain.from_iterable(slices(batch.column("raw"))))):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), token_ids(tokenizer, chain.from_iterable(slices(batch.column("raw"))), keep)):
                 ids += end
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, capacity)):

@@ -142,14 +142,14 @@ def look_up(words: list[bytes], known: dict) -> tuple[list, list[int], list[byte
     return values, at, [words[k] for k in at]
 
 
-def per_text(name: str, raws: Iterable[bytes], of: str, value, join, frequent: dict | None = None) -> Iterator:
+def per_text(name: str, raws: Iterable[bytes], of: str, value, join, frequent: dict | None = None, keep: int = KEEP_WORDS) -> Iterator:
     """For each text: join over its pre-tokens' values (value(ids), to be added up), which come from the frequent tier, the worker's cache or the library."""
     marks = specials(name)[2]
     cache = worker_cache(f"{name} {of}")
     cache.setdefault("young", {}).update(frequent or {})
     cache.setdefault("old", {})
     for block in blocks(raws):
-        if len(cache["young"]) > KEEP_WORDS // 2 + len(frequent or {}):
+        if len(cache["young"]) > keep // 2 + len(frequent or {}):
             cache["young"], cache["old"] = dict(frequent or {}), cache["young"]
         known, old = cache["young"], cache["old"]
         # the tokenizer lower-cases after it has matched special strings, so A-Z may be lowered here in texts without any
@@ -183,6 +183,6 @@ def token_counts(name: str, raws: Iterable[bytes], frequent: dict[bytes, int] |
     return per_text(name, raws, "length", count, sum, frequent)
 
 
-def token_ids(name: str, raws: Iterable[bytes]) -> Iterator[bytes]:
+def token_ids(name: str, raws: Iterable[bytes], keep: int = KEEP_WORDS) -> Iterator[bytes]:
     """Little-endian unsigned 32-bit ids of each text."""
-    return per_text(name, raws, "ids", bytes, b"".join)
+    return per_text(name, raws, "ids", bytes, b"".join, keep=keep)
