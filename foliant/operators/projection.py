@@ -9,6 +9,21 @@ from pyspark.sql import Window as W
 from foliant.errors import Refusal
 
 ABSENT = "NOT_FOUND"
+#: The types' names in the singular; a type that is not here keeps its name.
+SINGULAR = {"bank_statements": "bank_statement", "invoices": "invoice", "receipts": "receipt"}
+
+
+def tier_of(folder: Column) -> Column:
+    """What stands after a corpus folder's last underscore: scan-light."""
+    return F.element_at(F.split(folder, "_"), -1)
+
+
+def case_records(images: DataFrame, cases: DataFrame, doc_type: str) -> DataFrame:
+    """Images of the type (case_id, doc_type, suffix, folder: null for the clean corpus) with their case's fields; others drop out.
+
+    One case has many tiers. Records are named by case, singular type and tier without its hyphen."""
+    name = F.concat("case_id", F.lit("_" + SINGULAR.get(doc_type, doc_type)), F.coalesce(F.concat(F.lit("_"), F.replace(tier_of(F.col("folder")), F.lit("-"))), F.lit("")), "suffix")
+    return images.where(F.col("doc_type") == doc_type).join(cases, "case_id").withColumn("filename", name).drop("doc_type", "suffix", "folder")
 
 
 def parts(value: Column) -> Column:

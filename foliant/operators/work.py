@@ -84,6 +84,14 @@ def transfer_audit(images: DataFrame, transcripts: DataFrame, manifest: DataFram
     return j.withColumn("complete", (F.col("images") == F.col("transcripts")) & (F.col("images") == F.col("rows")))
 
 
+def orphans_and_spares(images: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Of each tier the images, transcripts, orphans (transcripts without an image) and spares; usable: transcripts, and no orphan."""
+    sides = images.select("tier", "stem", F.lit(1).alias("i"), F.lit(0).alias("t")).unionByName(transcripts.select("tier", "stem", F.lit(0).alias("i"), F.lit(1).alias("t")))
+    stems = sides.groupBy("tier", "stem").agg(F.max("i").alias("i"), F.max("t").alias("t"))
+    counts = stems.groupBy("tier").agg(F.sum("i").alias("images"), F.sum("t").alias("transcripts"), F.count_if(F.expr("t > i")).alias("orphans"), F.count_if(F.expr("i > t")).alias("spares"))
+    return counts.withColumn("usable", (F.col("transcripts") > 0) & (F.col("orphans") == 0))
+
+
 def redo(previous: DataFrame, stems: DataFrame) -> DataFrame:
     """The previous run's pages less those to be done again."""
     return previous.join(stems.select("stem"), "stem", "left_anti")

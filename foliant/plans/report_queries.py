@@ -197,6 +197,21 @@ def transfer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return work.transfer_audit(o, o.where("tier <> '3-MEDIUM' or o_orderstatus <> 'F'"), o.where("tier <> '5-LOW'"))
 
 
+def orphans_and_spares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = P.load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("tier"), F.col("o_orderkey").alias("stem"), "o_orderstatus")
+    return work.orphans_and_spares(o.where("tier <> '2-HIGH' or o_orderstatus <> 'F'"), o.where("o_orderstatus <> 'P' and tier <> '5-LOW'"))
+
+
+def case_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's images under its priority as the tier, clean ones where it is 1-URGENT; customers of a nation below 20 are the cases."""
+    o = P.load(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_orderstatus") == "P", "invoices").otherwise("bank_statements")
+    folder = F.when(F.col("o_orderpriority") != "1-URGENT", F.concat(F.lit("parsing_2026_"), "o_orderpriority"))
+    images = o.select(F.col("o_custkey").cast("string").alias("case_id"), kind.alias("doc_type"), F.lit(".png").alias("suffix"), folder.alias("folder"))
+    cases = P.load(spark, sf_dir, "customer").where("c_nationkey < 20").select(F.col("c_custkey").cast("string").alias("case_id"), F.col("c_nationkey").alias("fields"))
+    return projection.case_records(images, cases, "bank_statements")
+
+
 def redo_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stems(spark, sf_dir)
     return work.redo(s.select("stem"), s.where("o_orderstatus = 'F'"))
@@ -252,7 +267,7 @@ QUERIES = {
     for f in (
         doc_type_split, pair_totality_missing, pair_totality_extra, declared_but_present, unproduced_as_failure, ladder, ladder_change, ladder_largest_drop, ladder_pivot, clean_only_systems, paired_change, paired_change_alias, paired_verdict, prompt_mix_guard, keep_last_documents,
         keep_first_clean, convention_gap_median, upper_median_ncer, structure_tradeoff, misfiled_by_doc_type, weighted_attribution, summary_table, statement_table, spearman_cer_loss, shard_rollup, accuracy_throughput_join, pareto_frontier, pending_work, strided_shard, chunked_work,
-        run_diff, prompt_provenance_audit, transfer_audit, redo_work, project_statement, carry_group_key, one_edit_pairs,
+        run_diff, prompt_provenance_audit, transfer_audit, orphans_and_spares, case_records, redo_work, project_statement, carry_group_key, one_edit_pairs,
     )
 }
 
@@ -290,6 +305,10 @@ ORACLES = {
     "run_diff": "SELECT CASE WHEN lang IN ('de', 'es') THEN 'missing' WHEN lang = 'fr' AND upper(text) <> text THEN 'differing' ELSE 'identical' END AS status, count(*) AS pages FROM documents GROUP BY 1",
     "prompt_provenance_audit": "SELECT CASE WHEN user_id % 5 = 0 THEN 'LEGACY' WHEN event_type < 'p' THEN 'OK' ELSE 'UNKNOWN' END AS status, count(*) AS runs FROM events GROUP BY 1",
     "transfer_audit": "SELECT o_orderpriority AS tier, count(*) AS images, count(*) FILTER (o_orderpriority <> '3-MEDIUM' OR o_orderstatus <> 'F') AS transcripts, count(*) FILTER (o_orderpriority <> '5-LOW') AS rows, images = transcripts AND images = rows AS complete FROM orders GROUP BY 1",
+    "orphans_and_spares": """WITH o AS (SELECT o_orderpriority AS tier, o_orderpriority <> '2-HIGH' OR o_orderstatus <> 'F' AS i, o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW' AS t FROM orders WHERE i OR t)
+    SELECT tier, count(*) FILTER (i) AS images, count(*) FILTER (t) AS transcripts, count(*) FILTER (t AND NOT i) AS orphans, count(*) FILTER (i AND NOT t) AS spares, count(*) FILTER (t) > 0 AND count(*) FILTER (t AND NOT i) = 0 AS usable FROM o GROUP BY tier""",
+    "case_records": """SELECT CAST(c_custkey AS VARCHAR) AS case_id, c_nationkey AS fields, concat(CAST(c_custkey AS VARCHAR), '_bank_statement', CASE WHEN o_orderpriority = '1-URGENT' THEN '' WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '_4NOT SPECIFIED' ELSE concat('_', left(o_orderpriority, 1), substr(o_orderpriority, 3)) END, '.png') AS filename
+    FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 20 AND o_orderstatus <> 'P'""",
     "redo_work": "SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS stem FROM orders WHERE o_orderstatus <> 'F'",
     "project_statement": _LINES + "SELECT concat('CASE', CAST(k AS VARCHAR)) AS case_id, coalesce(string_agg(description, ' | ' ORDER BY rn) FILTER (debit), '') AS line_item_descriptions, coalesce(string_agg(date, ' | ' ORDER BY rn) FILTER (debit), '') AS transaction_dates, coalesce(string_agg(concat('$', CAST(cents AS VARCHAR)), ' | ' ORDER BY rn) FILTER (debit), '') AS transaction_amounts_paid FROM o GROUP BY k",
     "carry_group_key": _LINES + "SELECT concat('CASE', CAST(a.k AS VARCHAR), '_bank_statements') AS stem, a.rn, b.date FROM o a JOIN o b ON a.k = b.k AND b.rn = a.rn - (a.rn - 1) % 3",
