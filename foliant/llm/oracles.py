@@ -75,4 +75,43 @@ SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_re
 FROM d JOIN kept USING (doc_id) LEFT JOIN r USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op5_suffix_dedup": OP5, "op9_jaccard_join": OP9, "op10_quality_rules": OP10}
+#: The checksum is the usual one of 32 bits (reflected polynomial EDB88320), by its table, over the bytes of `<id>:<run>`.
+OP11 = rf"""
+WITH RECURSIVE crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+runs AS (SELECT doc_id, r, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[a-zÀ-ÿ]+')) AS r FROM documents) WHERE length(r) >= 5 GROUP BY doc_id, r),
+bytes AS (SELECT doc_id, r, n, hex(encode(concat(CAST(doc_id AS VARCHAR), ':', r))) AS h FROM runs),
+sums AS (SELECT r, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda k: CAST(concat('0x', substr(h, CAST(2 * k + 1 AS BIGINT), 2)) AS BIGINT))), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) AS crc FROM bytes, crc_table),
+slips AS (SELECT CASE WHEN crc % 97 = 0 THEN concat(substr(r, 1, crc % length(r)), substr(r, crc % length(r) + 2)) ELSE r END AS word, n FROM sums),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slips WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS (SELECT word, n, length(word) AS len, k, concat(substr(word, 1, k), substr(word, k + 2)) AS less FROM (SELECT word, n, unnest(range(length(word))) AS k FROM words)),
+near AS (
+  SELECT DISTINCT c.word, c.n, w.word AS near, w.n AS near_n FROM cuts c JOIN words w ON w.word = c.less
+  UNION SELECT w.word, w.n, c.word, c.n FROM cuts c JOIN words w ON w.word = c.less
+  UNION SELECT c.word, c.n, e.word, e.n FROM cuts c JOIN cuts e ON c.less = e.less AND c.k = e.k AND c.word <> e.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near COLLATE "C") AS near, max(near_n) AS near_n FROM near GROUP BY word),
+o AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM words LEFT JOIN best USING (word)),
+steps(word, here) AS (SELECT word, form FROM o WHERE form IS NOT NULL UNION SELECT steps.word, o.form FROM steps JOIN o ON o.word = steps.here WHERE o.form IS NOT NULL),
+ends AS (SELECT steps.word, steps.here AS root FROM steps JOIN o ON o.word = steps.here WHERE o.form IS NULL)
+SELECT o.word, form, coalesce(root, o.word) AS root, n, n_near, form_n FROM o LEFT JOIN ends USING (word)
+"""
+
+OP13 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {words(LOWER, SPACE)} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + 1], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 1))) AS k FROM d WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+often AS (SELECT x, count(*) AS c FROM s GROUP BY x),
+ranked AS (SELECT s.doc_id, s.x, row_number() OVER (PARTITION BY s.doc_id ORDER BY c, s.x) AS k, n FROM s JOIN often USING (x) JOIN size USING (doc_id)),
+lead_ AS (SELECT doc_id, x FROM ranked WHERE k <= n - (80 * n + 99) // 100 + 1),
+pairs AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM lead_ a JOIN lead_ b ON a.x = b.x AND a.doc_id < b.doc_id),
+meet AS (SELECT a, b, count(*) AS m FROM pairs JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.x = x.x GROUP BY a, b),
+half AS (SELECT meet.a, meet.b FROM meet JOIN size x ON x.doc_id = meet.a JOIN size y ON y.doc_id = meet.b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least_of AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) AS component_id, c IS NULL OR c >= d.doc_id AS kept
+FROM d LEFT JOIN size USING (doc_id) LEFT JOIN least_of USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op5_suffix_dedup": OP5, "op9_jaccard_join": OP9, "op10_quality_rules": OP10, "op11_spelling_variants": OP11, "op13_minhash": OP13}
