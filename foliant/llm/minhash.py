@@ -5,8 +5,9 @@ name for each band of ROWS samples. Classes with a band's name in common are can
 wanted share none with probability (1 - 0.8^ROWS)^BANDS, 7e-10 with four rows and 40 bands at 0.8. The samples are also
 folded into an odd sketch, a bitmap in which each (sample, value) turns one bit over: bits that differ between two
 sketches are twice the samples that differ, less what falls together, so their number tells high similarities precisely.
-Pairs whose sketches differ in more bits than such sets do but once in 10^9 go no further; the others are confirmed on
-their full sets, fetched only for the documents that have such a pair.
+Pairs whose sketches differ in more bits than such sets do but once in 10^9 go no further, nor do those whose whole sets,
+folded the same way, differ in more bits than such sets differ in shingles, which no such pair does. The others are
+confirmed on their full sets, fetched only for the documents that have such a pair.
 
 A band's classes meet in one list. A task hands on a spanning forest of the list's candidate pairs, not all of them, so
 that near copies, however many, give fewer pairs than classes. Lists with a pair that did not hold, and lists of several
@@ -37,7 +38,7 @@ SHINGLE, PERCENT = 2, 80
 #: Bands, and samples in each.
 BANDS, ROWS = 40, 4
 SAMPLES = BANDS * ROWS
-#: Bits of an odd sketch.
+#: Bits of an odd sketch, of samples or of a set.
 BITS = 1024
 #: How seldom a pair at the threshold may be ruled out by its sketches.
 LOSS = 1e-9
@@ -80,6 +81,11 @@ def odd_sketches(least: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(flat, minlength=len(least) * BITS) & 1).astype(np.uint8).reshape(-1, BITS), axis=1)
 
 
+def set_sketch(s: np.ndarray) -> np.ndarray:
+    """BITS parities of a set, packed: each shingle turns one bit over, so sets differ in as many shingles at least as in bits."""
+    return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8))
+
+
 def estimate(differing: int, bits: int = BITS, k: int = SAMPLES) -> float:
     """Similarity that a number of differing bits of two sketches speaks for: twice the differing samples fell on them."""
     if 2 * differing >= bits:
@@ -108,14 +114,14 @@ def most_differing(percent: int, loss: float = LOSS) -> int:
 
 
 def documents_with_samples(texts: DataFrame, size: int) -> DataFrame:
-    """doc_id, key, n, sketch, bands (names, packed): null, 0 and nulls without a word."""
+    """doc_id, key, n, sketch (of the samples, then of the set), bands (names, packed): null, 0 and nulls without a word."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(size)
         for batch in chain.from_iterable((whole.slice(at, 256) for at in range(0, len(whole), 256)) for whole in batches):
             own = [sets(raw) for raw in batch.column("raw").to_pylist()]
             least = np.stack([samples(s) for s in own])
-            names, bits = band_names(least), odd_sketches(least)
+            names, bits = band_names(least), np.hstack([odd_sketches(least), np.stack([set_sketch(s) for s in own])])
             packed = lambda rows: pa.array([r.tobytes() if len(s) else None for r, s in zip(rows, own)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_key(s) if len(s) else None for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64()), packed(bits), packed(names)], ["doc_id", "key", "n", "sketch", "bands"])
 
@@ -144,7 +150,9 @@ def candidates(percent: int, most: int, every: bool):
     def near(n: np.ndarray, bits: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
         alike = 100 * np.minimum(n[x], n[others]) >= percent * np.maximum(n[x], n[others])
         others = others[alike]
-        return others[np.bitwise_count(bits[others] ^ bits[x]).sum(1, dtype=np.int64) <= most]
+        differ = np.bitwise_count(bits[others] ^ bits[x]).reshape(len(others), 2, BITS // 64).sum(2, dtype=np.int64)
+        total = n[x] + n[others]
+        return others[(differ[:, 0] <= most) & ((100 + percent) * (total - differ[:, 1]) >= 2 * percent * total)]
 
     def pairs(n: np.ndarray, bits: np.ndarray, root: np.ndarray) -> Iterator[tuple[int, int]]:
         if every:

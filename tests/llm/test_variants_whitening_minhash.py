@@ -276,6 +276,14 @@ def test_samples_and_sketches_tell_similarities():
     assert all(np.bitwise_count(b[0] ^ b[1]).sum() > most for b in far)
 
 
+def test_set_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(4)
+    for n in (1, 30, 400, 3000):
+        both, x, y = hashes(n, rng), hashes(n // 4, rng), hashes(n // 7, rng)
+        s, t = (np.unique(np.concatenate([both, z])) for z in (x, y))
+        assert int(np.bitwise_count(minhash.set_sketch(s) ^ minhash.set_sketch(t)).sum()) <= len(x) + len(y)
+
+
 def test_sketch_bound_is_a_binomial_tail():
     rng = np.random.default_rng(2)
     loose = minhash.most_differing(80, 0.01)
