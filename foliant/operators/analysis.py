@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from foliant.errors import Refusal
+from foliant.operators import order
 
 #: Severities in order; their alphabetical order is another.
 SEVERITIES = ("clean", "light", "moderate", "heavy")
@@ -30,11 +31,6 @@ def is_statement(stem: str = "stem") -> Column:
     return F.col(stem).endswith("_bank_statements")
 
 
-def upper_median(value: str) -> Column:
-    """The middle value, the upper one of two; null of nothing."""
-    return F.get(F.array_sort(F.collect_list(value)), F.floor(F.count(value) / 2).cast("int"))
-
-
 # -- reports -----------------------------------------------------------------------------------------------------------
 
 
@@ -55,12 +51,12 @@ def in_both_families(clean: DataFrame) -> DataFrame:
 
 
 def statement_rollup(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Pages, amounts, usable (attributable over amounts), and the other measures of statements; width_ok: pages of the right width."""
+    """Pages, amounts, usable (attributable over amounts), and the other measures of statements; width_ok: pages of the right width; median_ncer: the upper median."""
     s = rows.groupBy(*by).agg(
         F.count("*").alias("pages"), F.sum("amounts").alias("amounts"), F.sum("attributable").alias("attributable"), F.sum("misfiled").alias("misfiled"), F.sum("read").alias("read"),
-        F.sum("amounts_correct").alias("amounts_correct"), F.sum("truth_amounts").alias("truth_amounts"), F.sum("aligned").alias("aligned"), F.sum("truth_rows").alias("truth_rows"),
-        F.count_if("columns_match").alias("width_ok"), upper_median("normalised_cer").alias("median_ncer"),
+        F.sum("amounts_correct").alias("amounts_correct"), F.sum("truth_amounts").alias("truth_amounts"), F.sum("aligned").alias("aligned"), F.sum("truth_rows").alias("truth_rows"), F.count_if("columns_match").alias("width_ok"),
     )
+    s = s.join(order.upper_medians(rows, by, "normalised_cer", "median_ncer"), by, "left")
     return s.select(*by, "pages", "amounts", F.try_divide("attributable", "amounts").alias("usable_attributable"), "misfiled", F.try_divide("read", "amounts").alias("read_rate"), F.try_divide("amounts_correct", "truth_amounts").alias("digit_recall"), F.try_divide("aligned", "truth_rows").alias("rows_aligned"), "width_ok", "median_ncer")
 
 
@@ -109,7 +105,7 @@ def paired_change(rows: DataFrame, value: str = "misfiled", aliases: DataFrame |
     if aliases is not None:
         other = names.join(own.select("system"), "system", "left_anti").join(aliases, "system").select("system", F.col("clean_system").alias("base"))
         own = own.unionByName(other)
-    d = s.where("severity <> 'clean'").join(F.broadcast(own), "system").join(clean, ["base", "stem"])
+    d = s.where("severity <> 'clean'").join(own, "system").join(clean, ["base", "stem"])
     delta = F.col(value) - F.col("clean_value")
     return d.groupBy("system", "family", "severity").agg(F.count_if(delta > 0).alias("worse"), F.count_if(delta < 0).alias("better"), F.count_if(delta == 0).alias("same"), F.sum(delta).alias("net"))
 
@@ -141,7 +137,7 @@ def refuse_several_corpora(reports: DataFrame) -> None:
 
 def convention_gap(rows: DataFrame) -> DataFrame:
     """The median of pages' gaps, and the difference of medians: two operators, often confused."""
-    s = rows.groupBy("system").agg(F.median("strict_cer").alias("strict"), F.median("normalised_cer").alias("normalised"), F.median(F.col("strict_cer") - F.col("normalised_cer")).alias("median_gap"))
+    s = order.medians(rows, ["system"], {"strict": F.col("strict_cer"), "normalised": F.col("normalised_cer"), "median_gap": F.col("strict_cer") - F.col("normalised_cer")})
     return s.select("system", "strict", "normalised", "median_gap", (F.col("strict") - F.col("normalised")).alias("gap_of_medians"))
 
 
@@ -160,11 +156,13 @@ def weighted_rate(rows: DataFrame, part: str, whole: str, by: str = "system") ->
 
 
 def summary_table(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("system").agg(
-        F.count("*").alias("pages"), F.median("normalised_cer").alias("median_ncer"), F.avg("normalised_cer").alias("mean_ncer"), F.count_if(F.col("normalised_cer") == 0).alias("exact_pages"),
-        F.median(F.col("strict_cer") - F.col("normalised_cer")).alias("gap"), F.try_divide(F.sum("misfiled"), F.sum("amounts")).alias("misfiled_rate"), F.count_if(~F.col("columns_match")).alias("documents_mismatched"),
+    s = rows.groupBy("system").agg(
+        F.count("*").alias("pages"), F.avg("normalised_cer").alias("mean_ncer"), F.count_if(F.col("normalised_cer") == 0).alias("exact_pages"),
+        F.try_divide(F.sum("misfiled"), F.sum("amounts")).alias("misfiled_rate"), F.count_if(~F.col("columns_match")).alias("documents_mismatched"),
         F.try_divide(F.sum("aligned"), F.sum("truth_rows")).alias("rows_aligned"), F.sum("fragments").alias("fragments"),
     )
+    middle = order.medians(rows, ["system"], {"median_ncer": F.col("normalised_cer"), "gap": F.col("strict_cer") - F.col("normalised_cer")})
+    return s.join(middle, "system", "left").select("system", "pages", "median_ncer", "mean_ncer", "exact_pages", "gap", "misfiled_rate", "documents_mismatched", "rows_aligned", "fragments")
 
 
 def statement_table(rows: DataFrame) -> DataFrame:
@@ -174,24 +172,23 @@ def statement_table(rows: DataFrame) -> DataFrame:
 
 
 def pareto(points: DataFrame, x: str, y: str, key: str = "system") -> DataFrame:
-    """Points that no other equals or beats on both and beats on one. Systems are few: a broadcast anti-join."""
-    o = points.select(F.col(key).alias("k2"), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    beaten = (F.col("k2") != F.col(key)) & (F.col("x2") >= F.col(x)) & (F.col("y2") >= F.col(y)) & ((F.col("x2") > F.col(x)) | (F.col("y2") > F.col(y)))
-    return points.join(F.broadcast(o), beaten, "left_anti")
+    """Points that no other equals or beats on both and beats on one; points with a null on either side stand apart, and stay.
 
+    A point is beaten by the best y of a larger x, or by a better y of the same x: a running maximum over x, falling."""
+    whole = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    best = order.accumulated(whole.groupBy(x).agg(F.max(y).alias("_best")), [], [F.desc(x)], "_best", "max", "_larger")
+    beaten = F.coalesce(F.col("_larger") >= F.col(y), F.lit(False)) | F.coalesce(F.col("_best") > F.col(y), F.lit(False))
+    return points.join(best, x, "left").where(~beaten).select(*points.columns)
 
-def spearman(rows: DataFrame, x: str, y: str, by: str = "system") -> DataFrame:
-    """Rank correlation with average ranks of equals; null where one side is constant (documented only in the reference)."""
 
-    def rank(c: str) -> Column:
-        return F.rank().over(W.partitionBy(by).orderBy(c)) + (F.count("*").over(W.partitionBy(by, c)) - 1) / 2
-
-    return rows.select(by, rank(x).alias("rx"), rank(y).alias("ry")).groupBy(by).agg(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("rho"))
+def spearman(rows: DataFrame, x: str, y: str, by: str = "system") -> DataFrame:
+    """Rank correlation with average ranks of equals; null where one side is constant."""
+    return order.rank_correlation(rows, [by], x, y)
 
 
 def short_names(rows: DataFrame, names: DataFrame, col: str = "system") -> DataFrame:
     """names: system, short. Several systems may share a short name."""
-    return rows.join(F.broadcast(names.select(F.col("system").alias(col), "short")), col, "left").withColumn("short", F.coalesce("short", col))
+    return rows.join(names.select(F.col("system").alias(col), "short"), col, "left").withColumn("short", F.coalesce("short", col))
 
 
 def condition(name: str, tiers: list[str]) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from foliant.errors import Refusal, some
+from foliant.operators import order
 
 
 def pending(stems: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -22,16 +22,8 @@ def refuse_pending(stems: DataFrame, outputs: DataFrame) -> None:
 
 
 def numbered(stems: DataFrame, by: str | None = None) -> DataFrame:
-    """idx: place in stem order, from 0, within each `by` group; without groups the whole list is ordered.
-
-    The whole list is numbered without gathering it: sorted ranges are counted, and each adds what stands before it."""
-    if by is not None:
-        return stems.withColumn("idx", F.row_number().over(W.partitionBy(by).orderBy("stem")) - 1)
-    ranged = stems.repartitionByRange("stem").sortWithinPartitions("stem").withColumn("part", F.spark_partition_id())
-    own = ranged.withColumn("at", F.row_number().over(W.partitionBy("part").orderBy("stem")) - 1)
-    counts = own.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return own.join(F.broadcast(before), "part").withColumn("idx", F.col("at") + F.col("before")).drop("part", "at", "before")
+    """idx: place in stem order, from 0, within each `by` group, or in the whole list; neither is gathered (see order.numbered)."""
+    return order.numbered(stems, ["stem"], [by] if by else None)
 
 
 def shard(stems: DataFrame, index: int, of: int) -> DataFrame:
@@ -56,7 +48,7 @@ def shard_rollup(timing: DataFrame) -> DataFrame:
 
 
 def accuracy_and_throughput(accuracy: DataFrame, throughput: DataFrame) -> DataFrame:
-    return accuracy.join(F.broadcast(throughput), "system")
+    return accuracy.join(throughput, "system")
 
 
 def refuse_untimed(reports: DataFrame, timing: DataFrame) -> None:
@@ -73,7 +65,7 @@ def run_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def prompt_audit(runs: DataFrame, known: DataFrame) -> DataFrame:
     """runs: run, prompt_sha256; known: prompt_sha256, prompt. LEGACY without a stamp, UNKNOWN with one nobody knows."""
-    j = runs.join(F.broadcast(known), "prompt_sha256", "left")
+    j = runs.join(known, "prompt_sha256", "left")
     return j.select("run", F.when(F.col("prompt_sha256").isNull(), "LEGACY").when(F.col("prompt").isNull(), "UNKNOWN").otherwise("OK").alias("status"))
 
 

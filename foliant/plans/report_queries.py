@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators import analysis as A
-from foliant.operators import projection, work
+from foliant.operators import order, projection, work
 from foliant.operators import scoring as S
 from foliant.plans import derived as P
 
@@ -112,7 +112,7 @@ def convention_gap_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upper_median_ncer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R(spark, sf_dir).groupBy("system", "family", "severity").agg(A.upper_median("normalised_cer").alias("median_ncer"))
+    return order.upper_medians(R(spark, sf_dir), ["system", "family", "severity"], "normalised_cer", "median_ncer")
 
 
 def structure_tradeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +173,8 @@ def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strided_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return work.shard(_stems(spark, sf_dir).select("stem"), 1, 3)
+    """With the order's columns along, which do not change a stem's number."""
+    return work.shard(_stems(spark, sf_dir), 1, 3)
 
 
 def chunked_work(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,7 +301,7 @@ ORACLES = {
     "accuracy_throughput_join": _POINTS + "SELECT system, accuracy, round(rate, 9) AS images_per_minute, deployment FROM po",
     "pareto_frontier": _POINTS + "SELECT system, accuracy, round(rate, 9) AS images_per_minute FROM po p WHERE NOT EXISTS (SELECT 1 FROM po q WHERE q.system <> p.system AND q.accuracy >= p.accuracy AND q.rate >= p.rate AND (q.accuracy > p.accuracy OR q.rate > p.rate))",
     "pending_work": _STEMS + "SELECT stem FROM st WHERE stem NOT IN (SELECT lpad(CAST(l_orderkey AS VARCHAR), 12, '0') FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (l_returnflag = 'R') > 0)",
-    "strided_shard": _STEMS + "SELECT stem, idx FROM nu WHERE idx % 3 = 1",
+    "strided_shard": _STEMS + "SELECT nu.stem, o_orderkey, o_orderstatus, idx FROM nu JOIN orders ON lpad(CAST(o_orderkey AS VARCHAR), 12, '0') = nu.stem WHERE idx % 3 = 1",
     "chunked_work": _STEMS + "SELECT idx // 16 AS chunk, count(*) AS pages, min(stem) AS first, max(stem) AS last FROM nu GROUP BY 1",
     "run_diff": "SELECT CASE WHEN lang IN ('de', 'es') THEN 'missing' WHEN lang = 'fr' AND upper(text) <> text THEN 'differing' ELSE 'identical' END AS status, count(*) AS pages FROM documents GROUP BY 1",
     "prompt_provenance_audit": "SELECT CASE WHEN user_id % 5 = 0 THEN 'LEGACY' WHEN event_type < 'p' THEN 'OK' ELSE 'UNKNOWN' END AS status, count(*) AS runs FROM events GROUP BY 1",
