@@ -39,6 +39,13 @@ def declared_but_present(predictions: DataFrame, unproduced: DataFrame) -> DataF
     return predictions.select(*PAIR).join(unproduced.select(*PAIR), PAIR, "left_semi")
 
 
+def refuse_untyped(rows: DataFrame) -> None:
+    """Stems that say no document type: nothing after the first underscore, or none."""
+    bad = [r["stem"] for r in rows.where("stem is null or stem not rlike '^[^_]*_.+$'").select("stem").distinct().limit(6).collect()]
+    if bad:
+        raise Refusal(f"stems without a document type: {some(list(map(str, bad)), len(bad))}", "stems", "<case>_<type>", "name the pages by case and type")
+
+
 def refuse_any(rows: DataFrame, what: str, recover: str) -> None:
     first = rows.limit(6).collect()
     if first:

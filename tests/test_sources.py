@@ -135,3 +135,83 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/facts").where("system = 's'").count() == 1
     runs.write_extraction(spark.createDataFrame([("f", "v")], "filename string, A string"), f"{tmp_path}/x")
     assert spark.read.csv(f"{tmp_path}/x/csv", header=True).columns == ["image_file", "A"]
+
+
+def test_empty_corpora_and_loose_pages_are_refused(spark, corpus):
+    with pytest.raises(Refusal, match="no transcript"):
+        runs.transcripts(spark, f"{corpus}/nowhere")
+    (corpus / "predictions/CASE001_invoices.md").write_text("x")
+    with pytest.raises(Refusal, match="outside of any system"):
+        runs.predictions(spark, f"{corpus}/predictions")
+    (corpus / "bare").mkdir()
+    with pytest.raises(Refusal, match="no system has a folder"):
+        runs.predictions(spark, f"{corpus}/bare")
+    (corpus / "bare/one").mkdir()
+    assert runs.predictions(spark, f"{corpus}/bare").collect() == []
+
+
+def test_missing_images_are_refused_with_a_cause(spark):
+    stems = spark.createDataFrame([("x",), ("y",)], "stem string")
+    images = lambda *p: spark.createDataFrame([(q,) for q in p], "path string")
+    assert {tuple(r) for r in runs.page_images(stems, images("/a/x.png", "/a/y.JPG")).collect()} == {("x", "/a/x.png"), ("y", "/a/y.JPG")}
+    for paths, cause in (((), "no image at all"), (("/a/x.png", "/a/y.tif"), r"\.tif files are not read"), (("/a/x.png", "/a/z.png"), "export the corpus again")):
+        with pytest.raises(Refusal, match=cause):
+            runs.page_images(stems, images(*paths))
+
+
+def test_the_prompt_that_is_sent(spark, tmp_path):
+    (tmp_path / "prompt.md").write_text("For whoever runs this.\n---\n Read  the page.\n")
+    got = runs.prompt(spark, str(tmp_path)).first()
+    assert (got["body"], got["words"], got["sha256"]) == ("Read  the page.", 3, hashlib.sha256(b"Read  the page.").hexdigest())
+    (tmp_path / "other.md").write_text("note\n---\n \n")
+    with pytest.raises(Refusal, match="below the rule"):
+        runs.prompt(spark, str(tmp_path), f"{tmp_path}/other.md")
+    with pytest.raises(Refusal, match="no prompt"):
+        runs.prompt(spark, f"{tmp_path}/nowhere")
+
+
+def test_stems_without_a_type_are_refused(spark):
+    scoring.refuse_untyped(spark.createDataFrame([("C1_invoices",)], "stem string"))
+    for stem in ("C1", "C1_", None):
+        with pytest.raises(Refusal, match="without a document type"):
+            scoring.refuse_untyped(spark.createDataFrame([(stem,)], "stem string"))
+
+
+def test_results_keep_runs_with_nulls(spark, tmp_path):
+    rows = spark.createDataFrame([("s", None, "C1_a", 1), ("s", None, "C2_a", 2), ("s", "p", "C1_a", 3)], "system string, prompt_sha256 string, stem string, amounts int")
+    runs.write_results(rows, ["system", "prompt_sha256"], str(tmp_path))
+    assert sorted(len(r["documents"]) for r in spark.read.json(f"{tmp_path}/json").collect()) == [1, 2]
+    whole = [json.loads(r["value"]) for r in spark.read.text(f"{tmp_path}/runs").collect()]
+    assert len(whole) == 1 and whole[0]["schema"] == 1 and sorted(len(r["documents"]) for r in whole[0]["runs"]) == [1, 2]
+
+
+@pytest.mark.parametrize("most", [10_000, 2])
+def test_reports_are_read_back_whole(spark, tmp_path, monkeypatch, most):
+    """Scored, written, read: rates, means, sums, pages and divergences are what went in, in one record or in many."""
+    monkeypatch.setattr(runs, "PAGES_A_RECORD", most)
+    table = "| Date | Amount |\n|---|---|\n| 1 May | $5.00 |\n| 2 May | $6.10 |"
+    truth = [(f"C{k}_bank_statements", f"# S{k}\n\n{table}") for k in range(7)]
+    made = [(s, stem, text if s == "one" else text.replace("$6.10", "$6.70").replace("# S", "**S** ")) for s in ("one", "two") for stem, text in truth]
+    p = spark.createDataFrame(truth, "stem string, truth string").join(spark.createDataFrame(made, "system string, stem string, prediction string"), "stem")
+    facts = scoring.doc_scores(p).cache()
+    groups = scoring.divergence_groups(scoring.hunks(p))
+    runs.write_report(runs.report_blocks(facts, "c", "p", "standard"), f"{tmp_path}/r", groups)
+    read = runs.reports(spark, f"{tmp_path}/r", multi_line=False)
+    assert (spark.read.text(f"{tmp_path}/r").count() == 1) == (most > 2)
+    by = {r["system"]: r for r in runs.report_systems(read).collect()}
+    assert set(by) == {"one", "two"} and runs.report_systems(read).count() == 2
+    sums = {r["system"]: r for r in scoring.column_sums(facts).join(scoring.table_sums(facts), "system").join(scoring.number_sums(facts), "system").collect()}
+    for s, r in by.items():
+        for kind in ("columns", "tables", "numbers"):
+            for name, got in r[kind].asDict().items():
+                assert got == sums[s][runs.RENAMED.get(name, name)], (s, kind, name)
+        for kind in ("strict", "normalised"):
+            micro = scoring.micro(facts, kind).where(F.col("system") == s).first()
+            assert (r[kind]["cer"], r[kind]["wer"], r[kind]["distance"]) == (micro["cer"], micro["wer"], micro["char_distance"])
+            macro = scoring.macro(facts, kind).where(F.col("system") == s).first()
+            assert (r["macro"][f"{kind}_cer"], r["macro"][f"{kind}_wer"]) == pytest.approx((macro["macro_cer"], macro["macro_wer"]))
+    assert by["one"]["numbers"]["misread"] == 0 < by["two"]["numbers"]["misread"] == 7
+    pages = {(r["system"], r["stem"]): (r["strict_cer"], r["attributable"], r["amounts_correct"]) for r in runs.report_documents(read).collect()}
+    assert pages == {(r["system"], r["stem"]): (r["strict_cer"], r["attributable"], r["amounts_correct"]) for r in facts.collect()}
+    back = {(r["kind"], r["truth"], r["prediction"], r["count"], tuple(r["systems"])) for r in runs.report_divergences(spark, f"{tmp_path}/r", multi_line=False).collect()}
+    assert back == {(r["kind"], r["truth"], r["prediction"], r["count"], tuple(r["systems"])) for r in groups.collect()} and len(back) > 2
