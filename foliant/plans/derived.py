@@ -76,6 +76,8 @@ def written(lines: Column, system: str) -> Column:
         return page(F.flatten(each(lambda x: F.array(F.array(x["date"], *[F.lit("")] * 4), cells(x, date=F.lit(""))))), HEADER)
     if system == "misread":
         return page(each(lambda x: cells(x, F.when(x["rn"] % 3 == 0, last_digit_wrong(x["cents"])).otherwise(x["cents"]))), HEADER)
+    if system == "ragged":
+        return page(each(lambda x: F.when(x["rn"] % 2 == 0, F.concat(cells(x), F.array(F.lit("?")))).otherwise(cells(x))), HEADER)
     if system == "dropper":
         return page(F.transform(F.filter(lines, lambda x: x["rn"] % 4 != 0), lambda x: cells(x)), HEADER)
     return page(each(lambda x: cells(x)), HEADER)

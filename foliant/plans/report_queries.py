@@ -45,12 +45,13 @@ def _listing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 
 def unproduced_as_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declared pages count as empty predictions: their whole length is lost."""
-    d = P.load(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").cast("string").alias("stem"), F.col("text").alias("truth"), "source")
+    """Declared pages count as empty predictions: their whole length is lost, if they have any."""
+    d = P.load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stem"), F.coalesce("text", F.lit("")).alias("truth"), F.coalesce("source", F.lit("")).alias("source"))
+    d = d.withColumn("truth", F.when(F.expr("cast(stem as long) % 9 = 0"), "").otherwise(F.col("truth")))
     odd = F.col("source") == "src0"
     p = S.pairs(d, d.where(~odd).select(F.lit("s").alias("system"), "stem", F.col("truth").alias("prediction")), d.where(odd).select(F.lit("s").alias("system"), "stem"), check=False)
     f = S.character_facts(p)
-    return f.groupBy("system", "is_unproduced").agg(F.count("*").alias("pages"), F.sum("strict_char_distance").alias("distance"), F.avg("strict_cer").alias("cer"))
+    return _rounded(f.groupBy("system", "is_unproduced").agg(F.count("*").alias("pages"), F.sum("strict_char_distance").alias("distance"), F.avg("strict_cer").alias("cer")), "cer")
 
 
 def ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +278,8 @@ ORACLES = {
     "pair_totality_missing": _LISTING + "SELECT system, c.stem FROM c CROSS JOIN (VALUES ('one'), ('two')) AS s(system) EXCEPT SELECT system, stem FROM p EXCEPT SELECT system, stem FROM u",
     "pair_totality_extra": _LISTING + "SELECT system, stem FROM p WHERE stem NOT IN (SELECT stem FROM c)",
     "declared_but_present": _LISTING + "SELECT system, stem FROM p WHERE (system, stem) IN (SELECT system, stem FROM u)",
-    "unproduced_as_failure": "SELECT 's' AS system, source = 'src0' AS is_unproduced, count(*) AS pages, CAST(sum(CASE WHEN source = 'src0' THEN length(text) ELSE 0 END) AS BIGINT) AS distance, CASE WHEN source = 'src0' THEN 1.0 ELSE 0.0 END AS cer FROM documents WHERE text <> '' GROUP BY 1, 2, source = 'src0', 5",
+    "unproduced_as_failure": """WITH d AS (SELECT CASE WHEN doc_id % 9 = 0 OR text IS NULL THEN 0 ELSE length(text) END AS n, coalesce(source, '') = 'src0' AS odd FROM documents)
+        SELECT 's' AS system, odd AS is_unproduced, count(*) AS pages, CAST(sum(CASE WHEN odd THEN n ELSE 0 END) AS BIGINT) AS distance, round(avg(CASE WHEN odd AND n > 0 THEN 1.0 ELSE 0.0 END), 9) AS cer FROM d GROUP BY odd""",
     "ladder": _LADDER + "SELECT * FROM l",
     "ladder_change": _LADDER + "SELECT * FROM ch",
     "ladder_largest_drop": _LADDER + "SELECT system, family, before, severity, step, rows_lost FROM ch WHERE step IS NOT NULL QUALIFY row_number() OVER (PARTITION BY system, family ORDER BY step, severity_ord) = 1",

@@ -84,12 +84,13 @@ def modal_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("system", T.modal_width(F.col("prediction_rows")).alias("width")).agg(F.count("*").alias("pages"))
 
 
-def table_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.table_facts(S.with_rows(P.statement_pairs(spark, sf_dir)))
+def table_structure(spark: SparkSession, sf_dir: str, systems: list[str] = P.SYSTEMS) -> DataFrame:
+    return S.table_facts(S.with_rows(P.statement_pairs(spark, sf_dir, systems)))
 
 
 def fragments_and_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table_structure(spark, sf_dir).groupBy("system")
+    """With a system more, whose every other row has a cell too many."""
+    p = table_structure(spark, sf_dir, [*P.SYSTEMS, "ragged"]).groupBy("system")
     return p.agg(*[F.sum(c).alias(c) for c in ("n_truth_rows", "n_prediction_rows", "fragments", "width_breaks")])
 
 
@@ -114,12 +115,13 @@ def numeric_fidelity_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numeric_fidelity_system(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the greedy split of what is wrong: its order is not SQL's."""
+    """With the greedy split of what is wrong."""
     return S.number_sums(S.number_facts(P.statement_pairs(spark, sf_dir)))
 
 
 def canonical_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = P.statement_lines(spark, sf_dir)
+    """Of amounts and of balances, which go beyond a million."""
+    lines = P.statement_lines(spark, sf_dir).select(F.explode(F.array("cents", "balance")).alias("cents"))
     return lines.select("cents", F.replace(P.dollars(F.col("cents")), F.lit("$")).alias("token")).distinct().select("cents", N.canonical(F.col("token")).alias("canonical"))
 
 
@@ -184,8 +186,25 @@ doc AS (SELECT system, stem, amounts, coalesce(rd.n, 0) AS read, coalesce(pl.n,
 )
 _SUMS = "CAST(sum(amounts) AS BIGINT) AS amounts, CAST(sum(read) AS BIGINT) AS read, CAST(sum(placed) AS BIGINT) AS placed, CAST(sum(misfiled) AS BIGINT) AS misfiled, CAST(sum(attributable) AS BIGINT) AS attributable"
 
+#: A wrong last digit is an edit, unless it makes or ends whole dollars, whose canonical form has no decimals.
+_NUMBERS = _ROWS + """, tt AS (SELECT system, stem, cents, count(*) AS n FROM t GROUP BY ALL), pp AS (SELECT system, stem, cents, count(*) AS n FROM a GROUP BY ALL),
+    bag AS (SELECT system, stem, cents, coalesce(tt.n, 0) AS n_t, coalesce(pp.n, 0) AS n_p FROM tt FULL JOIN pp USING (system, stem, cents)),
+    odd AS (SELECT system, stem, x.cents, x.n_t - x.n_p AS lost, z.n_p - z.n_t AS made FROM bag x JOIN bag z USING (system, stem) WHERE x.n_t > x.n_p AND z.n_p > z.n_t AND z.cents = x.cents - x.cents % 10 + (x.cents % 10 + 1) % 10 AND x.cents % 100 NOT IN (0, 9)),
+    mis AS (SELECT system, stem, sum(least(lost, made)) AS misread FROM odd GROUP BY ALL),
+    num AS (SELECT system, stem, sum(n_t) AS truth_amounts, sum(n_p) AS prediction_amounts, sum(least(n_t, n_p)) AS amounts_correct FROM bag GROUP BY ALL),
+    nd AS (SELECT *, coalesce(misread, 0) AS wrong, truth_amounts - amounts_correct - coalesce(misread, 0) AS dropped, prediction_amounts - amounts_correct - coalesce(misread, 0) AS invented FROM num LEFT JOIN mis USING (system, stem))"""
+
+
 QUERIES = {f.__name__: f for f in (doc_cer, doc_wer, score_micro, score_macro, normalised_emphasis, column_integrity_doc, column_integrity_system, column_rates_system, modal_width, fragments_and_breaks, content_recall, aligned_rows, amount_bag, numeric_fidelity_doc, numeric_fidelity_system, canonical_amounts, hunks, divergence_groups, top_divergences, failure_taxonomy, full_scores, headerless_attribution)}
 
+_RECALL = """, h AS (SELECT DISTINCT stem FROM o), hv AS (SELECT * FROM (VALUES ('h1'), ('h2'), ('h3'), ('h4'), ('h5')) AS hv(v)),
+        tv AS (SELECT stem, v FROM (SELECT stem, unnest([date, description, CAST(cents AS VARCHAR), CAST(balance AS VARCHAR)]) AS v FROM o UNION ALL SELECT stem, v FROM h CROSS JOIN hv)),
+        pv AS (SELECT system, stem, v FROM (SELECT system, stem, unnest([date, description, CAST(cents AS VARCHAR), CAST(balance AS VARCHAR)]) AS v FROM p UNION ALL SELECT system, stem, v FROM h CROSS JOIN hv CROSS JOIN y)),
+        tc AS (SELECT stem, v, count(*) AS n FROM tv GROUP BY ALL), pc AS (SELECT system, stem, v, count(*) AS n FROM pv GROUP BY ALL),
+        rr AS (SELECT system, stem, CAST(sum(least(tc.n, pc.n)) AS BIGINT) AS recalled_cells FROM tc JOIN pc USING (stem, v) GROUP BY system, stem), rc AS (SELECT stem, count(*) AS truth_cells FROM tv GROUP BY stem),
+        recall AS (SELECT system, stem, recalled_cells, truth_cells, CAST(recalled_cells AS DOUBLE) / truth_cells AS content_recall FROM rr JOIN rc USING (stem))"""
+
+
 ORACLES = {
     "doc_cer": PROSE + "SELECT system, stem, cd AS strict_char_distance, chars AS strict_chars, cer AS strict_cer FROM r",
     "doc_wer": PROSE + "SELECT system, stem, wd AS strict_word_distance, words AS strict_words, wer AS strict_wer FROM r",
@@ -199,17 +218,20 @@ ORACLES = {
     "modal_width": _ROWS + "SELECT system, CASE WHEN system = 'shifted' THEN 6 ELSE 5 END AS width, count(DISTINCT stem) AS pages FROM t GROUP BY system",
     "fragments_and_breaks": _ROWS + """SELECT y.system, (SELECT count(*) + count(DISTINCT stem) FROM o) AS n_truth_rows,
         (SELECT count(*) FROM p WHERE p.system = y.system) * CASE WHEN y.system = 'orphaned' THEN 2 ELSE 1 END + (SELECT count(DISTINCT stem) FROM o) AS n_prediction_rows,
-        CASE WHEN y.system = 'orphaned' THEN (SELECT count(*) FROM o) ELSE 0 END AS fragments, CAST(0 AS BIGINT) AS width_breaks FROM y""",
-    "content_recall": _ROWS + """, h AS (SELECT DISTINCT stem FROM o), hv AS (SELECT * FROM (VALUES ('h1'), ('h2'), ('h3'), ('h4'), ('h5')) AS hv(v)),
-        tv AS (SELECT stem, v FROM (SELECT stem, unnest([date, description, CAST(cents AS VARCHAR), CAST(balance AS VARCHAR)]) AS v FROM o UNION ALL SELECT stem, v FROM h CROSS JOIN hv)),
-        pv AS (SELECT system, stem, v FROM (SELECT system, stem, unnest([date, description, CAST(cents AS VARCHAR), CAST(balance AS VARCHAR)]) AS v FROM p UNION ALL SELECT system, stem, v FROM h CROSS JOIN hv CROSS JOIN y)),
-        tc AS (SELECT stem, v, count(*) AS n FROM tv GROUP BY ALL), pc AS (SELECT system, stem, v, count(*) AS n FROM pv GROUP BY ALL),
-        r AS (SELECT system, stem, CAST(sum(least(tc.n, pc.n)) AS BIGINT) AS recalled_cells FROM tc JOIN pc USING (stem, v) GROUP BY system, stem), c AS (SELECT stem, count(*) AS truth_cells FROM tv GROUP BY stem)
-        SELECT system, stem, recalled_cells, truth_cells, CAST(recalled_cells AS DOUBLE) / truth_cells AS content_recall FROM r JOIN c USING (stem)""",
+        CASE WHEN y.system = 'orphaned' THEN (SELECT count(*) FROM o) ELSE 0 END AS fragments, CAST(0 AS BIGINT) AS width_breaks FROM y
+        UNION ALL SELECT 'ragged', count(*) + count(DISTINCT stem), count(*) + count(DISTINCT stem), 0, count(*) FILTER (rn % 2 = 0) FROM o""",
+    "content_recall": _ROWS + _RECALL + " SELECT * FROM recall",
     "amount_bag": _ROWS + """, tt AS (SELECT system, stem, cents, count(*) AS n FROM t GROUP BY ALL), pp AS (SELECT system, stem, cents, count(*) AS n FROM a GROUP BY ALL)
         SELECT system, stem, cents, coalesce(tt.n, 0) AS n_t, coalesce(pp.n, 0) AS n_p FROM tt FULL JOIN pp USING (system, stem, cents)""",
     "numeric_fidelity_doc": _ROWS + "," + _bag("rd", "cents") + """, nt AS (SELECT system, stem, count(*) AS n FROM t GROUP BY ALL), np AS (SELECT system, stem, count(*) AS n FROM a GROUP BY ALL)
         SELECT system, stem, nt.n AS truth_amounts, coalesce(np.n, 0) AS prediction_amounts, coalesce(rd.n, 0) AS amounts_correct, coalesce(rd.n, 0) AS literal FROM nt LEFT JOIN np USING (system, stem) LEFT JOIN rd USING (system, stem)""",
-    "canonical_amounts": _ROWS + """SELECT DISTINCT cents, concat(CAST(cents // 100 AS VARCHAR), CASE WHEN cents % 100 = 0 THEN '' WHEN cents % 10 = 0 THEN concat('.', CAST(cents % 100 // 10 AS VARCHAR)) ELSE concat('.', lpad(CAST(cents % 100 AS VARCHAR), 2, '0')) END) AS canonical FROM o""",
+    "numeric_fidelity_system": _NUMBERS + """SELECT system, CAST(sum(truth_amounts) AS BIGINT) AS truth_amounts, CAST(sum(prediction_amounts) AS BIGINT) AS prediction_amounts, CAST(sum(amounts_correct) AS BIGINT) AS amounts_correct, CAST(sum(amounts_correct) AS BIGINT) AS literal,
+        CAST(sum(wrong) AS BIGINT) AS misread, CAST(sum(dropped) AS BIGINT) AS dropped, CAST(sum(invented) AS BIGINT) AS invented, count(*) FILTER (wrong > 0 OR dropped > 0 OR invented > 0) AS documents_with_an_error FROM nd GROUP BY system""",
+    "failure_taxonomy": _NUMBERS + _DOC.removeprefix(_ROWS) + """SELECT system, CAST(sum(amounts) AS BIGINT) AS amounts, CAST(sum(wrong) AS BIGINT) AS misread, CAST(sum(dropped) AS BIGINT) AS dropped, CAST(sum(read - placed) AS BIGINT) AS misplaced, CAST(sum(placed - attributable) AS BIGINT) AS orphaned,
+        CAST(sum(wrong + read - attributable) AS BIGINT) AS silently_wrong FROM doc JOIN nd USING (system, stem) GROUP BY system""",
+    "aligned_rows": _ROWS + _RECALL + """, q AS (SELECT stem, count(*) AS n, count(*) FILTER (rn % 3 <> 0) AS read, count(*) FILTER (rn % 4 <> 0) AS kept FROM o GROUP BY stem)
+        SELECT system, CAST(sum(n + 1) AS BIGINT) AS n_truth_rows, CAST(sum(1 + CASE system WHEN 'orphaned' THEN 0 WHEN 'misread' THEN read WHEN 'dropper' THEN kept ELSE n END) AS BIGINT) AS aligned, CAST(sum(CASE WHEN system = 'orphaned' THEN n ELSE 0 END) AS BIGINT) AS fragments, CAST(0 AS BIGINT) AS width_breaks,
+          (SELECT CAST(sum(recalled_cells) AS BIGINT) FROM recall WHERE recall.system = y.system) AS recalled_cells, (SELECT CAST(sum(truth_cells) AS BIGINT) FROM recall WHERE recall.system = y.system) AS truth_cells FROM q CROSS JOIN y GROUP BY system""",
+    "canonical_amounts": _ROWS + """SELECT DISTINCT cents, concat(CAST(cents // 100 AS VARCHAR), CASE WHEN cents % 100 = 0 THEN '' WHEN cents % 10 = 0 THEN concat('.', CAST(cents % 100 // 10 AS VARCHAR)) ELSE concat('.', lpad(CAST(cents % 100 AS VARCHAR), 2, '0')) END) AS canonical FROM (SELECT cents FROM o UNION SELECT balance FROM o)""",
     "headerless_attribution": _ROWS + "SELECT 'self' AS system, count(DISTINCT stem) AS pages, CAST(2 * count(*) AS BIGINT) AS amounts, CAST(2 * count(*) - 2 * count(DISTINCT stem) AS BIGINT) AS attributable FROM o",
 }
