@@ -110,6 +110,16 @@ def column_facts(p: DataFrame) -> DataFrame:
     return p.withColumns({"misfiled": F.col("amounts") - F.col("placed"), "usable_placed": F.col("placed"), "columns_match": F.col("truth_columns") == F.col("prediction_columns"), "placement_rate": F.try_divide("placed", "read")}).drop("pt", "pp", "ht", "hp")
 
 
+def strictly_attributable(p: DataFrame, name: str = "attributable_strict") -> DataFrame:
+    """From with_rows: adds the amounts that stand under the right heading in a row with the right first two cells, date and description.
+
+    The plain key, the first cell alone, takes two lines of one day for each other. As there, the document's first row is its header."""
+    key = lambda r: F.concat_ws("\u0001", T.trim(r[0]), F.coalesce(T.trim(F.get(r, F.lit(1))), F.lit("")))
+    cells = lambda rows: F.flatten(F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: F.transform(r, lambda c, j: F.struct(c.alias("amount"), F.concat_ws("\u0001", c, j.cast("string"), key(r)).alias("placed")))))
+    own = lambda rows: F.transform(F.filter(cells(rows), lambda x: x["amount"].rlike(T.AMOUNT_CELL)), lambda x: x["placed"])
+    return p.withColumn(name, intersection_size(own(F.col("truth_rows")), own(F.col("prediction_rows"))))
+
+
 def table_facts(p: DataFrame) -> DataFrame:
     """From with_rows: n_truth_rows, n_prediction_rows, aligned, fragments, width_breaks, recalled_cells, truth_cells, content_recall."""
     p = p.withColumns({"vt": T.cell_values(F.col("truth_rows")), "vp": T.cell_values(F.col("prediction_rows"))})
@@ -188,6 +198,16 @@ def hunks(p: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     return h.withColumn("kind", F.when(same, CONVENTION).otherwise(READING))
 
 
+def rate_tables(scores: DataFrame) -> DataFrame:
+    """system, and the rates of the four tables that a run shows: characters, words, columns, amounts; in the order of the systems' names.
+
+    Rates over nothing are null. digit recall is over the truth's amounts, precision over those written."""
+    rates = micro(scores, "normalised").select("system", F.col("cer").alias("normalised_cer"), F.col("wer").alias("normalised_wer")).join(micro(scores).select("system", F.col("cer").alias("strict_cer"), F.col("wer").alias("strict_wer")), "system")
+    tables = table_sums(scores).select("system", F.try_divide("aligned", "n_truth_rows").alias("rows_aligned"), "fragments", "width_breaks", F.try_divide("recalled_cells", "truth_cells").alias("content_recall"))
+    numbers = number_sums(scores).select("system", F.try_divide("amounts_correct", "truth_amounts").alias("digit_recall"), F.try_divide("amounts_correct", "prediction_amounts").alias("digit_precision"), "misread", "dropped", "invented", "documents_with_an_error")
+    return rates.join(column_rates(column_sums(scores)), "system").join(tables, "system").join(numbers, "system").orderBy("system")
+
+
 def divergence_groups(h: DataFrame) -> DataFrame:
     """Exact groups over all systems, with counts and who made them."""
     return h.groupBy("kind", "truth", "prediction").agg(F.count("*").alias("count"), F.sort_array(F.collect_set("system")).alias("systems"))

@@ -84,6 +84,16 @@ def orphans_and_spares(images: DataFrame, transcripts: DataFrame) -> DataFrame:
     return counts.withColumn("usable", (F.col("transcripts") > 0) & (F.col("orphans") == 0))
 
 
+def carved(stems: DataFrame, whole_types: list[str], named: list[str]) -> DataFrame:
+    """A subset for an experiment: all pages of some types, and pages that are named; a name that is not there is refused."""
+    kept = stems.where(F.regexp_extract("stem", "^[^_]*_(.+)$", 1).isin(whole_types) | F.col("stem").isin(named))
+    there = {r["stem"] for r in kept.where(F.col("stem").isin(named)).select("stem").distinct().collect()}  # as many as were named
+    lost = sorted(set(named) - there)
+    if lost:
+        raise Refusal(f"no such pages: {some(lost, len(lost))}", "subset", "pages of the corpus", "name pages that are there")
+    return kept
+
+
 def redo(previous: DataFrame, stems: DataFrame) -> DataFrame:
     """The previous run's pages less those to be done again."""
     return previous.join(stems.select("stem"), "stem", "left_anti")

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from foliant.functions import blocks as B
 from foliant.functions.display import fixed
+from foliant.materialise import shared_folder
 from foliant.operators import analysis as A
-from foliant.operators import printouts, routing, sheets, transcripts
+from foliant.operators import printouts, routing, sheets, transcripts, work
 from foliant.operators import scoring as S
 from foliant.plans import derived as P
 from foliant.plans.report_queries import _LADDER, _R
-from foliant.plans.statement_queries import _ROWS
+from foliant.plans.statement_queries import _DOC, _NUMBERS, _RECALL, _ROWS
+from foliant.sources import runs
 
 # -- sheets ------------------------------------------------------------------------------------------------------------
 
@@ -74,6 +78,55 @@ def _listing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return cases, o.select("case_id", "condition"), o.join(read, "o_orderkey").select("case_id", "condition", "system")
 
 
+# -- reports -----------------------------------------------------------------------------------------------------------
+
+#: A system's rungs: what each of the derived systems stands for.
+RUNGS = {"exact": ("clean", "clean"), "misread": ("scan", "light"), "orphaned": ("scan", "moderate"), "dropper": ("scan", "heavy")}
+
+
+def written_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements are scored, each rung's report is written and read back, and the ladder is made of what was read.
+
+    Reports go to the folder for checkpoints, under a name of their own. Ladders that are made of the facts directly are the same (a test)."""
+    out = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
+    facts = S.number_facts(S.table_facts(S.column_facts(S.with_rows(S.dealt(P.statement_pairs(spark, sf_dir, list(RUNGS)))))))
+    facts = facts.drop("truth", "prediction", "truth_rows", "prediction_rows").withColumns({f"{k}_{x}": F.lit(v) for k in ("strict", "normalised") for x, v in (("cer", 0.0), ("wer", 0.0), ("char_distance", 0), ("chars", 1), ("word_distance", 0), ("words", 1))})
+    facts.write.parquet(f"{out}/facts")
+    read = None
+    for system, (family, severity) in RUNGS.items():
+        own = spark.read.parquet(f"{out}/facts").where(F.col("system") == system).withColumn("system", F.lit("s"))
+        runs.write_report(runs.report_blocks(own, f"corpus_{family}-{severity}", system, "standard"), f"{out}/{system}")
+        one = runs.reports(spark, f"{out}/{system}", multi_line=False)
+        read = one if read is None else read.unionByName(one)
+    labels = spark.createDataFrame([(f"corpus_{f}-{s}", f, s) for f, s in RUNGS.values()], "corpus string, family string, severity string")
+    return A.ladder(runs.with_tiers(runs.report_documents(read), labels)).drop("median_ncer")
+
+
+def rate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The amounts' rates among them; characters and words are other queries'."""
+    f = S.number_facts(S.table_facts(S.column_facts(S.with_rows(P.statement_pairs(spark, sf_dir)))))
+    f = f.withColumns({f"{k}_{x}": F.lit(1) for k in ("strict", "normalised") for x in ("char_distance", "chars", "word_distance", "words")})
+    return S.rate_tables(f).select("system", "read_rate", "placed_rate", "rows_aligned", "content_recall", "digit_recall", "digit_precision", "misread", "dropped", "invented")
+
+
+def strict_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts by date and description, beside those by date alone."""
+    f = S.strictly_attributable(S.column_facts(S.with_rows(P.statement_pairs(spark, sf_dir))))
+    return f.groupBy("system").agg(F.sum("attributable").alias("attributable"), F.sum("attributable_strict").alias("attributable_strict"))
+
+
+def manifest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each statement's text stands for its image."""
+    c = P.statement_corpus(spark, sf_dir)
+    images = c.select("stem", F.concat(F.lit("/any/where/"), "stem", F.lit(".png")).alias("path"), F.sha2("stem", 256).alias("sha256"))
+    return runs.manifest_records(c, images)
+
+
+def carved_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stems = P.report_rows(spark, sf_dir).select("stem").distinct()
+    return work.carved(stems, ["receipts"], ["CASE0_bank_statements", "CASE3_bank_statements"])
+
+
 # -- prompts -----------------------------------------------------------------------------------------------------------
 
 
@@ -206,7 +259,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_blocks, panel_summaries, panel_stats, sheet_choice, sheet_list, prompt_sections, serialised_pages, coverage, page_routes, route_totals, scored_routes,
-        display_rounding, ladder_report, published_ladder, deployment_comparison, digit_precision,
+        written_ladder, rate_tables, strict_attribution, manifest_records, carved_subset, display_rounding, ladder_report, published_ladder, deployment_comparison, digit_precision,
     )
 }
 
@@ -227,6 +280,21 @@ ORACLES = {
         SELECT page, concat('# User ', CAST(page AS VARCHAR), repeat(chr(10), 2), 'Events: ', CAST(count(*) AS VARCHAR), repeat(chr(10), 2), CASE WHEN page % 3 = 0 THEN '|  |  |' ELSE '| Kind of event | Cents |' END, chr(10), '| --- | --- |', chr(10), string_agg(row, chr(10) ORDER BY rn), repeat(chr(10), 2), 'End  of page') AS text, CAST(NULL AS VARCHAR) AS fault FROM e GROUP BY page""",
     "coverage": """WITH a AS (SELECT user_id AS page, event_type AS text FROM events), d AS (SELECT user_id AS page, event_type AS text FROM events WHERE NOT (event_type = 'error' AND event_id % 4 = 0) UNION ALL SELECT user_id, event_type FROM events WHERE event_type = 'purchase' AND event_id % 5 = 0),
         x AS (SELECT page, text, count(*) AS surplus FROM (FROM d EXCEPT ALL FROM a) GROUP BY ALL UNION ALL SELECT page, text, -count(*) FROM (FROM a EXCEPT ALL FROM d) GROUP BY ALL) SELECT * FROM x""",
+    "written_ladder": _NUMBERS + _DOC.removeprefix(_ROWS) + """, q AS (SELECT stem, count(*) AS n, count(*) FILTER (rn % 3 <> 0) AS ok, count(*) FILTER (rn % 4 <> 0) AS kept FROM o GROUP BY stem),
+        f AS (SELECT system, n + 1 AS truth_rows, 1 + CASE system WHEN 'orphaned' THEN 0 WHEN 'misread' THEN ok WHEN 'dropper' THEN kept ELSE n END AS aligned, doc.*, nd.* FROM doc JOIN nd USING (system, stem) JOIN q USING (stem) WHERE system IN ('exact', 'misread', 'orphaned', 'dropper')),
+        g AS (SELECT * FROM (VALUES ('exact', 'scan', 'clean', 0), ('exact', 'photo', 'clean', 0), ('misread', 'scan', 'light', 1), ('orphaned', 'scan', 'moderate', 2), ('dropper', 'scan', 'heavy', 3)) AS g(system, family, severity, severity_ord))
+        SELECT 's' AS system, family, severity, severity_ord, count(*) AS pages, CAST(sum(amounts) AS BIGINT) AS amounts, CAST(sum(attributable) AS DOUBLE) / sum(amounts) AS usable_attributable, CAST(sum(misfiled) AS BIGINT) AS misfiled, CAST(sum(read) AS DOUBLE) / sum(amounts) AS read_rate,
+          CAST(sum(amounts_correct) AS DOUBLE) / sum(truth_amounts) AS digit_recall, CAST(sum(aligned) AS DOUBLE) / sum(truth_rows) AS rows_aligned, count(*) FILTER (columns_match) AS width_ok FROM f JOIN g USING (system) GROUP BY ALL""",
+    "rate_tables": _NUMBERS + _RECALL + _DOC.removeprefix(_ROWS) + """, q AS (SELECT stem, count(*) AS n, count(*) FILTER (rn % 3 <> 0) AS ok, count(*) FILTER (rn % 4 <> 0) AS kept FROM o GROUP BY stem)
+        SELECT system, CAST(sum(read) AS DOUBLE) / sum(amounts) AS read_rate, CAST(sum(placed) AS DOUBLE) / sum(read) AS placed_rate, CAST(sum(1 + CASE system WHEN 'orphaned' THEN 0 WHEN 'misread' THEN ok WHEN 'dropper' THEN kept ELSE n END) AS DOUBLE) / sum(n + 1) AS rows_aligned,
+          CAST(sum(recall.recalled_cells) AS DOUBLE) / sum(recall.truth_cells) AS content_recall, CAST(sum(amounts_correct) AS DOUBLE) / sum(truth_amounts) AS digit_recall, CAST(sum(amounts_correct) AS DOUBLE) / sum(prediction_amounts) AS digit_precision,
+          CAST(sum(wrong) AS BIGINT) AS misread, CAST(sum(dropped) AS BIGINT) AS dropped, CAST(sum(invented) AS BIGINT) AS invented FROM doc JOIN nd USING (system, stem) JOIN q USING (stem) JOIN recall USING (system, stem) GROUP BY system""",
+    "strict_attribution": _DOC + """, st AS (SELECT stem, cents, CASE WHEN debit THEN 2 ELSE 3 END AS col, concat(date, '/', description) AS key FROM o UNION ALL SELECT stem, balance, 4, concat(date, '/', description) FROM o),
+        sa AS (SELECT system, stem, cents, CASE WHEN debit THEN 2 ELSE 3 END + shift AS col, CASE WHEN system = 'shifted' THEN concat('/', date) ELSE concat(key, '/', description) END AS key FROM p UNION ALL SELECT system, stem, balance, 4 + shift, CASE WHEN system = 'shifted' THEN concat('/', date) ELSE concat(key, '/', description) END FROM p),
+        sn AS (SELECT system, sum(least(x.n, z.n)) AS n FROM (SELECT stem, cents, col, key, count(*) AS n FROM st GROUP BY ALL) x JOIN (SELECT system, stem, cents, col, key, count(*) AS n FROM sa GROUP BY ALL) z USING (stem, cents, col, key) GROUP BY system)
+        SELECT doc.system, CAST(sum(attributable) AS BIGINT) AS attributable, CAST(coalesce(any_value(sn.n), 0) AS BIGINT) AS attributable_strict FROM doc LEFT JOIN sn USING (system) GROUP BY doc.system""",
+    "manifest_records": "SELECT DISTINCT concat('images/CASE', CAST(l_orderkey AS VARCHAR), '_bank_statements.png') AS image, concat('transcripts/CASE', CAST(l_orderkey AS VARCHAR), '_bank_statements.md') AS transcript, 'bank_statements' AS doc_type, sha256(concat('CASE', CAST(l_orderkey AS VARCHAR), '_bank_statements')) AS sha256 FROM lineitem",
+    "carved_subset": _R + "SELECT DISTINCT stem FROM r WHERE stem LIKE '%\\_receipts' ESCAPE '\\' OR stem IN ('CASE0_bank_statements', 'CASE3_bank_statements')",
     "page_routes": _ROUTES + "SELECT * FROM r",
     "route_totals": _ROUTES + "SELECT system, count(*) FILTER (route = 'written') AS written, count(*) FILTER (route = 'truncated') AS truncated, count(*) FILTER (route = 'declared') AS declared, count(*) FILTER (route = 'pending') AS pending, count(*) AS pages FROM r WHERE conflict IS NULL GROUP BY system",
     "scored_routes": "SELECT l_returnflag AS system, count(DISTINCT l_orderkey) AS pages, min(concat('part ', CAST(l_partkey AS VARCHAR))) AS first FROM lineitem WHERE l_quantity >= 10 AND NOT l_discount > 0.07 GROUP BY 1",

@@ -215,3 +215,33 @@ def test_reports_are_read_back_whole(spark, tmp_path, monkeypatch, most):
     assert pages == {(r["system"], r["stem"]): (r["strict_cer"], r["attributable"], r["amounts_correct"]) for r in facts.collect()}
     back = {(r["kind"], r["truth"], r["prediction"], r["count"], tuple(r["systems"])) for r in runs.report_divergences(spark, f"{tmp_path}/r", multi_line=False).collect()}
     assert back == {(r["kind"], r["truth"], r["prediction"], r["count"], tuple(r["systems"])) for r in groups.collect()} and len(back) > 2
+
+
+def test_manifests_are_built_of_pages_and_images(spark, corpus):
+    hashes = runs.content_hashes(spark, f"{corpus}/corpus/images/*")
+    records = runs.manifest_records(runs.transcripts(spark, f"{corpus}/corpus"), hashes)
+    runs.write_manifest(records, f"{corpus}/new")
+    read, old = (runs.manifest(spark, p).select("image", "transcript", "doc_type", "sha256").collect() for p in (f"{corpus}/new", f"{corpus}/corpus/manifest.jsonl"))
+    assert sorted(read) == sorted(old)
+    with pytest.raises(Refusal, match="without an image"):
+        runs.manifest_records(runs.transcripts(spark, f"{corpus}/corpus"), hashes.limit(1))
+
+
+def test_declared_pages_are_written_and_read(spark, corpus):
+    declared = spark.createDataFrame([("one", "b", "why"), ("one", "a", "why"), ("three", "c", "else")], "system string, stem string, reason string")
+    runs.declare_unproduced(declared, f"{corpus}/predictions")
+    got = {tuple(r) for r in runs.unproduced(spark, f"{corpus}/predictions").collect()}
+    assert got == {("one", "a", "why"), ("one", "b", "why"), ("three", "c", "else"), ("two", "CASE002_invoices", "too long")}
+    assert json.loads((corpus / "predictions/one/_unproduced.json").read_text())["pages"] == ["a", "b"]
+
+
+def test_a_corpus_stamp_is_its_folder_less_the_prefix(spark):
+    t = spark.createDataFrame([("/a/parsing_20260818/",), ("parsing_20260818_scan-light",)], "c string")
+    assert [r[0] for r in t.select(runs.corpus_stamp(F.col("c"))).collect()] == ["20260818", "20260818_scan-light"]
+
+
+def test_a_subset_names_pages_that_are_there(spark):
+    stems = spark.createDataFrame([("C1_receipts",), ("C1_bank_statements",), ("C2_bank_statements",)], "stem string")
+    assert {r["stem"] for r in work.carved(stems, ["receipts"], ["C2_bank_statements"]).collect()} == {"C1_receipts", "C2_bank_statements"}
+    with pytest.raises(Refusal, match="no such pages: C9"):
+        work.carved(stems, [], ["C9"])
