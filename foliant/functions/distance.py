@@ -13,13 +13,18 @@ from collections import Counter
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from foliant.functions import text as T
 
 
+#: Symbols up to which whole columns cost less than the bookkeeping of a band.
+SHORT = 1024
+
+
 def edit_distance(a: Sequence, b: Sequence) -> int:
     """Unit-cost insertions, deletions and substitutions."""
     if a == b:
@@ -39,7 +44,7 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     if low == high:
         return low
     band = max(low, 8)
-    while 2 * band + 1 < len(a):
+    while SHORT < len(a) and 2 * band + 1 < len(a):
         found = banded(a, b, min(band, high))
         if found is not None:
             return found
@@ -47,16 +52,15 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     where: dict = {}
     for k, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << k
-    mask, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    plus, minus, score = mask, 0, len(a)
+    # vertical differences of a column: plus and minus one; their sum in the last column, under n deletions, is the distance
+    mask = (1 << len(a)) - 1
+    plus, minus, get = mask, 0, where.get
     for x in b:
-        eq = where.get(x, 0)
+        eq = get(x, 0)
         same = (((eq & plus) + plus) ^ plus) | eq | minus
-        up, down = minus | ~(same | plus) & mask, plus & same
-        score += bool(up & top) - bool(down & top)
-        up, down = up << 1 | 1, down << 1
-        plus, minus = (down | ~(same | up)) & mask, up & same & mask
-    return score
+        up = (minus | ~(same | plus)) << 1 | 1
+        plus, minus = ((same & plus) << 1 | ~(same | up)) & mask, up & same & mask
+    return len(b) + plus.bit_count() - minus.bit_count()
 
 
 def bounds(a: Sequence, b: Sequence) -> tuple[int, int]:
@@ -110,6 +114,15 @@ def _words(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else edit_distance(list(a), list(b)) for a, b in zip(left, right)], dtype="Int64")
 
 
+DISTANCES = StructType([StructField("chars", LongType()), StructField("words", LongType())])
+
+
+@F.arrow_udf(DISTANCES)
+def _both(left: pa.Array, right: pa.Array) -> pa.Array:
+    found = [None if a is None or b is None else {"chars": edit_distance(a, b), "words": edit_distance(a.split(), b.split())} for a, b in zip(left.to_pylist(), right.to_pylist())]
+    return pa.array(found, pa.struct([("chars", pa.int64()), ("words", pa.int64())]))
+
+
 def unless_equal(udf: Callable[[Column, Column], Column], left: Column, right: Column, of_equals: Column) -> Column:
     """udf(left, right), which gives null for null sides, where the sides differ; of_equals where they are the same."""
     differ = left != right
@@ -125,6 +138,11 @@ def word_distance(left: Column, right: Column) -> Column:
     return unless_equal(_words, left, right, F.lit(0).cast("long"))
 
 
+def distances(left: Column, right: Column) -> Column:
+    """(chars, words): both distances of two texts, which go to Python once; words are split at white space there."""
+    return unless_equal(_both, left, right, F.struct(F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("words")))
+
+
 def error_rate(distance: Column, length: Column) -> Column:
     """distance / length; of an empty truth 0 if nothing was written, else 1."""
     return F.when(length == 0, F.when(distance == 0, 0.0).otherwise(1.0)).otherwise(distance / length)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions.text import WHITE
+from foliant.functions.text import WHITE, let, squeeze, trim
 
 #: Where a line ends, as Python's splitlines sees it.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -13,10 +13,6 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 AMOUNT_CELL = r"(?U)^\$?\d[\d,]*\.\d{2}(?:\s*Cr)?\n?\z"
 
 
-def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{WHITE}+|{WHITE}+\z", "")
-
-
 def html_rows(text: Column) -> Column:
     rows = F.regexp_extract_all(text, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
     cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: trim(F.regexp_replace(c, "<[^>]+>", ""))))
@@ -32,21 +28,28 @@ def pipe_rows(text: Column) -> Column:
 
 def table_rows(text: Column) -> Column:
     """HTML rows first, whatever the order in the document, then pipe rows."""
-    text = F.coalesce(text, F.lit(""))
-    return F.concat(html_rows(text), pipe_rows(text))
+    return let(F.coalesce(text, F.lit("")), lambda t: F.concat(html_rows(t), pipe_rows(t)))
 
 
 def modal_width(rows: Column) -> Column:
     """The most common row width, the first met of equals; 0 without rows."""
-    widths = F.transform(rows, F.size)
-    counted = F.transform(F.array_distinct(widths), lambda w: F.struct(F.size(F.filter(widths, lambda x: x == w)).alias("n"), (-F.array_position(widths, w)).alias("first"), w.alias("width")))
-    return F.coalesce(F.array_max(counted)["width"], F.lit(0))
+
+    def of(widths: Column) -> Column:
+        counted = F.transform(F.array_distinct(widths), lambda w: F.struct(F.size(F.filter(widths, lambda x: x == w)).alias("n"), (-F.array_position(widths, w)).alias("first"), w.alias("width")))
+        return F.coalesce(F.array_max(counted)["width"], F.lit(0))
+
+    return let(F.transform(rows, F.size), of)
 
 
 def placements(rows: Column) -> Column:
     """(amount, col, row_key, row_idx) of every cell that is an amount. The key is the row's first cell."""
-    cells = F.transform(rows, lambda r, i: F.transform(r, lambda c, j: F.struct(c.alias("amount"), j.alias("col"), trim(r[0]).alias("row_key"), i.alias("row_idx"))))
-    return F.filter(F.flatten(cells), lambda x: x["amount"].rlike(AMOUNT_CELL))
+    amount = lambda x: x["amount"].contains(".") & x["amount"].rlike(AMOUNT_CELL)
+
+    def of(r: Column, i: Column) -> Column:
+        found = F.filter(F.transform(r, lambda c, j: F.struct(c.alias("amount"), j.alias("col"))), amount)
+        return F.transform(found, lambda x: F.struct(x["amount"].alias("amount"), x["col"].alias("col"), trim(r[0]).alias("row_key"), i.alias("row_idx")))
+
+    return F.flatten(F.transform(rows, of))
 
 
 def is_fragment(row: Column) -> Column:
@@ -59,18 +62,17 @@ def fragments(rows: Column) -> Column:
 
 
 def width_breaks(rows: Column) -> Column:
-    width = modal_width(rows)
-    return F.size(F.filter(rows, lambda r: F.size(r) != width)).cast("long")
+    return let(modal_width(rows), lambda width: F.size(F.filter(rows, lambda r: F.size(r) != width)).cast("long"))
 
 
 def cell_values(rows: Column) -> Column:
     """All non-blank cells, inner white space squeezed."""
-    return F.transform(F.filter(F.flatten(rows), lambda c: trim(c) != ""), lambda c: F.regexp_replace(trim(c), rf"(?U){WHITE}+", " "))
+    return F.array_remove(F.transform(F.flatten(rows), squeeze), "")
 
 
 def row_signature(row: Column) -> Column:
     """What identifies a row: its non-blank cells, joined by U+0001 so that cell borders stay apart."""
-    return F.array_join(F.transform(F.filter(row, lambda c: trim(c) != ""), lambda c: trim(F.regexp_replace(c, rf"(?U){WHITE}+", " "))), "\u0001")
+    return F.array_join(F.array_remove(F.transform(row, squeeze), ""), "\u0001")
 
 
 def split_row(line: Column) -> Column:

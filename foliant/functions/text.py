@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,31 +21,68 @@ TABLE_ELEMENTS = "table|thead|tbody|tfoot|caption|colgroup|col|tr|td|th"
 
 #: White space as Python's str methods see it: Java's Unicode white space, and four separators.
 WHITE = r"[\s\x1c-\x1f\x85]"
+ASCII_WHITE = r"[\s\x1c-\x1f]"
+#: The same as WHITE, one by one.
+WHITE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 TABLE_TAG = rf"(?iU)</?(?:{TABLE_ELEMENTS})(?:{WHITE}[^<>]*)?/?>"
 
 
-def _python_step(form: str, unescape: bool):
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def where(has: str, text: Column, step: Callable[[Column], Column]) -> Column:
+    """step(text) for texts with one of the characters, without which it changes nothing; others are left as they are."""
+    return let(text, lambda t: F.when(t.rlike(f"[{has}]"), step(t)).otherwise(t))
+
+
+def is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
+def _python_step(form: str, unescape: bool) -> Callable[[Column], Column]:
     @F.pandas_udf(StringType())
     def step(texts: pd.Series) -> pd.Series:
         found = texts.map(lambda t: unicodedata.normalize(form, t), na_action="ignore")
         return found.map(html.unescape, na_action="ignore") if unescape else found
 
-    return step
+    def apart(text: Column) -> Column:
+        """ASCII texts are in every form; without an ampersand they hold no entity, and stay in the JVM."""
+        plain = is_ascii(text) & ~text.contains("&") if unescape else is_ascii(text)
+        return F.when(plain, text).otherwise(step(F.when(~plain, text)))
+
+    return apart
 
 
 @F.pandas_udf(StringType())
-def casefold(texts: pd.Series) -> pd.Series:
+def _casefold(texts: pd.Series) -> pd.Series:
     return texts.map(str.casefold, na_action="ignore")
 
 
+def casefold(text: Column) -> Column:
+    """ASCII texts by the built-in."""
+    return F.when(is_ascii(text), F.lower(text)).otherwise(_casefold(F.when(~is_ascii(text), text)))
+
+
+def trim(text: Column) -> Column:
+    """Without white space, as Python sees it, at the ends."""
+    return F.trim(text, F.lit(WHITE_CHARS))
+
+
+def by_alphabet(text: Column, ascii_step: Callable[[Column], Column], step: Callable[[Column], Column]) -> Column:
+    """Patterns over Unicode classes cost several times those over ASCII ones, which do for ASCII texts."""
+    return let(text, lambda t: F.when(is_ascii(t), ascii_step(t)).otherwise(step(t)))
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, rf"(?U){WHITE}+", " "), "^ | $", "")
+    return F.trim(by_alphabet(text, lambda t: F.regexp_replace(t, f"{ASCII_WHITE}+", " "), lambda t: F.regexp_replace(t, rf"(?U){WHITE}+", " ")))
 
 
 def words(text: Column) -> Column:
     """White-space separated words, none empty."""
-    return F.array_remove(F.split(text, rf"(?U){WHITE}+"), "")
+    return F.array_remove(by_alphabet(text, lambda t: F.split(t, f"{ASCII_WHITE}+"), lambda t: F.split(t, rf"(?U){WHITE}+")), "")
 
 
 def fold_dashes(text: Column) -> Column:
@@ -67,10 +105,9 @@ def strip_headings(text: Column) -> Column:
 
 def strip_pipe_tables(text: Column) -> Column:
     """Rule rows go; in other table rows pipes become spaces. Prose with a pipe inside is left alone."""
-    trimmed = lambda x: F.regexp_replace(x, rf"(?U)^{WHITE}+|{WHITE}+$", "")
-    rule = lambda x: trimmed(x).rlike(r"\A\|[|:\- \t]*\z") & x.contains("-")
+    rule = lambda x: x.contains("-") & trim(x).rlike(r"\A\|[|:\- \t]*\z")
     lines = F.filter(F.split(text, "\n"), lambda x: ~rule(x))
-    return F.array_join(F.transform(lines, lambda x: F.when(trimmed(x).startswith("|"), F.translate(x, "|", " ")).otherwise(x)), "\n")
+    return F.array_join(F.transform(lines, lambda x: F.when(trim(x).startswith("|"), F.replace(x, F.lit("|"), F.lit(" "))).otherwise(x)), "\n")
 
 
 def strip_html_tables(text: Column) -> Column:
@@ -94,14 +131,14 @@ def normalise(text: Column, policy: Policy) -> Column:
     """The policy's steps, in their fixed order; a step that is off never enters the plan."""
     text = _python_step(policy.unicode_form, policy.unescape_html_entities)(text)
     for on, step in (
-        (policy.fold_dashes, fold_dashes),
-        (policy.fold_quotes, fold_quotes),
-        (policy.strip_emphasis, strip_emphasis),
-        (policy.strip_heading_marks, strip_headings),
-        (policy.strip_table_marks, strip_pipe_tables),
-        (policy.strip_html_table_marks, strip_html_tables),
-        (policy.strip_blockquote_marks, strip_blockquotes),
-        (policy.fold_trailing_colons, fold_trailing_colons),
+        (policy.fold_dashes, lambda t: by_alphabet(t, lambda x: x, fold_dashes)),
+        (policy.fold_quotes, lambda t: by_alphabet(t, lambda x: x, fold_quotes)),
+        (policy.strip_emphasis, lambda t: where("*_", t, strip_emphasis)),
+        (policy.strip_heading_marks, lambda t: where("#", t, strip_headings)),
+        (policy.strip_table_marks, lambda t: where("|", t, strip_pipe_tables)),
+        (policy.strip_html_table_marks, lambda t: where("<", t, strip_html_tables)),
+        (policy.strip_blockquote_marks, lambda t: where(">", t, strip_blockquotes)),
+        (policy.fold_trailing_colons, lambda t: where(":", t, fold_trailing_colons)),
         (policy.collapse_whitespace, squeeze),
         (policy.fold_case, casefold),
     ):

@@ -77,7 +77,8 @@ def dealt(p: DataFrame) -> DataFrame:
 def character_facts(p: DataFrame, left: str = "truth", right: str = "prediction", prefix: str = "strict") -> DataFrame:
     """Adds <prefix>_char_distance, _chars, _word_distance, _words, _cer, _wer."""
     a, b = F.col(left), F.col(right)
-    p = p.withColumns({f"{prefix}_char_distance": D.char_distance(a, b), f"{prefix}_chars": F.length(a).cast("long"), f"{prefix}_word_distance": D.word_distance(X.words(a), X.words(b)), f"{prefix}_words": D.word_count(a)})
+    p = p.withColumn("_d", D.distances(a, b))
+    p = p.withColumns({f"{prefix}_char_distance": F.col("_d.chars"), f"{prefix}_chars": F.length(a).cast("long"), f"{prefix}_word_distance": F.col("_d.words"), f"{prefix}_words": D.word_count(a)}).drop("_d")
     rate = lambda k, n: D.error_rate(F.col(f"{prefix}_{k}_distance"), F.col(f"{prefix}_{n}"))
     return p.withColumns({f"{prefix}_cer": rate("char", "chars"), f"{prefix}_wer": rate("word", "words")})
 
