@@ -30,7 +30,9 @@ def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """l_orderkey, stem, rn, date, description, cents, debit (boolean), balance."""
     w = W.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    li = load(spark, sf_dir, "lineitem").withColumns({"rn": F.row_number().over(w), "cents": cents})
+    # the one shuffle, by order, that all below rests on; its partitions are not merged, since each line becomes pages of text
+    dealt = load(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    li = dealt.withColumns({"rn": F.row_number().over(w), "cents": cents})
     running = F.sum("cents").over(w.rowsBetween(W.unboundedPreceding, 0))
     return li.select(
         "l_orderkey", F.concat(F.lit("CASE"), F.col("l_orderkey"), F.lit("_bank_statements")).alias("stem"), "rn", F.date_format("l_shipdate", "dd/MM/yyyy").alias("date"),
