@@ -86,6 +86,8 @@ HOMOGLYPHS = dict(
         strict=True,
     )
 )
+#: Full stops of other scripts.
+STOPS = frozenset("。｡．﹒․")
 #: Characters without width.
 NOTHING = frozenset("­​‌‍‎‏⁠﻿")
 #: Spelled digits of the languages at hand, and the signs said between them.
@@ -111,14 +113,23 @@ HINT = re.compile(rf"\b(?:{UNIT})\b")  # of lower-cased text
 OPEN, CLOSE = r"[(\[{<]", r"[)\]}>]"
 #: White space before a bracket or word is matched from its first character on only, so long runs of it cost no more than their length.
 RUN, RUN_OF_ONE = r"(?:(?<!\s)\s*+)", r"(?:(?<!\s)\s++)"
-DOT_WORD = rf"(?:\s*+{OPEN}\s*+(?:dot|point|punkt|punto|\.)\s*+{CLOSE}\s*+|\s++(?:dot|punkt|punto)\s++|_dot_|-dot-)"
+#: A dot between blanks is one only before what ends an address; fixed values, the commonest.
+TOP = r"(?=(?:com|org|net|edu|gov|info|io|co|de|fr|es|uk|eu)(?![a-z0-9]))"
+DOT_WORD = rf"(?:\s*+{OPEN}\s*+(?:dot|point|punkt|punto|\.)\s*+{CLOSE}\s*+|\s++(?:dot|punkt|punto)\s++|\s++\.\s++{TOP}|_dot_|-dot-)"
+DOT_HERE = re.compile(rf"(?i){DOT_WORD}")
 AT_BRACKET = rf"{RUN}{OPEN}\s*+(?:at|arroba|@)\s*+{CLOSE}\s*+"
 BLANK = r"(?<![ \t])[ \t]"
-AT = re.compile(rf"(?i){AT_BRACKET}|(?:{RUN_OF_ONE}(?:at|arroba)\s++|_at_|-at-)(?=[a-z0-9-]+?{DOT_WORD})|{BLANK}++@[ \t]*+|{BLANK}*+@[ \t]++|@")
+#: said: an at that only a domain with a said dot makes one (see Domains.said_dot).
+AT = re.compile(rf"(?i){AT_BRACKET}|(?P<said>{RUN_OF_ONE}(?:at|arroba)\s++|_at_|-at-)|{BLANK}++@[ \t]*+|{BLANK}*+@[ \t]++|@")
+#: One of these is in every text with a disguised address.
+AT_HINT = re.compile(r"(?i)dot|@|at\s*+[)\]}>]|arroba|punkt|punto")
+LABEL_RUN = re.compile("(?i)[a-z0-9-]+")
 DISGUISED_DOMAIN = re.compile(rf"(?i)[a-z0-9-]+?(?:(?:{DOT_WORD}|\.)[a-z0-9-]+?)+(?![a-z0-9]|-(?!dot))")
 #: Read from its end to its start, as far as it goes.
 DISGUISED_LOCAL = regex.compile(rf"(?ri)(?:(?<![a-z0-9._%+-])[a-z0-9._%+-]+{DOT_WORD.replace('*+', '*').replace('++', '+')})*[a-z0-9._%+-]+")
-DOT = re.compile(rf"(?i)(?:{RUN}{OPEN}\s*+(?:dot|point|punkt|punto|\.)\s*+{CLOSE}\s*+|{RUN_OF_ONE}(?:dot|punkt|punto)\s++|_dot_|-dot-)")
+DOT = re.compile(rf"(?i)(?:{RUN}{OPEN}\s*+(?:dot|point|punkt|punto|\.)\s*+{CLOSE}\s*+|{RUN_OF_ONE}(?:dot|punkt|punto)\s++|{RUN_OF_ONE}\.\s++{TOP}|_dot_|-dot-)")
+#: Dots in brackets between the parts of a number.
+DOT_IN_NUMBER = re.compile(rf"(?i)(?<=[0-9])\s*+{OPEN}\s*+(?:dot|point|punkt|punto|\.)\s*+{CLOSE}\s*+(?=[0-9])")
 
 
 @functools.cache
@@ -130,6 +141,8 @@ def fold(c: str) -> str:
         return ""
     if c in HOMOGLYPHS:
         return HOMOGLYPHS[c]
+    if c in STOPS:
+        return "."
     if unicodedata.decimal(c, None) is not None:
         return str(unicodedata.decimal(c))
     k = unicodedata.normalize("NFKC", c)
@@ -167,10 +180,38 @@ def fold_characters(tape: Tape) -> None:
     tape.edit([(k, k + 1, fold(c)) for k, c in enumerate(tape.text) if c > "\x7f" and fold(c) != c])
 
 
+class Domains:
+    """Of a text, asked from left to right: whether a run of labels from a place on is followed by, or holds, a said dot.
+
+    What is known of a run serves every place in it, so long runs with many at signs cost no more than their length."""
+
+    def __init__(self, text: str):
+        self.text, self.low, self.end, self.dot_after, self.inside = text, text.lower(), -1, False, -1
+
+    def said_dot(self, at: int) -> bool:
+        if at >= self.end:
+            run = LABEL_RUN.match(self.text, at)
+            if not run:
+                return False
+            self.end = run.end()
+            self.dot_after = DOT_HERE.match(self.text, self.end) is not None
+        if self.dot_after:
+            return True
+        if self.inside <= at:  # a dot within the run, after one character at least
+            found = self.low.find("-dot-", at + 1)
+            self.inside = found if found >= 0 else len(self.low)
+        return self.inside < self.end
+
+
 def join_at_and_dot(tape: Tape) -> None:
     edits: list[tuple[int, int, str]] = []
-    upto = 0
-    for m in AT.finditer(tape.text):
+    upto = at = 0
+    domains = Domains(tape.text)
+    while m := AT.search(tape.text, at):
+        if m["said"] and not domains.said_dot(m.end()):
+            at = m.start() + 1
+            continue
+        at = m.end()
         if m.start() < upto:
             continue
         domain = DISGUISED_DOMAIN.match(tape.text, m.end())
@@ -184,6 +225,10 @@ def join_at_and_dot(tape: Tape) -> None:
     tape.edit(edits)
 
 
+def join_bracketed_dots(tape: Tape) -> None:
+    tape.edit([(*m.span(), ".") for m in DOT_IN_NUMBER.finditer(tape.text)])
+
+
 def join_spelled_digits(tape: Tape) -> None:
     edits: list[tuple[int, int, str]] = []
     for m in SAID.finditer(tape.text):
@@ -199,22 +244,31 @@ def deobfuscated(text: str, base: list[Span]) -> list[Span]:
     """The spans that the transducers add."""
     tape = Tape(text)
     fold_characters(tape)
-    low = tape.text.lower()
-    if "dot" in low or "@" in low or any(x in low for x in ("at)", "at]", "at}", "at>", "arroba", "punkt", "punto", "at )", "at ]")):
+    if AT_HINT.search(tape.text):
         join_at_and_dot(tape)
+    if DIGIT.search(tape.text):
+        join_bracketed_dots(tape)
     if HINT.search(tape.text.lower()):
         join_spelled_digits(tape)
     if tape.text == text:
         return []
-    taken = [(a, b) for _, a, b in base]
+    # strictly inside of spans known so far, and how far those go that begin at a place
+    inside, longest = bytearray(len(text) + 1), {}
+
+    def take(a: int, b: int) -> None:
+        inside[a + 1 : b] = b"\1" * (b - a - 1)
+        longest[a] = max(b, longest.get(a, b))
+
+    for _, a, b in base:
+        take(a, b)
     added = []
     for kind, a, b in detect(tape.text):
         start, end = tape.starts[a], tape.ends[b - 1]
         changed = 1 in tape.new[a:b] or end - start != b - a
         # what lies apart from all spans known, or holds more than those it meets
-        if changed and all(end <= x or y <= start or (start <= x and y <= end and end - start > y - x) for x, y in taken):
+        if changed and not inside[start] and not inside[end] and longest.get(start, -1) < end:
             added.append((kind, start, end))
-            taken.append((start, end))
+            take(start, end)
     return added
 
 
