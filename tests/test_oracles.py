@@ -8,12 +8,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from foliant.plans import report_queries, sheet_queries, statement_queries
+from foliant.plans import report_queries, sheet_queries, statement_queries, text_queries
 
 SF = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = statement_queries.QUERIES | report_queries.QUERIES | sheet_queries.QUERIES
-ORACLES = statement_queries.ORACLES | report_queries.ORACLES | sheet_queries.ORACLES
+QUERIES = statement_queries.QUERIES | report_queries.QUERIES | sheet_queries.QUERIES | text_queries.QUERIES
+ORACLES = statement_queries.ORACLES | report_queries.ORACLES | sheet_queries.ORACLES | text_queries.ORACLES
 
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="the test tables are not here")
 
