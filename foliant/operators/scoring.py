@@ -193,12 +193,21 @@ def failure_taxonomy(scores: DataFrame) -> DataFrame:
 CONVENTION, READING = "convention", "reading"
 
 
-def hunks(p: DataFrame, policy: Policy = STANDARD) -> DataFrame:
-    """system, stem, idx, truth, prediction, kind: word spans that differ; convention if they normalise alike."""
+def word_spans(p: DataFrame, policy: Policy = STANDARD) -> DataFrame:
+    """system, stem, idx, truth, prediction: word spans that differ."""
     text = lambda c: X.words(X.pad_html_tables(F.col(c)) if policy.strip_html_table_marks else F.col(c))
-    h = p.select(*PAIR, F.explode(align.word_hunks(text("truth"), text("prediction"))).alias("h")).select(*PAIR, "h.idx", "h.truth", "h.prediction")
+    return p.select(*PAIR, F.explode(align.word_hunks(text("truth"), text("prediction"))).alias("h")).select(*PAIR, "h.idx", "h.truth", "h.prediction")
+
+
+def with_kind(spans: DataFrame, policy: Policy = STANDARD) -> DataFrame:
+    """Adds kind: convention if both sides normalise alike, else reading."""
     same = X.normalise(F.col("truth"), policy) == X.normalise(F.col("prediction"), policy)
-    return h.withColumn("kind", F.when(same, CONVENTION).otherwise(READING))
+    return spans.withColumn("kind", F.when(same, CONVENTION).otherwise(READING))
+
+
+def hunks(p: DataFrame, policy: Policy = STANDARD) -> DataFrame:
+    """system, stem, idx, truth, prediction, kind: word spans that differ."""
+    return with_kind(word_spans(p, policy), policy)
 
 
 def rate_tables(scores: DataFrame) -> DataFrame:
@@ -211,9 +220,10 @@ def rate_tables(scores: DataFrame) -> DataFrame:
     return rates.join(column_rates(column_sums(scores)), "system").join(tables, "system").join(numbers, "system").orderBy("system")
 
 
-def divergence_groups(h: DataFrame) -> DataFrame:
-    """Exact groups over all systems, with counts and who made them."""
-    return h.groupBy("kind", "truth", "prediction").agg(F.count("*").alias("count"), F.sort_array(F.collect_set("system")).alias("systems"))
+def divergence_groups(h: DataFrame, policy: Policy = STANDARD) -> DataFrame:
+    """Exact groups over all systems, with counts and who made them. Of hunks, or of word_spans: their kinds are then told once for each group."""
+    g = h.groupBy("truth", "prediction", *(["kind"] if "kind" in h.columns else [])).agg(F.count("*").alias("count"), F.sort_array(F.collect_set("system")).alias("systems"))
+    return (g if "kind" in h.columns else with_kind(g, policy)).select("kind", "truth", "prediction", "count", "systems")
 
 
 def top_divergences(groups: DataFrame, n: int = 20, width: int = 60) -> DataFrame:

@@ -130,7 +130,7 @@ def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def divergence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.divergence_groups(hunks(spark, sf_dir))
+    return S.divergence_groups(S.word_spans(S.dealt(P.statement_pairs(spark, sf_dir))))
 
 
 def top_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
