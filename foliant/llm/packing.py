@@ -2,8 +2,9 @@
 
 Each task packs its own pieces as they come. A fixed number of bins is open; a bitset keyed by free space finds the
 fullest bin that still takes a piece, and when a bin must be opened beyond the fixed number, the fullest closes first.
-What is open at a task's end are again items: groups of tasks merge them by the same best-fit, so the space lost does
-not add up over tasks. Placements and digests are rows; token ids are not shuffled. `sequences` gives the ids themselves.
+The pieces of what is open at a task's end are loose again: groups of tasks, as many as keep MERGE_ROWS pieces in each, pack
+them anew by best-fit, the longest first, so that neither the space lost nor what a task began badly adds up over tasks.
+Placements and digests are rows; token ids are not shuffled. `sequences` gives the ids themselves.
 Null texts count as empty (they hold the closing id only), repeated rows are packed each, other columns are left out.
 """
 
@@ -23,9 +24,9 @@ from foliant.llm.common import checkpoint, slices
 from foliant.llm.pretoken import KEEP_WORDS, token_ids
 
 TOKENIZER, CAPACITY, END_ID = "word_bpe_49k.json", 4096, 1
-#: Open bins of a packer; tasks whose open bins one merging task takes.
-OPEN_BINS, FAN_IN = 128, 64
-#: Rows of merged bins up to which they are broadcast (24 bytes each); beyond, a shuffled join does the same.
+#: Open bins of a packer; loose pieces that one merging task packs; tokens free below which a bin is done at a task's end.
+OPEN_BINS, MERGE_ROWS, NEARLY_FULL = 128, 50_000, 41
+#: Rows of loose pieces up to which they are broadcast (24 bytes each); beyond, a shuffled join does the same.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -97,30 +98,27 @@ def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
                     k, offset = bins.add(size)
                     rows.append((doc_id, piece, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), (task << 32) + k, offset, task, None))
             yield pa.RecordBatch.from_arrays([pa.array(x, t or ids_of) for x, t in zip(zip(*rows) if rows else [()] * 9, types)], names)
-        left = [(None, None, None, None, None, (task << 32) + k, None, task, used) for k, used in bins.left()]
+        left = [(None, None, None, None, None, (task << 32) + k, None, task, used) for k, used in bins.left() if capacity - used >= min(NEARLY_FULL, capacity // 2)]
         if left:
             yield pa.RecordBatch.from_arrays([pa.array(x, t or ids_of) for x, t in zip(zip(*left), types)], names)
 
     def merge(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
         bins = BestFit(capacity, len(group) + 1)
-        items = sorted(zip(group.column("used").to_pylist(), group.column("bin").to_pylist()), reverse=True)
-        first: dict[int, int] = {}
-        out = []
-        for used, k in items:
-            into, base = bins.add(used)
-            out.append((k, first.setdefault(into, k), base))
-        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("bin", "sequence_id", "base"), zip(*out))})
+        items = sorted(zip(*(group.column(c).to_pylist() for c in ("length", "bin", "offset"))), reverse=True)
+        out = [(k, at, -1 - (part << 32) - into, offset) for (size, k, at), (into, offset) in ((x, bins.add(x[0])) for x in items)]
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("bin", "offset", "sequence_id", "moved"), zip(*out))})
+
+    def few(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
     rows = checkpoint(texts.mapInArrow(pack, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, bin long, offset long, task long, used long"))
-    moved = rows.where("used is not null").select("bin", "used", F.floor(F.col("task") / FAN_IN).alias("part"))
-    moved = checkpoint(moved.groupBy("part").applyInArrow(merge, "bin long, sequence_id long, base long"))
-    if moved.count() <= BROADCAST_ROWS:
-        moved = F.broadcast(moved)
-    return (
-        rows.where("used is null")
-        .join(moved, "bin", "left")
-        .select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("sequence_id", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"))
-    )
+    pieces = rows.where("used is null")
+    loose = checkpoint(pieces.join(few(rows.where("used is not null").select("bin")), "bin").select("bin", "offset", "length", "task"))
+    parts = max(1, -(-loose.count() // MERGE_ROWS))
+    moved = checkpoint(loose.withColumn("part", F.pmod("task", F.lit(parts))).groupBy("part").applyInArrow(merge, "bin long, offset long, sequence_id long, moved long"))
+    placed = pieces.join(few(moved), ["bin", "offset"], "left")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("sequence_id", "bin").alias("sequence_id"), F.coalesce("moved", "offset").alias("offset"))
 
 
 def sequences(docs: DataFrame, placed: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
