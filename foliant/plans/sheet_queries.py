@@ -135,7 +135,7 @@ def prompt_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = P.load(spark, sf_dir, "supplier")
     name = F.when(F.col("s_suppkey") % 7 == 0, F.concat_ws(" ", *["s_name"] * 4)).otherwise(F.concat(F.regexp_replace("s_name", "#", "\n#"), F.lit(" — kept.")))
     rule = F.concat(F.lit("**"), name, F.lit("** told in prose, "), F.col("s_suppkey").cast("string"))
-    rule = F.when(F.col("s_suppkey") % 3 == 0, F.concat(rule, F.lit("\n\nAn example.\n"))).otherwise(rule)
+    rule = F.when(F.col("s_suppkey") % 3 == 0, F.concat(rule, F.lit("\n\nAn example."))).otherwise(rule)
     rules = F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", rule.alias("r")))), lambda x: x["r"])
     p = s.groupBy("s_nationkey").agg(F.concat_ws("\n\n", F.lit("Read the page."), rules).alias("body"))
     return p.select("s_nationkey", F.posexplode(B.split_sections(F.col("body"))).alias("idx", "s")).select("s_nationkey", "idx", "s.title", "s.text")
