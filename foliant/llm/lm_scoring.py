@@ -40,7 +40,9 @@ STEP, LEVELS = 1.5, 64
 #: Bits for each insertion, probes of each lookup.
 BITS, PROBES = 10, 5
 #: Bytes of text for each bucket; of each chunk of documents.
-BUCKET_BYTES, CHUNK_BYTES = 16 << 20, 12 << 20
+BUCKET_BYTES, CHUNK_BYTES = 16 << 20, 6 << 20
+#: Words that are hashed together.
+AT_ONCE = 100_000
 #: Bytes of a filter up to which it is broadcast; a larger one is asked by bucket.
 BROADCAST_BYTES = 128 << 20
 END, BEGIN = b"\n", b"\n\n"  # no word holds a line feed
@@ -146,13 +148,17 @@ class Reader:
     def __call__(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all tokens one after the other, and the number of tokens of each text."""
         words: list[bytes] = []
+        parts: list[np.ndarray] = []
         sizes = np.zeros(len(raws), np.int64)
         for k, raw in enumerate(raws):
             own = raw.lower().split()
             words += own
             words.append(END)
             sizes[k] = len(own) + 1
-        return self.hashes(words), sizes
+            if len(words) > AT_ONCE:  # words as objects take ten times the memory of their hashes
+                parts.append(self.hashes(words))
+                words.clear()
+        return np.concatenate([*parts, self.hashes(words)]), sizes
 
     def before(self, h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         v = np.empty_like(h)
