@@ -317,7 +317,8 @@ def apply(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: s
             with pa.ipc.new_stream(sink, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(held)
             names = packed(order) if near else words[order].astype("<u8").tobytes()
-            rows = [(chunk % n_buckets, chunk, names, None, packed(rank[at]), sink.getvalue().to_pybytes())]
+            # first chunks of tasks would share a bucket, were they not spread
+            rows = [(int(mix(np.array([chunk]))[0] % np.uint64(n_buckets)), chunk, names, None, packed(rank[at]), sink.getvalue().to_pybytes())]
             word_parts, pair_parts = dict(by_bucket(words, n_buckets)), dict(by_bucket(pairs, n_buckets))
             for b in sorted(word_parts.keys() | pair_parts.keys()):
                 rows.append((b, chunk, words[word_parts.get(b, none)].astype("<u8").tobytes(), pack48(pairs[pair_parts.get(b, none)]), None, None))
