@@ -18,7 +18,8 @@ from foliant.llm.common import SPACE, checkpoint, split_words
 MAX_DOCS = 50
 #: A document is depleted if less than this share of its words, or fewer than MIN_WORDS, stay.
 KEEP_SHARE, MIN_WORDS = 0.5, 20
-#: Frequent lines up to which they are broadcast (16 bytes and a host each); beyond, a shuffled join does the same.
+#: Frequent lines up to which they are broadcast (16 bytes and a host each). Of more, the most frequent are broadcast, as
+#: many as can stand in at least that part of all their documents, and a shuffled join that has no hot key does the rest.
 BROADCAST_ROWS = 200_000
 WINDOW, REPEAT_PERCENT = 8, 30
 
@@ -58,23 +59,36 @@ def line_hash(line: Column) -> Column:
 
 
 def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """host, line: hashes of the normalised lines that more than max_docs documents of the host hold."""
+    """host, line, n: hashes of the normalised lines that more than max_docs documents of the host hold, n of them."""
     lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     own = docs.select("host", F.explode(F.array_distinct(F.transform(lines, line_hash))).alias("line"))
-    return own.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("host", "line")
+    return own.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
+
+
+def marked(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    """lines with hit: whether frequent (host, line, n) has the row's host and line."""
+    frequent = frequent.select(F.col("host").alias("own_host"), F.col("line").alias("own_line"), "n", F.lit(True).alias("hit"))
+    known = frequent.agg(F.count("*").alias("lines"), F.sum("n").alias("held")).first()
+    on = (F.col("host") == F.col("own_host")) & (F.col("line") == F.col("own_line"))
+    if known["lines"] <= BROADCAST_ROWS:
+        return lines.join(F.broadcast(frequent), on, "left").drop("own_host", "own_line", "n")
+    # no more than BROADCAST_ROWS lines can each have that part of what all have; rows of any other are few
+    hot = F.col("n") * BROADCAST_ROWS >= known["held"]
+    first = lines.join(F.broadcast(frequent.where(hot)), on, "left").drop("own_host", "own_line", "n")
+    # a row with its answer goes anywhere: its key is its own, and what it meets there changes nothing
+    first = first.withColumn("key", F.when(F.col("hit"), F.xxhash64("row", "line")).otherwise(F.col("line"))).withColumnRenamed("hit", "hit_hot")
+    rest = first.join(frequent.where(~hot).drop("n"), (F.col("host") == F.col("own_host")) & (F.col("key") == F.col("own_line")), "left")
+    return rest.withColumn("hit", F.coalesce("hit_hot", "hit")).drop("own_host", "own_line", "hit_hot", "key")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, keep_share: float = KEEP_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, the base measures, base_failed, kept, and n_kept_words: words outside frequent lines."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host"))
     frequent = checkpoint(frequent_lines(own, max_docs))
-    frequent = frequent.withColumn("hit", F.lit(True))
-    if frequent.count() <= BROADCAST_ROWS:
-        frequent = F.broadcast(frequent)
     measured = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     lines = metrics(own).withColumn("row", F.monotonically_increasing_id()).select("row", "host", *measured, F.explode_outer("lines").alias("l"))
     lines = lines.select("row", "host", *measured, F.col("l.line").alias("line"), F.coalesce("l.words", F.lit(0)).alias("words"))
-    joined = lines.join(frequent, ["host", "line"], "left")
+    joined = marked(lines, frequent)
     totals = joined.groupBy("row").agg(*[F.first(c).alias(c) for c in measured], F.sum(F.when(F.col("hit"), 0).otherwise(F.col("words"))).alias("n_kept_words"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     depleted = (F.col("n_kept_words") < keep_share * F.col("n_words")) | (F.col("n_kept_words") < min_words)
