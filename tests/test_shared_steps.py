@@ -67,3 +67,19 @@ def test_amounts_and_their_values(spark):
     t = "1,234.50 9.99 345.678 12.5x 00.10 ٣.٤ 7,000"
     r = spark.createDataFrame([(t,), (t[:33],)], "t string").select(N.amounts(F.col("t")).alias("a"), F.transform(N.amounts(F.col("t")), N.canonical).alias("c")).collect()
     assert r[0].a[:2] == ["1,234.50", "9.99"] and r[0].c[:2] == ["1234.5", "9.99"] and "٣.٤" in r[0].a and r[1].a == r[0].a[: len(r[1].a)]
+
+
+def test_codes_by_substrings_are_the_standard_library_s():
+    rng = random.Random(7)
+    for k in range(3000):
+        a, b = ([rng.choice("ab" if k % 3 else "abcdefgh") for _ in range(rng.randrange(14))] for _ in range(2))
+        assert align._codes(a, b) == difflib.SequenceMatcher(None, a, b, False).get_opcodes()
+
+
+def test_hunks_of_texts_need_no_second_shuffle_of_pages(spark):
+    from foliant.plans import statement_queries as Q
+
+    plan = Q.hunks(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+    r = spark.createDataFrame([("a b c  d", "a x c\nd"), ("a b", "a  b"), (None, "a")], "t string, p string").select(align.text_hunks(F.col("t"), F.col("p")).alias("h")).collect()
+    assert [h.asDict() for h in r[0].h] == [{"idx": 0, "truth": "b", "prediction": "x"}] and r[1].h == [] and r[2].h is None
