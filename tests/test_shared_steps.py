@@ -83,3 +83,46 @@ def test_hunks_of_texts_need_no_second_shuffle_of_pages(spark):
     assert plan.count("RepartitionByExpression") == 1
     r = spark.createDataFrame([("a b c  d", "a x c\nd"), ("a b", "a  b"), (None, "a")], "t string, p string").select(align.text_hunks(F.col("t"), F.col("p")).alias("h")).collect()
     assert [h.asDict() for h in r[0].h] == [{"idx": 0, "truth": "b", "prediction": "x"}] and r[1].h == [] and r[2].h is None
+
+
+def test_pages_and_digests_are_made_once(spark):
+    """A filter on the size of an exploded array would make all that is in it a second time."""
+    from foliant.plans import sheet_queries, text_queries
+
+    for df in (P.statement_pairs(spark, SMALL), P.prose_pairs(spark, SMALL), text_queries.text_steps(spark, SMALL), sheet_queries.sheet_pairs(spark, SMALL)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate explode" in plan and "size(array(" not in plan
+
+
+def test_lines_are_sorted_once_and_not_gathered_again(spark):
+    plan = P.statement_pairs(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Sort [") == 1 and "Aggregate" not in plan
+
+
+def test_sheets_of_written_lines_are_those_of_cells(spark):
+    from foliant.plans import sheet_queries
+
+    def whole(lines, system):
+        total = F.array(F.lit("Total"), F.size(lines).cast("string"), P.dollars(F.aggregate(lines, F.lit(0).cast("long"), lambda s, x: s + x["cents"])))
+        body = P.page(F.array(total), ["Item", "Lines", "Amount"], html=system == "html")
+        return F.concat(P.written(lines, system), F.lit("\n\nTotals\n"), F.replace(body, F.lit("# Statement\n"), F.lit("")))
+
+    made = F.array(*[F.struct(F.lit(s).alias("system"), whole(F.col("lines"), s).alias("prediction")) for s in sheet_queries.SYSTEMS])
+    old = P.statement_orders(spark, SMALL).select("stem", whole(F.col("lines"), "exact").alias("truth"), F.explode(made).alias("s")).select("s.system", "stem", "truth", "s.prediction")
+    new = sheet_queries.sheet_pairs(spark, SMALL)
+    assert new.count() == old.count() and new.exceptAll(old).isEmpty()
+
+
+def test_placed_amounts_are_placements_with_their_keys(spark):
+    text = "| D | A | B |\n|---|---|---|\n| x | $1.00 | |\n|  | 2.50 | $3.00 Cr |\n| 4.00 | - | 5 |"
+    r = spark.createDataFrame([(text,)], "t string").select(T.table_rows(F.col("t")).alias("r")).select(T.placements(F.col("r")).alias("p"), T.placed_amounts(F.col("r")).alias("q")).collect()[0]
+    assert [tuple(x) for x in r.p] == [("$1.00", 1, "x", 1), ("2.50", 1, "", 2), ("$3.00 Cr", 2, "", 2), ("4.00", 0, "4.00", 3)]
+    assert [tuple(x) for x in r.q] == [(a, f"{a}\x01{c}", f"{a}\x01{c}\x01{k}", i) for a, c, k, i in r.p]
+
+
+def test_documents_are_dealt_before_anything_is_made_of_them(spark):
+    from foliant.plans import statement_queries, text_queries
+
+    for df in (statement_queries.prose_scores(spark, SMALL), text_queries.text_steps(spark, SMALL)):
+        above, below = df._jdf.queryExecution().optimizedPlan().toString().split("Generate explode", 1)
+        assert "RepartitionByExpression" in below and "RepartitionByExpression" not in above
