@@ -52,8 +52,9 @@ def deployment_comparison(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """deployment, placed, attributable, misfiled, rows_aligned of statements: the same system's runs under several deployments.
 
     labels: report, system, deployment; a run that nobody labelled drops out, a label without a run has no row."""
-    d = documents.where(is_statement()).join(labels, ["report", "system"])
-    s = d.groupBy("deployment").agg(*[F.sum(c).alias(c) for c in ("placed", "attributable", "misfiled", "amounts", "aligned", "truth_rows")])
+    sums = lambda df, *by: df.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("placed", "attributable", "misfiled", "amounts", "aligned", "truth_rows")])
+    # runs are summed up before labels join them: all pages of a run would meet in one task
+    s = sums(sums(documents.where(is_statement()), "report", "system").join(F.broadcast(labels), ["report", "system"]), "deployment")
     return s.select("deployment", F.try_divide("placed", "amounts").alias("placed"), F.try_divide("attributable", "amounts").alias("attributable"), "misfiled", F.try_divide("aligned", "truth_rows").alias("rows_aligned"))
 
 
