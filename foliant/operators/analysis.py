@@ -105,7 +105,10 @@ def paired_change(rows: DataFrame, value: str = "misfiled", aliases: DataFrame |
     if aliases is not None:
         other = names.join(own.select("system"), "system", "left_anti").join(aliases, "system").select("system", F.col("clean_system").alias("base"))
         own = own.unionByName(other)
-    d = s.where("severity <> 'clean'").join(own, "system").join(clean, ["base", "stem"])
+    # names are few, so no system's pages are gathered for them; both sides then stand in as many partitions as are set, which are not merged
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = s.where("severity <> 'clean'").select("system", "family", "severity", "stem", value).join(F.broadcast(own), "system")
+    d = d.repartition(parts, "base", "stem").join(clean.repartition(parts, "base", "stem"), ["base", "stem"])
     delta = F.col(value) - F.col("clean_value")
     return d.groupBy("system", "family", "severity").agg(F.count_if(delta > 0).alias("worse"), F.count_if(delta < 0).alias("better"), F.count_if(delta == 0).alias("same"), F.sum(delta).alias("net"))
 
