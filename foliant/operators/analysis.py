@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import BooleanType, DateType, IntegralType, NumericType, TimestampType
 
 from foliant.errors import Refusal
 from foliant.operators import order
+from foliant.operators.order import null_safe_join
 
 #: Severities in order; their alphabetical order is another.
 SEVERITIES = ("clean", "light", "moderate", "heavy")
 FAMILIES = ("photo", "scan")
+#: Types of which an aggregate by hash can hold a value.
+FIXED = (NumericType, BooleanType, DateType, TimestampType)
 
 
 def severity_ord(severity: str = "severity") -> Column:
@@ -34,9 +38,20 @@ def is_statement(stem: str = "stem") -> Column:
 # -- reports -----------------------------------------------------------------------------------------------------------
 
 
-def keep_last(rows: DataFrame, order: str = "load_seq") -> DataFrame:
-    """Of each system and stem the row loaded last."""
-    return rows.withColumn("rn", F.row_number().over(W.partitionBy("system", "stem").orderBy(F.desc(order)))).where("rn = 1").drop("rn")
+def keep_last(rows: DataFrame, order: str = "load_seq", names: tuple[str, ...] = ("family", "severity")) -> DataFrame:
+    """Of each system and stem the row loaded last.
+
+    Where all else is of fixed width, it is kept while rows are read, so that no rows are sorted and one of each is shuffled. names:
+    columns of few texts, which go by their numbers meanwhile. Other rows are put in order."""
+    names = tuple(c for c in names if c in rows.columns)
+    rest = [c for c in rows.columns if c not in ("system", "stem", *names)]
+    if not isinstance(rows.schema[order].dataType, IntegralType) or not all(isinstance(rows.schema[c].dataType, FIXED) for c in rest):
+        return rows.withColumn("rn", F.row_number().over(W.partitionBy("system", "stem").orderBy(F.desc(order)))).where("rn = 1").drop("rn")
+    code, at = "_code", F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 63)))
+    known = F.broadcast(rows.select(*names).distinct().withColumn(code, F.row_number().over(W.orderBy(*names)))) if names else None
+    coded = rows if known is None else null_safe_join(rows, known, list(names)).drop(*names)
+    kept = coded.groupBy("system", "stem").agg(*[F.max_by(c, at).alias(c) for c in (*rest, *([code] if names else []))])
+    return (kept if known is None else kept.join(known, code)).select(*rows.columns)
 
 
 def keep_first_report(rows: DataFrame, order: str = "report_seq") -> DataFrame:
