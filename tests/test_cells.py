@@ -53,3 +53,24 @@ def test_keys_too_large_for_62_bits_are_numbered_anew():
 def test_column_facts_read_predictions_in_batches(spark):
     plan = Q.column_rates_system(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "_found_amounts" in plan and "regexp_extract_all" not in plan and "split(" not in plan
+
+
+def test_table_facts_are_those_of_each_page(spark, pages):
+    from foliant.functions import align
+
+    p = spark.createDataFrame([("s", str(k), a, b) for k, (a, b) in enumerate(zip(pages, [*pages[3:], *pages[:3]]))], "system string, stem string, truth string, prediction string")
+    p = p.unionByName(p.withColumns({"system": F.lit("same"), "prediction": F.col("truth")}))
+    t, q = F.col("truth_rows"), F.col("prediction_rows")
+    old = {"vt": T.cell_values(t), "vp": T.cell_values(q), "f": T.fragments(q), "w": T.width_breaks(q), "rows": F.size(t), "own": F.size(q), "a": align.aligned(T.row_signatures(t), T.row_signatures(q))}
+    got = S.table_facts(S.with_rows(p)).withColumns(old).collect()
+    for r in got:
+        want = ((Counter(r.vt) & Counter(r.vp)).total(), len(r.vt), r.f, r.w, r.rows, r.own, r.a)
+        assert (r.recalled_cells, r.truth_cells, r.fragments, r.width_breaks, r.n_truth_rows, r.n_prediction_rows, r.aligned) == want
+    assert sum(r.fragments > 0 for r in got) > 50 and sum(0 < r.aligned < r.rows for r in got) > 20
+
+
+def test_table_facts_read_predictions_in_batches(spark):
+    for query in (Q.content_recall, Q.aligned_rows, Q.fragments_and_breaks):
+        plan = query(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert ("_recalled" in plan or "_structure" in plan) and "regexp_extract_all" not in plan and "split(" not in plan
+    assert "_structure" not in Q.content_recall(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
