@@ -74,3 +74,31 @@ def test_table_facts_read_predictions_in_batches(spark):
         plan = query(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert ("_recalled" in plan or "_structure" in plan) and "regexp_extract_all" not in plan and "split(" not in plan
     assert "_structure" not in Q.content_recall(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_number_facts_are_those_of_each_page(spark):
+    from foliant.functions import numbers as N
+
+    rng = random.Random(9)
+    tokens = ["1,234.50", "1,234.5", "1,234.60", "9.99", "9.9", "100", "10.00", "1,000", "10", "0.10", "٣.٤", "12.5x", "345.678", "7..1", ",", "é", "."]
+    made = [" ".join(rng.choice(tokens[: 10 + k % 8]) for _ in range(rng.randrange(12))) for k in range(600)]
+    texts = [None, "", "none", *made]
+    p = spark.createDataFrame([("s", str(k), a, b) for k, (a, b) in enumerate(zip(texts, [*texts[2:], *texts[:2]]))], "system string, stem string, truth string, prediction string")
+    p = p.unionByName(p.withColumns({"system": F.lit("same"), "prediction": F.col("truth")}))
+    old = {f"{x}{y}": c for x, side in (("t", "truth"), ("p", "prediction")) for y, c in (("w", N.amounts(F.col(side))), ("c", F.transform(N.amounts(F.col(side)), N.canonical)))}
+    got = S.number_facts(p).withColumns(old).collect()
+    for r in got:
+        correct, spare, misread = (Counter(r.tc) & Counter(r.pc)).total(), N._left_over(r.pc, r.tc), 0
+        for want in N._left_over(r.tc, r.pc):
+            k = next((k for k, x in enumerate(spare) if N.close(want, x)), None)
+            if k is not None:
+                spare.pop(k)
+                misread += 1
+        assert (r.truth_amounts, r.prediction_amounts, r.amounts_correct, r.literal, r.misread) == (len(r.tw), len(r.pw), correct, (Counter(r.tw) & Counter(r.pw)).total(), misread)
+    assert sum(r.misread > 0 for r in got) > 50 and sum(r.literal < r.amounts_correct for r in got) > 50
+
+
+def test_number_facts_read_predictions_in_batches(spark):
+    for query in (Q.failure_taxonomy, Q.numeric_fidelity_system):
+        plan = query(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "_held" in plan and "regexp_extract_all" not in plan and "split(" not in plan
